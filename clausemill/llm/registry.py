@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import op2_minhash
+from . import op1_mixing, op2_minhash, op4_chat, op6_language, op8_pii, op9_quality, op10_packing
 
 QUERIES = {
+    "op1_pfair_mixing": op1_mixing.op1_pfair_mixing,
     "op2_minhash_near_dedup": op2_minhash.op2_minhash_near_dedup,
+    "op4_chat_format": op4_chat.op4_chat_format,
+    "op6_language_ecoc": op6_language.op6_language_ecoc,
+    "op8_pii_semi_markov": op8_pii.op8_pii_semi_markov,
+    "op9_weak_quality": op9_quality.op9_weak_quality,
+    "op10_best_fit_packing": op10_packing.op10_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_chat_format": op4_chat.OP4_SQL}
