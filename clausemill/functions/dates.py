@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import functools
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,7 +37,7 @@ IN_WORDS = rf"(?i)\b((?:{_NUMBER})(?:[\s-]+(?:{_NUMBER}))*)\s*(?:calendar\s+)?(d
 DATE_PATTERNS = (ISO_DATE, MONTH_FIRST, DAY_FIRST, SLASHED)
 DURATION_PATTERNS = (IN_BRACKETS, IN_DIGITS, IN_WORDS)
 DURATION = "struct<years:int,months:int,days:int>"
-FOUND = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("text", T.StringType())]))
+FOUND = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("iso", T.StringType())]))
 
 
 def _lookup(table: dict[str, int], key: Column) -> Column:
@@ -125,10 +127,13 @@ _OPERATIONS = {
 }
 
 
-def deadline(operation: str, anchor: Column, period: Column) -> Column:
-    """struct(result, formula, error, inputs) of an operation on a date and a duration given as texts."""
+def deadline(operation: str, anchor: Column, period: Column, d: Column | None = None, p: Column | None = None) -> Column:
+    """struct(result, formula, error, inputs) of an operation on a date and a duration given as texts.
+
+    d, p: the parsed texts, if there are columns of them already.
+    """
     first, second, sign, consequence = _OPERATIONS[operation]
-    d, p = parsed_date(anchor), parsed_duration(period)
+    d, p = parsed_date(anchor) if d is None else d, parsed_duration(period) if p is None else p
     result = shifted(d, p, sign)
     ok = d.isNotNull() & p.isNotNull()
     said = lambda name, value: F.concat(F.lit(f"unparseable_{name}: '"), F.coalesce(value, F.lit("")), F.lit("'"))
@@ -143,71 +148,66 @@ def deadline(operation: str, anchor: Column, period: Column) -> Column:
     )
 
 
-def spans_by_priority(text: str, patterns: tuple[re.Pattern, ...]) -> list[tuple[int, str]]:
-    """Matches that overlap none of an earlier pattern or an earlier match, left to right."""
-    taken: list[tuple[int, int]] = []
-    for pattern in patterns:
+def _date_of(kind: int, m: re.Match) -> str | None:
+    """The ISO date of a match of DATE_PATTERNS[kind], or None if there is none such."""
+    a, b, c = (MONTHS.get(g.lower()) or int(g) for g in m.groups())
+    tries = {0: [(a, b, c)], 1: [(c, a, b)], 2: [(c, b, a)], 3: [(c, a, b), (c, b, a)]}[kind]
+    for year, month, day in tries:
+        try:
+            return datetime.date(year, month, day).isoformat()
+        except ValueError:
+            continue
+    return None
+
+
+def _duration_of(kind: int, m: re.Match) -> str | None:
+    """The ISO duration of a match of DURATION_PATTERNS[kind]."""
+    n = 0
+    for word in re.split(r"[\s-]+", m[1].lower()):
+        value = int(word) if kind < 2 else NUMBERS[word]
+        n = max(n, 1) * 100 if kind == 2 and value == 100 else n + value
+    unit = m[2].lower()
+    if unit == "week":
+        n, unit = n * 7, "day"
+    return f"P{n}{unit[0].upper()}" if n else "P0D"
+
+
+def found(text: str, patterns: tuple[re.Pattern, ...], value: Callable[[int, re.Match], str | None]) -> list[tuple[int, str, str]]:
+    """Place, wording and value of matches that have one and overlap none of an earlier pattern; left to right."""
+    taken: list[tuple[int, int, str]] = []
+    for kind, pattern in enumerate(patterns):
         for m in pattern.finditer(text):
-            if all(m.end() <= s or e <= m.start() for s, e in taken):
-                taken.append(m.span())
-    return [(s, text[s:e]) for s, e in sorted(taken)]
-
-
-def _exists(year: int, month: int, day: int) -> bool:
-    import calendar
-
-    return 1 <= month <= 12 and 1 <= year and 1 <= day <= calendar.monthrange(year, month)[1]
+            iso = value(kind, m)
+            if iso is not None and all(m.end() <= s or e <= m.start() for s, e, _ in taken):
+                taken.append((*m.span(), iso))
+    return [(s, text[s:e], iso) for s, e, iso in sorted(taken)]
 
 
-def _is_date(text: str) -> bool:
-    for k, pattern in enumerate(DATE_PATTERNS):
-        if m := re.search(pattern, text):
-            a, b, c = m.groups()
-            if k == 0:
-                return _exists(int(a), int(b), int(c))
-            if k == 1:
-                return _exists(int(c), MONTHS[a.lower()], int(b))
-            if k == 2:
-                return _exists(int(c), MONTHS[b.lower()], int(a))
-            return _exists(int(c), int(a), int(b)) or _exists(int(c), int(b), int(a))
-    return False
-
-
-@functools.cache
-def find_dates_udf():
-    """All dates of a text: array of place and wording; those that do not exist are left out first."""
-    patterns = tuple(map(re.compile, DATE_PATTERNS))
+def _finder(patterns: tuple[str, ...], value: Callable[[int, re.Match], str | None]):
+    compiled = tuple(map(re.compile, patterns))
 
     @F.pandas_udf(FOUND)
     def run(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[tuple[int, str]]:
-            taken: list[tuple[int, int]] = []
-            for pattern in patterns:
-                for m in pattern.finditer(text or ""):
-                    if _is_date(m[0]) and all(m.end() <= s or e <= m.start() for s, e in taken):
-                        taken.append(m.span())
-            return [(s, text[s:e]) for s, e in sorted(taken)]
-
-        return texts.map(one)
+        return texts.map(lambda t: found(t or "", compiled, value))
 
     return run
 
 
 @functools.cache
-def find_durations_udf():
-    """All durations of a text: array of place and wording."""
-    patterns = tuple(map(re.compile, DURATION_PATTERNS))
+def find_dates_udf():
+    """All dates of a text that exist: array of place, wording and ISO date."""
+    return _finder(DATE_PATTERNS, _date_of)
 
-    @F.pandas_udf(FOUND)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: spans_by_priority(t or "", patterns))
 
-    return run
+@functools.cache
+def find_durations_udf():
+    """All durations of a text: array of place, wording and ISO duration."""
+    return _finder(DURATION_PATTERNS, _duration_of)
 
 
-def for_anchor(found: Column, anchor: Column) -> Column:
-    """The wording at or after a place (null: the first); if all come before it, the nearest."""
-    after = F.try_element_at(F.filter(found, lambda x: x["at"] >= anchor), F.lit(1))["text"]
-    nearest = F.array_min(F.transform(found, lambda x: F.struct(F.abs(x["at"] - anchor).alias("far"), x["at"].alias("at"), x["text"].alias("text"))))["text"]
-    first = F.try_element_at(found, F.lit(1))["text"]
+def for_anchor(spans: Column, anchor: Column) -> Column:
+    """The ISO value at or after a place (null: the first); if all come before it, the nearest."""
+    after = F.try_element_at(F.filter(spans, lambda x: x["at"] >= anchor), F.lit(1))["iso"]
+    nearest = F.array_min(F.transform(spans, lambda x: F.struct(F.abs(x["at"] - anchor).alias("far"), x["at"].alias("at"), x["iso"].alias("iso"))))["iso"]
+    first = F.try_element_at(spans, F.lit(1))["iso"]
     return F.when(anchor.isNull(), first).otherwise(F.coalesce(after, nearest))

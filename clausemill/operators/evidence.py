@@ -88,13 +88,15 @@ def verified(proposals: DataFrame, pages: DataFrame, settings: Settings | None =
     document, the first such is named in the reason.  Without a claim the first
     page that verifies it counts.
     """
-    texts = pages.select("document_id", F.col("page").alias("on"), F.col("text").alias("page_text"))
+    texts = pages.select(F.col("document_id").alias("_doc"), F.col("page").alias("on"), F.col("text").alias("page_text"))
     kinds = dict(proposals.dtypes)
-    claimed = on_page(proposals.where("page is not null").join(texts, (proposals["document_id"] == texts["document_id"]) & (proposals["page"] == texts["on"]), "left").drop(texts["document_id"]).where("on is not null"), settings)
-    absent = proposals.where("page is not null").join(texts.select("document_id", F.col("on").alias("page")), ["document_id", "page"], "left_anti")
+    claims = proposals.where("page is not null")
+    same = F.col("document_id") == F.col("_doc")
+    claimed = on_page(claims.join(texts, same & (F.col("page") == F.col("on"))).drop("_doc"), settings)
+    absent = claims.join(texts.select("_doc", "on"), same & (F.col("page") == F.col("on")), "left_anti")
     # other pages are looked at only for what its own page does not verify
     open_ = claimed.where("not verified").select("document_id", "ordinal", "quote", "page", "value").unionByName(proposals.where("page is null").select("document_id", "ordinal", "quote", "page", "value"))
-    others = on_page(open_.join(texts, "document_id").where("page is null or on <> page"), settings).where("verified")
+    others = on_page(open_.join(texts, same).drop("_doc").where("page is null or on <> page"), settings).where("verified")
     first = others.withColumn("r", F.row_number().over(Window.partitionBy("document_id", "ordinal").orderBy("on"))).where("r = 1")
     outcome = ["verified", "method", "reason", "matched_text", "start_offset", "end_offset", "similarity"]
     elsewhere = first.select("document_id", "ordinal", F.col("on").alias("elsewhere"))
@@ -118,3 +120,29 @@ def located(spans: DataFrame, chunks: DataFrame) -> DataFrame:
     inside = F.col("start_offset").isNull() | F.col("end_offset").isNull() | ((F.col("lo") <= F.col("start_offset")) & (F.col("end_offset") <= F.col("hi")))
     first = spans.join(c, ["document_id", "page"]).where(inside).groupBy("document_id", "ordinal").agg(F.min_by("chunk_id", "chunk_ordinal").alias("chunk_id"))
     return spans.join(first, ["document_id", "ordinal"], "left")
+
+
+def _words_hash(words, start):
+    return F.xxhash64(F.array_join(F.slice(words, start, F.lit(5)), " "))
+
+
+def containing(quotes: DataFrame, texts: DataFrame, *, quote_id: str = "quote_id", text_id: str = "text_id") -> DataFrame:
+    """quote_id, text_id of every text that contains a quote, both folded; a quote need not begin or end with a word.
+
+    quotes: quote_id, quote; texts: text_id, text.  Of a quote of seven words or
+    more one 5-word run that no cut can touch is looked up among the texts' runs,
+    then the whole quote is searched for in what remains.  Shorter quotes are
+    searched for in all texts.
+    """
+    from ..functions.text import folded
+
+    q = quotes.select(F.col(quote_id), folded(F.col("quote")).alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
+    t = texts.select(F.col(text_id), folded(F.col("text")).alias("t"))
+    inner = F.transform(F.sequence(F.lit(2), F.size("w") - 5), lambda i: _words_hash(F.col("w"), i))
+    long_ = q.where(F.size("w") >= 7).select(quote_id, "q", F.array_min(inner).alias("h"))
+    runs = t.withColumn("w", F.split("t", " ")).where(F.size("w") >= 5).select(text_id, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: _words_hash(F.col("w"), i)))).alias("h"))
+    met = runs.join(long_, "h").select(quote_id, text_id, "q")
+    hits = met.join(t, text_id).where(F.contains("t", "q")).select(quote_id, text_id)
+    short = q.where(F.size("w") < 7).select(quote_id, "q")
+    # a stated, short list of queries against all texts; a text costs one search each
+    return hits.unionByName(t.join(short, F.contains("t", "q")).select(quote_id, text_id))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.dates import deadline
+from ..functions.dates import deadline, parsed_date, parsed_duration
 from ..functions.values import canonical_type, is_without_figure, normalized_value
 from ..schemas import APPROVABLE, COMPUTED_ONLY, DERIVED
+from ..sources.staging import staged
 from .evidence import located, verified
 
 
@@ -26,7 +27,7 @@ def sorted_out(proposals: DataFrame, requested: list[str]) -> tuple[DataFrame, D
 
 def candidates(proposals: DataFrame, pages: DataFrame, chunks: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Obligations of proposals: quote verified, value normalised, status and reason set."""
-    out = verified(proposals.withColumn("value", F.col("raw_value")), pages, settings).drop("value")
+    out = staged(verified(proposals.withColumn("value", F.col("raw_value")), pages, settings).drop("value"), "verified")
     home = located(out.where("verified").select("document_id", "ordinal", "page", "start_offset", "end_offset"), chunks).select("document_id", "ordinal", "chunk_id")
     out = out.join(home, ["document_id", "ordinal"], "left")
     quote = F.coalesce("matched_text", "quote")
@@ -57,9 +58,11 @@ def derived(obligations: DataFrame, requested: list[str] | None = None, document
     inputs = obligations.groupBy("document_id").agg(_usable("contract_end_date").alias("end"), *(_usable(notice).alias(notice) for _, notice in DERIVED))
     if documents is not None:
         inputs = documents.select("document_id").distinct().join(inputs, "document_id", "left")
+    # parsed once, as columns: the computation names them many times
+    inputs = inputs.withColumns({"_end": parsed_date(F.col("end.normalized_value"))} | {f"_{notice}": parsed_duration(F.col(f"{notice}.normalized_value")) for _, notice in wanted})
     rows, lacks = [], []
     for kind, notice in wanted:
-        made = deadline(kind, F.col("end.normalized_value"), F.col(f"{notice}.normalized_value"))
+        made = deadline(kind, F.col("end.normalized_value"), F.col(f"{notice}.normalized_value"), F.col("_end"), F.col(f"_{notice}"))
         rows.append(F.when(F.col("end").isNotNull() & F.col(notice).isNotNull(), F.struct(F.lit(kind).alias("kind"), made["result"].alias("result"), made["formula"].alias("formula"), made["error"].alias("error"), F.to_json(made["inputs"].withField("source_obligation_ids", F.array(F.col("end.id"), F.col(f"{notice}.id")))).alias("inputs"))))
         lacks.append(F.when(F.col("end").isNull() & F.col(notice).isNotNull(), F.struct(F.lit(kind).alias("kind"), F.lit("contract_end_date").alias("missing"))))
     results = F.array_compact(F.array(*rows)) if rows else F.array().cast("array<struct<kind:string,result:date,formula:string,error:string,inputs:string>>")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import find_dates_udf, find_durations_udf, for_anchor, iso_duration, parsed_date, parsed_duration
+from ..functions.dates import find_dates_udf, find_durations_udf, for_anchor
 from ..functions.text import stripped
 
 # Where sentences end, and the words that a clause of each kind has.
@@ -49,20 +49,19 @@ def clause_matches(sentences: DataFrame) -> DataFrame:
     notice_at = place(F.instr(low, "notice"))
     # 'non-renewal' is about notice, not about the term
     renew_at = place(F.regexp_instr(low, F.lit("(?<!non-)(?<!non )renew")))
-    period = lambda wording: F.when(wording.isNotNull(), iso_duration(parsed_duration(wording)))
     out = out.withColumns({
-        "_first": F.try_element_at("_spans", F.lit(1))["text"],
-        "_notice": period(for_anchor(F.col("_spans"), notice_at)),
-        "_renewal": period(for_anchor(F.col("_spans"), renew_at)),
-        "_begin": F.date_format(parsed_date(F.try_element_at("_dates", F.lit(1))["text"]), "yyyy-MM-dd"),
-        "_end": F.date_format(parsed_date(F.try_element_at("_dates", F.lit(-1))["text"]), "yyyy-MM-dd"),
+        "_first": F.try_element_at("_spans", F.lit(1))["iso"],
+        "_notice": for_anchor(F.col("_spans"), notice_at),
+        "_renewal": for_anchor(F.col("_spans"), renew_at),
+        "_begin": F.try_element_at("_dates", F.lit(1))["iso"],
+        "_end": F.try_element_at("_dates", F.lit(-1))["iso"],
         "_money": F.nullif(F.regexp_extract(s, MONEY, 0), F.lit("")),
         "_percent": F.nullif(F.regexp_extract(s, PERCENT, 0), F.lit("")),
         "_law": F.nullif(F.trim(F.regexp_extract(s, LAW, 1)), F.lit("")),
         "_clause": F.length(s) >= LEAST_CLAUSE,
     })
     nonzero = lambda d: d.isNotNull() & (d != "P0D")
-    first = iso_duration(parsed_duration(F.col("_first")))
+    first = F.col("_first")
     noticed = F.contains(low, F.lit("notice"))
     automatic = F.contains(low, F.lit("renew")) & F.col("_clause") & _any(low, AUTOMATIC)
     option = nonzero(first) & _any(low, OPTION) & noticed & _any(low, NOTICE_SHAPE)

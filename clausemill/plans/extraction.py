@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..operators import ledger, proposals, search
 from ..schemas import COMPUTED_ONLY, OBLIGATION_TYPES
+from ..sources.staging import staged
 
 # What is searched for each type; the ranking, and so the result, hangs on the words.
 QUERIES = {
@@ -59,11 +60,11 @@ def extracted(chunks: DataFrame, pages: DataFrame, *, types: list[str] | None =
     """
     settings, requested = settings or Settings(), list(types or OBLIGATION_TYPES)
     askable = [t for t in requested if t not in COMPUTED_ONLY]
-    read = context_of(chunks, askable or requested, settings)
-    offered = (proposer or proposals.proposed)(read, askable)
+    read = staged(context_of(chunks, askable or requested, settings), "context")
+    offered = staged((proposer or proposals.proposed)(read, askable), "proposals")
     kept, failures = ledger.sorted_out(offered.where("obligation_type is not null"), requested)
     down = offered.where("obligation_type is null").select("document_id", F.lit(None).cast("string").alias("obligation_type"), F.lit("llm_unavailable").alias("reason"), F.col("quote").alias("detail"))
-    found = ledger.candidates(kept, pages, chunks, settings)
+    found = staged(ledger.candidates(kept, pages, chunks, settings), "candidates")
     answered = read.select("document_id").distinct().join(down.select("document_id"), "document_id", "left_anti")
     computed, more = ledger.derived(found, requested, answered)
     everything = found.unionByName(computed)
