@@ -31,6 +31,8 @@ _SPAN = ORDERS  # bytes of an n-gram: the longest context and the byte itself
 _GATES = 8 * 4 * 4
 _BUCKETS = 33
 _MEMO_BITS = 20
+#: Bytes of text that are worked on at a time, and of a block.
+_PIECE, _BLOCK = 1 << 20, 8 << 20
 _END = 0
 
 
@@ -129,7 +131,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = whole.column("block").to_numpy()
         cuts = np.flatnonzero(np.diff(blocks)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(blocks)], strict=True):
-            for batch in K.slices(iter([whole.slice(lo, hi - lo)]), "text"):
+            for batch in K.slices(iter([whole.slice(lo, hi - lo)]), "text", _PIECE):
                 if block is not None and block != blocks[lo]:
                     yield from _counted(0, block, words)
                     words = []
@@ -287,7 +289,7 @@ def _scored(counts, mixer: Mixer, tokens: int, distinct: int, ends: int):
         order = np.argsort(known)
         known, c = known[order], c[order]
         base = tokens + distinct + 1.0
-        for batch in K.slices(iter(docs.to_batches(max_chunksize=5000)), "text"):
+        for batch in K.slices(iter(docs.to_batches()), "text", _PIECE):
             data, offsets = K.flat(batch.column("text"))
             starts, stops, bounds = K.word_spans(data, offsets)
             hashed = K.hash_words(data, starts, stops).view(np.int64)
@@ -312,9 +314,9 @@ def _scored(counts, mixer: Mixer, tokens: int, distinct: int, ends: int):
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers the stretches of at most 12 MB of text, which later are scored each with its own vocabulary."""
+    """Numbers the stretches of at most _BLOCK bytes of text, which later are scored each with its own vocabulary."""
     base = TaskContext.get().partitionId() << 32  # the table is written at once: what is read later keeps its number
-    for k, batch in enumerate(K.slices(batches, "text", 12 << 20)):
+    for k, batch in enumerate(K.slices(batches, "text", _BLOCK)):
         yield batch.append_column("block", pa.array(np.full(batch.num_rows, base + k, np.int64)))
 
 
