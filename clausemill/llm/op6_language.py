@@ -40,7 +40,7 @@ def codewords(n: int) -> np.ndarray:
         return np.ones((n, 1))
     if n <= 5:
         bits = (1 << (n - 1)) - 1
-        return np.array([[1] * bits, *([1 if (b + 1) >> (n - 2 - i) & 1 else -1 for b in range(bits)] for i in range(n - 1))])
+        return np.array([[1] * bits, *([1 if b >> (n - 2 - i) & 1 else -1 for b in range(bits)] for i in range(n - 1))])
     bits = int(np.ceil(10 * np.log2(n)))
     words = K.constants(n * bits, 0xEC0C).reshape(n, bits)
     return np.where((words >> np.uint64(40)) & np.uint64(1), 1, -1)
