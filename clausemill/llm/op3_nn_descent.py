@@ -3,8 +3,8 @@
 Equal vectors are one node.  Random-projection trees, fitted on a bounded sample,
 put nodes into leaves; exact neighbours within leaves start the graph.  Then each
 round joins every node's neighbours and reverse neighbours with their vectors and
-compares them with each other.  A query walks the graph from a few entry nodes,
-a round of joins for all queries at once, until its best nodes are all expanded.
+compares them with each other.  A query walks the graph from the nodes of its leaves, a
+round of joins for all queries at once, until its best nodes are all expanded.
 """
 
 from __future__ import annotations
@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
-#: Neighbours kept for each node, rounds of descent, width of the search, entry nodes.
-DEGREE, ROUNDS, WIDTH, ENTRIES = 20, 3, 64, 1024
-TREES, LEAF, FIT_ROWS = 3, 256, 20_000
-MOST_STEPS = 20
+#: Neighbours kept for each node, rounds of descent, width of the search and its steps at most.
+DEGREE, ROUNDS, WIDTH, MOST_STEPS = 24, 3, 96, 6
+TREES, LEAF, FIT_ROWS = 4, 256, 20_000
 _EDGES = "id long, near array<struct<d:float,id:long>>"
 
 
@@ -156,16 +155,23 @@ def _local_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _edge_batch(np.array(owner), far, near)
 
 
-def neighbour_graph(nodes: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
-    """id and near, the DEGREE nearest nodes found, for nodes (id, vec)."""
+def fitted_trees(nodes: DataFrame) -> list:
+    """Trees for nodes (id, vec), from the FIT_ROWS of least hash; leaves hold about LEAF nodes as far as the sample allows."""
     n = nodes.count()
     sample = nodes.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vec").toArrow().column("vec")
     depth = int(min(np.ceil(np.log2(max(1, n / LEAF))), max(0, np.floor(np.log2(max(1, len(sample) / 32))))))
-    trees = fit_trees(_matrix(sample), depth)
+    return fit_trees(_matrix(sample), depth)
+
+
+def in_leaves(nodes: DataFrame, trees: list) -> DataFrame:
+    """tree, leaf, part, id, vec; a leaf that holds much more than its share (one that the sample cannot split) has parts."""
     placed = nodes.mapInArrow(_leaves(trees), "tree int, leaf long, id long, vec array<float>")
-    # a leaf that holds much more than its share (one that the sample cannot split) is dealt into parts
     size = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).cast("long").alias("parts"))
-    placed = placed.join(size, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    return placed.join(size, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+
+
+def neighbour_graph(nodes: DataFrame, placed: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
+    """id and near, the DEGREE nearest nodes found, for nodes (id, vec) placed in leaves."""
     start = placed.select("tree", "leaf", "part", "id", "vec").groupBy("tree", "leaf", "part").applyInArrow(_leaf_graph, _EDGES)
     graph = written(_merged(start), "graph")
     for _ in range(rounds):
@@ -181,42 +187,34 @@ def _distance(a: str, b: str) -> Column:
     return F.expr(f"sqrt(aggregate(zip_with({a}, {b}, (x, y) -> (double(x) - double(y)) * (double(x) - double(y))), 0D, (s, x) -> s + x))")
 
 
-def _from_entries(entry_ids: np.ndarray, entries: np.ndarray, take: int = 8):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = batch.column("q").to_numpy()
-            x = _matrix(batch.column("vec"))
-            if not len(q):
-                continue
-            d = (x * x).sum(1)[:, None] + (entries * entries).sum(1)[None] - 2 * x @ entries.T
-            at = np.argsort(d, axis=1)[:, :take]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, at.shape[1])), pa.array(entry_ids[at].reshape(-1))], ["q", "id"])
-
-    return run
+def graph_search(nodes: DataFrame, placed: DataFrame, graph: DataFrame, targets: DataFrame, trees: list) -> DataFrame:
+    """(q, id, d): the WIDTH nearest nodes found for each target (q, vec), itself not left out.
 
-
-def graph_search(nodes: DataFrame, graph: DataFrame, targets: DataFrame) -> DataFrame:
-    """(q, id, d): the WIDTH nearest nodes found for each target (q, vec), itself not left out."""
+    The walk starts at the nodes of the target's leaves.  Each step expands all
+    of the best that have not been, until none is left or MOST_STEPS are done.
+    """
     adjacent = written(_both_ways(graph).groupBy("v").agg(F.collect_list("u").alias("adjacent")), "adjacent")
-    entry = nodes.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(ENTRIES).toArrow()
-    if not entry.num_rows:
-        return targets.select("q", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("d")).where("false")
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        return pairs.join(targets.select("q", F.col("vec").alias("qv")), "q").join(nodes, "id").select("q", "id", _distance("qv", "vec").alias("d"))
-
-    fresh = targets.mapInArrow(_from_entries(entry.column("id").to_numpy(), _matrix(entry.column("vec"))), "q long, id long")
-    seen = written(measured(fresh).withColumn("step", F.lit(0)), "seen")
-    for step in range(1, MOST_STEPS + 1):
-        best = seen.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("k") <= WIDTH)
-        # what the last step brought and is still among the best has not been expanded
-        open_ = best.where(F.col("step") == step - 1).select("q", F.col("id").alias("v"))
-        fresh = open_.join(adjacent, "v").select("q", F.explode("adjacent").alias("id")).distinct().join(seen.select("q", "id"), ["q", "id"], "left_anti")
-        fresh = written(measured(fresh).withColumn("step", F.lit(step)), "fresh")
-        if fresh.isEmpty():
+
+    def best_of(pairs: DataFrame, state: DataFrame | None) -> DataFrame:
+        near = pairs.join(nodes, "id").join(targets.select("q", F.col("vec").alias("qv")), "q").select("q", _distance("qv", "vec").alias("d"), "id", F.lit(False).alias("done"))
+        if state is not None:
+            # the expanded entry of a node comes after its fresh one and takes its place
+            near = near.unionByName(state.select("q", F.explode("best").alias("b")).select("q", "b.d", "b.id", F.lit(True).alias("done")))
+        listed = near.groupBy("q").agg(F.array_sort(F.collect_set(F.struct("d", "id", "done"))).alias("all"))
+        last = F.filter("all", lambda x, i: (i == F.size("all") - 1) | (F.get(F.col("all"), i + 1)["id"] != x["id"]))
+        return written(listed.select("q", F.slice(last, 1, WIDTH).alias("best")), "state")
+
+    at = targets.select(F.col("q").alias("id"), "vec").mapInArrow(_leaves(trees), "tree int, leaf long, id long, vec array<float>").select("tree", "leaf", F.col("id").alias("q"))
+    # of a leaf in parts a target looks at one, as the others are as good a start
+    start = at.join(placed.where("part = 0").select("tree", "leaf", "id"), ["tree", "leaf"]).select("q", "id").distinct()
+    state = best_of(start, None)
+    for _ in range(MOST_STEPS):
+        open_ = state.select("q", F.explode(F.filter("best", lambda x: ~x["done"])).alias("b")).select("q", F.col("b.id").alias("v"))
+        if open_.isEmpty():
             break
-        seen = written(best.select("q", "id", "d", "step").unionByName(seen.join(best.select("q", "id"), ["q", "id"], "left_anti")).unionByName(fresh), "seen")
-    return seen.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("k") <= WIDTH).select("q", "id", "d")
+        fresh = open_.join(adjacent, "v").select("q", F.explode("adjacent").alias("id")).distinct()
+        state = best_of(fresh, state)
+    return state.select("q", F.explode("best").alias("b")).select("q", "b.id", "b.d")
 
 
 def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -237,10 +235,12 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str =
     valid = written(valid.where(F.size("vec") == length).dropDuplicates(["vec_id"]), "valid")
     nodes = written(valid.groupBy("vec").agg(F.min("vec_id").alias("id")).select("id", "vec"), "nodes")
     node_of = written(valid.join(nodes, "vec").select("vec_id", "id", "asked"), "members")
-    graph = neighbour_graph(nodes)
+    trees = fitted_trees(nodes)
+    placed = written(in_leaves(nodes, trees), "placed")
+    graph = neighbour_graph(nodes, placed)
     asked = node_of.where("asked").select(F.col("vec_id").alias("query_id"), F.col("id").alias("q"))
     targets = written(asked.select(F.col("q").alias("id")).distinct().join(nodes, "id").select(F.col("id").alias("q"), "vec"), "targets")
-    found = graph_search(nodes, graph, targets)
+    found = graph_search(nodes, placed, graph, targets, trees)
     found = found.unionByName(targets.select("q", F.col("q").alias("id"), F.lit(0.0).alias("d"))).groupBy("q", "id").agg(F.min("d").alias("d"))
     # of copies only the first k + 1 can be among the k nearest
     copies = node_of.withColumn("c", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("c") <= k + 1).select("id", "vec_id")
