@@ -94,22 +94,11 @@ def square_root_weights(counts: Mapping[str, int]) -> dict[str, float]:
     return {k: math.sqrt(n) for k, n in counts.items()}
 
 
-def mixed(docs: DataFrame, *, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """docs with _source, _slot, _position: every row once, in its place of the mixed order.
-
-    weights maps sources to target weights (others, and those of weight 0 or
-    less, come after all weighted ones, as an equal mix); None: the square root
-    of each source's rows.  Null sources form one source, named ''; it is
-    the same as the source ''.  Within a source rows go by hash of the id, then
-    id (null first), then hash of the whole row, so the order depends on no
-    partition; equal rows take adjacent places.  _position has no gaps and starts
-    from 0.  An empty table gives an empty result.  More than MOST_SOURCES
-    sources raise an error, as the schedule is made on the driver.
-    """
+def _placed(docs: DataFrame, weights: Mapping[str, float] | None, id_col: str, source_col: str, block_rows: int, period: int) -> DataFrame:
+    """_row (docs' columns), _source, _slot, _position; see mixed()."""
     ident, name = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
     h = F.xxhash64(ident.cast("long"))
-    plain = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({"_source": name, "_h": h, "_range": F.shiftrightunsigned(h, 54).cast("int")})
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), ident.alias("_id"), name.alias("_source"), h.alias("_h"), F.shiftrightunsigned(h, 54).cast("int").alias("_range"))
     # shiftrightunsigned gives the hash's ten highest bits: 1024 ranges, in unsigned order
     counts = written(keyed.groupBy("_source", "_range").agg(F.count("*").alias("c")), "counts")
     totals = {r[0]: r[1] for r in counts.groupBy("_source").agg(F.sum("c")).limit(MOST_SOURCES + 1).collect()}
@@ -118,7 +107,7 @@ def mixed(docs: DataFrame, *, weights: Mapping[str, float] | None = None, id_col
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # at most RANGES rows for each source
     bases = counts.select("_source", "_range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_source", "_range").orderBy("_h", F.col(id_col).asc_nulls_first(), F.xxhash64(*plain))
+    inside = Window.partitionBy("_source", "_range").orderBy("_h", F.col("_id").asc_nulls_first(), F.xxhash64("_row"))
     ranked = keyed.withColumn("_rn", F.row_number().over(inside)).join(bases, ["_source", "_range"])
     ranked = ranked.withColumn("_rank", F.col("_base") + F.col("_rn") - 1)
     target = dict(weights) if weights is not None else square_root_weights(totals)
@@ -156,16 +145,39 @@ def mixed(docs: DataFrame, *, weights: Mapping[str, float] | None = None, id_col
     lacks = F.array(*(F.struct(F.lit(a).cast("long").alias("at"), F.lit(n).cast("long").alias("n")) for a, n in table_short)) if table_short else F.lit(None).cast("array<struct<at:long,n:long>>")
     gone = F.coalesce(F.array_max(F.transform(F.filter(lacks, lambda s: s["at"] < F.col("_slot")), lambda s: s["n"])), F.lit(0))
     placed = placed.withColumn("_position", F.col("_slot") * block_rows + F.pmod(F.col("_rank"), F.lit(block_rows)) - gone)
-    return placed.select(*plain, "_source", F.col("_slot").cast("long").alias("_slot"), F.col("_position").cast("long").alias("_position"))
+    return placed.select("_row", "_id", "_source", F.col("_slot").cast("long").alias("_slot"), F.col("_position").cast("long").alias("_position"))
+
+
+def mixed(docs: DataFrame, *, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+    """doc_id, source, slot, position of every row of docs: its place in the mixed order.
 
 
-def in_mixed_order(docs: DataFrame, *, rows_per_file: int = 20_000, **options) -> DataFrame:
-    """docs with its own columns, sorted over all partitions by the mixed order."""
-    out = mixed(docs, **options)
-    parts = max(1, -(-docs.count() // rows_per_file))
-    return out.repartitionByRange(parts, "_position").sortWithinPartitions("_position").select(*(F.col(f"`{c}`") for c in docs.columns))
+    weights maps sources to target weights (others, and those of weight 0 or
+    less, come after all weighted ones, as an equal mix); None: the square root
+    of each source's rows.  Null sources form one source, named ''; it is
+    the same as the source ''.  Within a source rows go by hash of the id, then
+    id (null first), then hash of the whole row, so the order depends on no
+    partition; equal rows take adjacent places.  position has no gaps and starts
+    from 0.  An empty table gives an empty result.  More than MOST_SOURCES
+    sources raise an error, as the schedule is made on the driver.
+    """
+    out = _placed(docs, weights, id_col, source_col, block_rows, period)
+    return out.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_slot").alias("slot"), F.col("_position").alias("position"))
+
+
+def in_mixed_order(docs: DataFrame, *, text_col: str = "text", weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+    """docs with its own columns, sorted over all partitions by the mixed order.
+
+    There are as many partitions as the texts' bytes fill at the session's
+    spark.sql.files.maxPartitionBytes, so that each file is one task's share for the next reader.
+    """
+    conf = docs.sparkSession._jsparkSession.sessionState().conf()
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = int(max(1, -(-size // conf.filesMaxPartitionBytes())))
+    out = _placed(docs, weights, id_col, source_col, block_rows, period)
+    return out.repartitionByRange(parts, "_position").sortWithinPartitions("_position").select("_row.*")
 
 
 def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    return mixed(docs).select("doc_id", F.col("_source").alias("source"), F.col("_slot").alias("slot"), F.col("_position").alias("position"))
+    return mixed(docs)
