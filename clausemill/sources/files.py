@@ -12,7 +12,10 @@ TEXT_SUFFIXES, PDF_SUFFIXES = ("txt", "md", "text"), ("pdf",)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """document_id (by content), filename, suffix, content, sha256, reason: reason is why a file is rejected, or null."""
+    """document_id (by content), filename, suffix, content, sha256, reason: reason is why a file is rejected, or null.
+
+    Spark lists no files of zero bytes, so they do not appear.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return classified(raw.select("path", "content"))
 
