@@ -98,8 +98,17 @@ def is_zero(d: Column) -> Column:
     return (d["years"] == 0) & (d["months"] == 0) & (d["days"] == 0)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def iso_duration(d: Column) -> Column:
     """P1Y6M; P0D for none; null for null."""
+    return bound(d, _iso)
+
+
+def _iso(d: Column) -> Column:
     part = lambda n, unit: F.when(d[n] != 0, F.concat(d[n].cast("string"), F.lit(unit))).otherwise("")
     return F.when(d.isNotNull(), F.when(is_zero(d), F.lit("P0D")).otherwise(F.concat(F.lit("P"), part("years", "Y"), part("months", "M"), part("days", "D"))))
 
@@ -133,19 +142,24 @@ def deadline(operation: str, anchor: Column, period: Column, d: Column | None =
     d, p: the parsed texts, if there are columns of them already.
     """
     first, second, sign, consequence = _OPERATIONS[operation]
-    d, p = parsed_date(anchor) if d is None else d, parsed_duration(period) if p is None else p
-    result = shifted(d, p, sign)
-    ok = d.isNotNull() & p.isNotNull()
-    said = lambda name, value: F.concat(F.lit(f"unparseable_{name}: '"), F.coalesce(value, F.lit("")), F.lit("'"))
-    day = lambda x: F.date_format(x, "yyyy-MM-dd")
-    mark = "-" if sign < 0 else "+"
-    inputs = F.struct(
-        anchor.alias(first), period.alias(second), F.when(ok, day(d)).alias(f"{first}_iso"), F.when(ok, iso_duration(p)).alias(f"{second}_iso"), F.when(ok, F.lit("subtract" if sign < 0 else "add")).alias("operation"),
-        F.when(ok, F.lit(consequence).cast("string")).alias("consequence"), F.when(ok, F.concat(day(d), F.lit(f" {mark} "), spoken_duration(p), F.lit(" = "), day(result))).alias("evaluated"),
-    )
-    return F.struct(
-        result.alias("result"), F.lit(f"{operation} = {first} {mark} {second}").alias("formula"), F.when(d.isNull(), said("date", anchor)).when(p.isNull(), said("duration", period)).alias("error"), inputs.alias("inputs"),
-    )
+
+    def made(d: Column, p: Column) -> Column:
+        result = shifted(d, p, sign)
+        ok = d.isNotNull() & p.isNotNull()
+        said = lambda name, value: F.concat(F.lit(f"unparseable_{name}: '"), F.coalesce(value, F.lit("")), F.lit("'"))
+        day = lambda x: F.date_format(x, "yyyy-MM-dd")
+        mark = "-" if sign < 0 else "+"
+        inputs = F.struct(
+            anchor.alias(first), period.alias(second), F.when(ok, day(d)).alias(f"{first}_iso"), F.when(ok, iso_duration(p)).alias(f"{second}_iso"), F.when(ok, F.lit("subtract" if sign < 0 else "add")).alias("operation"),
+            F.when(ok, F.lit(consequence).cast("string")).alias("consequence"), F.when(ok, F.concat(day(d), F.lit(f" {mark} "), spoken_duration(p), F.lit(" = "), day(result))).alias("evaluated"),
+        )
+        return F.struct(
+            result.alias("result"), F.lit(f"{operation} = {first} {mark} {second}").alias("formula"), F.when(d.isNull(), said("date", anchor)).when(p.isNull(), said("duration", period)).alias("error"), inputs.alias("inputs"),
+        )
+
+    if d is not None and p is not None:
+        return made(d, p)
+    return bound(F.struct(parsed_date(anchor).alias("d"), parsed_duration(period).alias("p")), lambda x: made(x["d"], x["p"]))
 
 
 def _date_of(kind: int, m: re.Match) -> str | None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import DATE_TYPES, DURATION_TYPES, MONEY_TYPES, OBLIGATION_TYPES, TYPE_ALIASES
-from .dates import is_zero, iso_duration, parsed_date, parsed_duration
+from .dates import bound, is_zero, iso_duration, parsed_date, parsed_duration
 from .text import collapsed, stripped
 
 # What counts as an amount, a percentage, a cap in words and a renewal that is not automatic.
@@ -84,8 +84,7 @@ def normalized_value(kind: Column, raw: Column, quote: Column) -> Column:
     each = lambda f: F.coalesce(f(raw), f(quote))
 
     def period(text: Column) -> Column:
-        d = parsed_duration(text)
-        return F.when(~is_zero(d), iso_duration(d))
+        return bound(parsed_duration(text), lambda d: F.when(~is_zero(d), iso_duration(d)))
 
     in_words = F.when(F.coalesce(raw, F.lit("")).rlike(QUALITATIVE), _trimmed(raw)).when(F.coalesce(quote, F.lit("")).rlike(QUALITATIVE), _trimmed(quote))
     return (

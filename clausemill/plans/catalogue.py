@@ -144,10 +144,10 @@ def term_idf(spark, sf_dir):
     return S.built(c).terms.select("term", "n", F.round("idf", 6).alias("idf"))
 
 
-@query(f"with {_BM25} select item_id as query_id, doc_id as document_id, cast(rank as int) as rank, round(score, 4) as score from lex")
+@query(f"with {_BM25} select item_id as query_id, doc_id as document_id, cast(rank as int) as rank, score from lex")
 def bm25_topk(spark, sf_dir):
     best = S.lexical_ranking(S.built(_corpus(spark, sf_dir)), _items(spark, sf_dir), 25)
-    return best.select("query_id", F.col("ordinal").alias("document_id"), "rank", F.round("score", 4).alias("score"))
+    return best.select("query_id", F.col("ordinal").alias("document_id"), "rank", "score")
 
 
 # each document is a scope of one chunk: no term has a positive weight, the overlap decides
@@ -173,11 +173,11 @@ vec as (select query_id, document_id, score, row_number() over (partition by que
 """
 
 
-@query(f"with {_COSINE} select query_id, document_id, cast(rank as int) as rank, round(score, 4) as score from vec")
+@query(f"with {_COSINE} select query_id, document_id, cast(rank as int) as rank, score from vec")
 def cosine_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     asked = v.where("document_id % 50 = 0").select(F.col("document_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return S.vector_ranking(v, asked, 25).select("query_id", F.col("ordinal").alias("document_id"), "rank", F.round("score", 4).alias("score"))
+    return S.vector_ranking(v, asked, 25).select("query_id", F.col("ordinal").alias("document_id"), "rank", "score")
 
 
 def _hybrid(spark, sf_dir):
