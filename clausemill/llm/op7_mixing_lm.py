@@ -32,7 +32,7 @@ _GATES = 8 * 4 * 4
 _BUCKETS = 33
 _MEMO_BITS = 20
 #: Bytes of text that are worked on at a time, and of a block.
-_PIECE, _BLOCK = 1 << 20, 8 << 20
+_PIECE, _BLOCK = 1 << 20, 16 << 20
 _END = 0
 
 
