@@ -121,9 +121,9 @@ def _placed(docs: DataFrame, weights: Mapping[str, float] | None, id_col: str, s
     spark = docs.sparkSession
     rows = [(k, p["first"][k], p["begin"], p["period"], places) for p in plan for k, places in p["places"].items()]
     table = spark.createDataFrame(rows, "_s string, _first long, _begin long, _period long, _places array<int>")
-    # each source's phases, in order: at most sources x sources rows, made above on the driver
+    # each source's phases, in order: made above on the driver, at most MOST_SOURCES x period places for each phase
     steps = table.groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("_first", "_begin", "_period", "_places"))).alias("_steps"))
-    placed = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows)).join(steps, F.col("_source") == F.col("_s"))
+    placed = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows)).join(F.broadcast(steps), F.col("_source") == F.col("_s"))
     step = F.element_at(F.filter("_steps", lambda s: s["_first"] <= F.col("_block")), -1)
     placed = placed.withColumn("_step", step).withColumn("_k", F.col("_block") - F.col("_step._first"))
     size = F.size("_step._places")
