@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discarded, written
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _star(pairs: DataFrame, hub_of: DataFrame) -> DataFrame:
-    return pairs.join(hub_of, "a")
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the least node.
 
@@ -36,7 +32,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small-star: a node and its smaller neighbours move to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        before, edges = edges, written(moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        discarded(before)
         now = _fingerprint(edges)
         if now == state:
             break

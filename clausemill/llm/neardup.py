@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from . import textkit as K
 from .components import connected_components
-from .scratch import written
+from .scratch import discarded, written
 
 #: Buckets up to this size list their open pairs; larger ones are compared in blocks.
 SMALL_BUCKET = 64
@@ -41,17 +41,18 @@ def class_ids(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _binary(ids: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
-    raw = pa.py_buffer(np.ascontiguousarray(ids).tobytes())
-    offsets = pa.py_buffer((np.arange(len(ids) + 1, dtype=np.int32) * 16).tobytes())
+def _binary(rows: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    raw = pa.py_buffer(np.ascontiguousarray(rows).tobytes())
+    offsets = pa.py_buffer((np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize)).tobytes())
     mask = None
     if null is not None and null.any():
         mask = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(ids), [mask, offsets, raw])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [mask, offsets, raw])
 
 
 def signed(df: DataFrame, text: str, extract: Extract, names: T.StructType, bands: int, rows: int) -> DataFrame:
-    """Per unit: its naming columns, n, cid (null for an empty set) and bands."""
+    """Per unit: its naming columns, n, cid (null for an empty set), bands and sig, a byte of each signature value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, text):
@@ -61,12 +62,14 @@ def signed(df: DataFrame, text: str, extract: Extract, names: T.StructType, band
                 continue
             full = n > 0
             tight = np.concatenate(([0], np.cumsum(n[full])))
-            hashed = K.minmax_bands(values, tight, bands, rows).view(np.int64) if full.any() else np.empty((0, bands), np.int64)
+            hashed, short = K.minmax_bands(values, tight, bands, rows) if full.any() else (np.empty((0, bands), np.uint64), np.empty((0, bands * rows), np.uint8))
+            sig = np.zeros((len(n), bands * rows), np.uint8)
+            sig[full] = short
             ends = np.concatenate(([0], np.cumsum(full * bands))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashed.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*named, pa.array(n.astype(np.int64)), _binary(class_ids(values, bounds), ~full), lists], [*(f.name for f in names), "n", "cid", "bands"])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashed.view(np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*named, pa.array(n.astype(np.int64)), _binary(class_ids(values, bounds), ~full), lists, _binary(sig)], [*(f.name for f in names), "n", "cid", "bands", "sig"])
 
-    schema = T.StructType([*names, T.StructField("n", T.LongType()), T.StructField("cid", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*names, T.StructField("n", T.LongType()), T.StructField("cid", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
     return df.mapInArrow(run, schema)
 
 
@@ -121,6 +124,28 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@F.pandas_udf(T.IntegerType())
+def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many bytes of two signatures are equal."""
+    if not len(a):
+        return pd.Series([], dtype="int32")
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
+    return pd.Series((x == y).sum(axis=1).astype(np.int32))
+
+
+def _alike(pairs: DataFrame, sigs: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """Pairs (a, b and more) without those whose signatures agree too seldom to be linked.
+
+    At the threshold the agreeing values are binomial; the cut lies seven standard
+    deviations below their mean, so what it loses is beyond notice, and full sets
+    move for promising pairs only.
+    """
+    t = num / den
+    least = t * width - 7 * (width * t * (1 - t)) ** 0.5
+    both = pairs.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
+    return both.where(_agreeing("sa", "sb") >= least).drop("sa", "sb")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b, na, nb) with den * intersection >= num * union, on full sets."""
     left = sets.select(F.col("cid").alias("a"), F.col("members").alias("ma"))
@@ -180,31 +205,35 @@ def _blocks(num: int, den: int):
 
 
 def clustered(classes: DataFrame, find_sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """(cid, comp) of the classes (cid, n, bands) that have a link; comp is the least cid.
+    """(cid, comp) of the classes (cid, n, bands, sig) that have a link; comp is the least cid.
 
     find_sets gives (cid, members) for a table of cids.
     """
     rows = classes.select("cid", "n", F.explode("bands").alias("bh"))
     multi = rows.groupBy("bh").agg(F.count("*").alias("size")).where("size > 1")
     met = written(rows.join(multi, "bh"), "met")
-    sets = written(find_sets(met.select("cid").distinct()), "sets")
+    wanted = met.select("cid").distinct()
+    sets = written(find_sets(wanted), "sets")
+    sigs = written(classes.select("cid", "sig").join(wanted, "cid", "left_semi"), "sigs")
+    width = (sigs.agg(F.max(F.length("sig"))).first()[0]) or 0
     weight = met.groupBy("cid").agg(F.sum("size").alias("weight"))
     pivot = met.join(weight, "cid").groupBy("bh").agg(F.max(F.struct("weight", "cid", "n")).alias("p"))
     pivot = pivot.select("bh", F.col("p.cid").alias("b"), F.col("p.n").alias("nb"))
     near = f"least(na, nb) * {den} >= greatest(na, nb) * {num}"
     star = met.select("bh", F.col("cid").alias("a"), F.col("n").alias("na")).join(pivot, "bh").where("a <> b").where(near)
-    star = written(_verified(star.select("a", "b", "na", "nb").distinct(), sets, num, den), "star")
+    star = _alike(star.select("a", "b", "na", "nb").distinct(), sigs, num, den, width)
+    star = written(_verified(star, sets, num, den), "star")
     first = written(connected_components(star), "first")
 
-    met = met.join(first.select(F.col("node").alias("cid"), "component"), "cid", "left").select("bh", "cid", "n", "size", F.coalesce("component", "cid").alias("comp"))
-    mixed = met.groupBy("bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bh")
-    left = written(met.join(mixed, "bh"), "mixed")
+    homed = met.join(first.select(F.col("node").alias("cid"), "component"), "cid", "left").select("bh", "cid", "n", "size", F.coalesce("component", "cid").alias("comp"))
+    mixed = homed.groupBy("bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bh")
+    left = written(homed.join(mixed, "bh"), "mixed")
 
     small = left.where(F.col("size") <= SMALL_BUCKET)
     x = small.select("bh", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     y = small.select("bh", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     pairs = x.join(y, "bh").where("a < b and ca <> cb").where(near).groupBy("a", "b", "na", "nb").count().where("count > 1").drop("count")
-    more = _verified(pairs, sets, num, den)
+    more = _verified(_alike(pairs, sigs, num, den, width), sets, num, den)
 
     large = left.where(F.col("size") > SMALL_BUCKET)
     dealt = large.select("bh", "cid", "comp", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
@@ -212,4 +241,6 @@ def clustered(classes: DataFrame, find_sets: Callable[[DataFrame], DataFrame], n
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("bh", "cid", "comp", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j")).join(sets, "cid")
     more = more.unionByName(dealt.groupBy("bh", "i", "j").applyInPandas(_blocks(num, den), "a binary, b binary"))
-    return connected_components(star.unionByName(more)).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
+    links = written(star.unionByName(more), "links")
+    discarded(met, sets, sigs, star, first, left)
+    return connected_components(links).select(F.col("node").alias("cid"), F.col("component").alias("comp"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from . import textkit as K
 from .neardup import clustered, sets_of, signed
-from .scratch import written
+from .scratch import discarded, written
 
 #: 24 bands of 5 rows: a pair at similarity 0.85 shares a band but for 8 in ten million.
 BANDS, ROWS = 24, 5
@@ -41,11 +41,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     names = T.StructType([T.StructField("doc_id", T.LongType())])
     units = written(signed(source, "text", _document_sets, names, bands, rows), "signed")
-    classes = written(units.where("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("doc_id").alias("rep")), "classes")
-    found = written(clustered(classes.select("cid", "n", "bands"), lambda wanted: sets_of(source, "text", _document_sets, wanted), num, den), "clustered")
+    classes = written(units.where("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.min("doc_id").alias("rep")), "classes")
+    found = written(clustered(classes.select("cid", "n", "bands", "sig"), lambda wanted: sets_of(source, "text", _document_sets, wanted), num, den), "clustered")
     linked = classes.select("cid", "rep").join(found, "cid", "left")
     least = linked.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("least"))
     home = written(linked.join(least, "comp", "left").select("cid", F.coalesce("least", "rep").alias("component_id")), "home")
+    discarded(classes, found)
     out = units.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(home, "cid", "left")
     out = out.withColumn("component_id", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from . import textkit as K
 from .neardup import clustered, sets_of, signed
-from .scratch import written
+from .scratch import discarded, written
 
 LINE_WORDS, PASSAGE_WORDS, WINDOW = 40, 30, 22
 BANDS, ROWS = 16, 4
@@ -145,11 +145,12 @@ def repeated_lines(source: DataFrame, *, num: int = 80, den: int = 100) -> DataF
     """doc_id, start, end, component_id, removed: lines whose component reaches two or more documents."""
     names = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     units = written(signed(source, "text", _lines, names, BANDS, ROWS).where("doc_id is not null"), "lines")
-    classes = written(units.groupBy("cid").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "classes")
-    found = written(clustered(classes.select("cid", "n", "bands"), lambda wanted: sets_of(source, "text", _lines, wanted), num, den), "clustered")
+    classes = written(units.groupBy("cid").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "classes")
+    found = written(clustered(classes.select("cid", "n", "bands", "sig"), lambda wanted: sets_of(source, "text", _lines, wanted), num, den), "clustered")
     homes = classes.select("cid", "lo", "hi").join(found, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     ranges = homes.groupBy("comp").agg(F.min("lo").alias("component_id"), F.max("hi").alias("hi")).where("component_id < hi").drop("hi")
     homes = written(homes.select("cid", "comp").join(ranges, "comp").select("cid", "component_id"), "homes")
+    discarded(classes, found)
     rows = units.select("doc_id", "start", "end", "cid").join(homes, "cid")
     return rows.select("doc_id", "start", "end", "component_id", (F.col("doc_id") != F.col("component_id")).alias("removed"))
 

@@ -178,8 +178,9 @@ def set_sums(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return one, two
 
 
-def minmax_bands(values: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Band hashes (sets x bands) of min-max signatures; every set must be non-empty.
+def minmax_bands(values: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes (sets x bands) of min-max signatures, and a byte of each signature value
+    (sets x bands * rows); every set must be non-empty.
 
     Each multiplier permutes the 64-bit hashes once and gives two signature
     values, the least and the greatest, so bands * rows values take half as many
@@ -210,7 +211,7 @@ def minmax_bands(values: np.ndarray, bounds: np.ndarray, bands: int, rows: int)
             for r in range(rows):
                 acc = mix64(acc + signature[b * rows + r] * q[r])
             out[:, b] = acc
-    return out
+    return out, (mix64(signature[: bands * rows]) >> np.uint64(56)).astype(np.uint8).T
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
