@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.vectors import cosine
+from ..sources.staging import staged
 
 # Parameters of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -33,10 +34,16 @@ class Index:
 
 
 def postings(chunks: DataFrame, *, corpus: bool) -> DataFrame:
+    listed = chunks.select("document_id", "chunk_id", "ordinal", tokens(F.col("text")).alias("tokens"))
+    flat = listed.select("document_id", "chunk_id", "ordinal", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    # grouped by what the rows have; the joined key is made for what is left
+    counted = flat.groupBy("document_id", "chunk_id", "ordinal", "dl", "term").agg(F.count("*").alias("tf"))
     scope = F.lit(CORPUS) if corpus else F.col("document_id")
-    listed = chunks.select(scope.alias("scope"), "key", "ordinal", tokens(F.col("text")).alias("tokens"))
-    flat = listed.select("scope", "key", "ordinal", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return flat.groupBy("scope", "key", "ordinal", "dl", "term").agg(F.count("*").alias("tf"))
+    return counted.select(scope.alias("scope"), _key().alias("key"), "ordinal", "dl", "term", "tf")
+
+
+def _key():
+    return F.concat_ws("::", F.col("document_id").cast("string"), F.col("chunk_id").cast("string"))
 
 
 def term_statistics(chunks: DataFrame, posted: DataFrame, *, corpus: bool) -> DataFrame:
@@ -51,9 +58,12 @@ def term_statistics(chunks: DataFrame, posted: DataFrame, *, corpus: bool) -> Da
 
 
 def built(chunks: DataFrame, *, corpus: bool = True) -> Index:
-    """An index of chunks (document_id, chunk_id, ordinal, text; further columns stay)."""
-    keyed = chunks.withColumn("key", F.concat_ws("::", F.col("document_id").cast("string"), F.col("chunk_id").cast("string")))
-    posted = postings(keyed, corpus=corpus)
+    """An index of chunks (document_id, chunk_id, ordinal, text; further columns stay).
+
+    Postings are written once: statistics, scores and the fallback all read them.
+    """
+    keyed = chunks.withColumn("key", _key())
+    posted = staged(postings(keyed, corpus=corpus), "postings")
     return Index(posted, term_statistics(keyed, posted, corpus=corpus), keyed, corpus)
 
 
