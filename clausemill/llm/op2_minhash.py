@@ -52,16 +52,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, *, num: int = 80, den: int = 100, **options) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, **options) -> DataFrame:
     """docs with one row for each component, its least id; the columns stay.
 
     Of rows that repeat the least id, one stays.  Rows whose text is null or has
     no word are no copies of each other and all stay, but for repeats of an id.
+    Rows with a null id cannot be told apart by id: they stay, but for repeats of a text.
     """
-    kept = near_duplicates(docs, num=num, den=den, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = written(kept, "kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, num=num, den=den, **options).where("kept and doc_id is not null")
+    kept = written(kept.select(F.col("doc_id").alias("_kept_id")).distinct(), "kept")
+    # a plain key, so that join and repeats share one shuffle of the texts
+    named = docs.where(F.col(id_col).isNotNull())
+    named = named.join(kept, named[id_col] == kept["_kept_id"], "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
