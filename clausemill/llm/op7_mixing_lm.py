@@ -1,15 +1,17 @@
-"""Language-model scores by logistic context mixing of hashed-context bit predictors.
+"""Language-model scores by logistic context mixing of bit predictors of contexts.
 
 A text is its lower-cased bytes and an end mark.  Each byte is predicted bit by
-bit, most significant first.  For each order from 0 to ORDERS - 1 a table hashed by
-the preceding bytes and the bits so far holds counts of zeros and ones over all
-training texts.  The orders' predictions are mixed in the logistic domain with
+bit, most significant first.  For each order from 0 to ORDERS - 1 the zeros and ones
+that followed the preceding bytes and the bits so far are counted over all training
+texts.  The orders' predictions are mixed in the logistic domain with
 weights chosen by a gate (how much each of the two longest contexts has been seen,
 and the bit's place), learnt online; an adaptive map then refines the mix.
 
-The corpus is gathered as distinct n-grams with counts: the tables are summed from
-them, and the mixer is trained on them, every occurrence predicted with its own
-count taken out.  Tables and mixer have a fixed size.
+The corpus is gathered as distinct n-grams with counts, which grow with it.  Dealt by
+the two bytes before the last one, they give the exact counts of every context of
+two bytes and more; those of shorter ones are sums over pairs of bytes.  The mixer is
+trained on the n-grams, every occurrence predicted with its own count taken out; each
+n-gram's score is computed once and joined to the blocks of text that hold it.
 """
 
 from __future__ import annotations
@@ -19,18 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .scratch import written
+from .scratch import discarded, written
 
 ORDERS, SLOT_BITS = 5, 18
 FOLDS, HELD = 7, 2
 _SPAN = ORDERS  # bytes of an n-gram: the longest context and the byte itself
 _GATES = 8 * 4 * 4
 _BUCKETS = 33
-_MEMO_BITS = 20
 #: Bytes of text that are worked on at a time, and of a block.
 _PIECE, _BLOCK = 1 << 20, 16 << 20
 _END = 0
@@ -61,10 +62,16 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key[keep], offsets + np.arange(n + 1)
 
 
+def _bits(keys: np.ndarray) -> np.ndarray:
+    """The bits (8 x keys) of each key's last byte."""
+    byte = (keys & np.uint64(255)).astype(np.int64)
+    return np.stack([(byte >> (7 - b)) & 1 for b in range(8)]).astype(np.int8)
+
+
 def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slots (orders x 8 x keys) and the bits (8 x keys) of each key's last byte."""
     byte = (keys & np.uint64(255)).astype(np.int64)
-    bits = np.stack([(byte >> (7 - b)) & 1 for b in range(8)]).astype(np.int8)
+    bits = _bits(keys)
     slots = np.empty((ORDERS, 8, len(keys)), np.int32)
     shift = np.uint64(64 - SLOT_BITS)
     for o in range(ORDERS):
@@ -108,22 +115,81 @@ class Mixer:
         return np.float32(0.5) * (logit + mapped)
 
 
+def _logs(got: np.ndarray, bits: np.ndarray, mixer: Mixer) -> np.ndarray:
+    """log10 probability of the bytes that bits (8 x n) make up, from counts (orders x 8 x n x 2)."""
+    gate = mixer.gates(got.sum(axis=3))
+    logit = mixer.refined(mixer.mixed(_stretch(got[..., 0], got[..., 1]), gate), gate)
+    return -np.logaddexp(0, np.where(bits == 1, -logit, logit).astype(np.float64)).sum(axis=0) / np.log(10)
+
+
 def log_probabilities(keys: np.ndarray, counts: np.ndarray, mixer: Mixer) -> np.ndarray:
-    """log10 probability of each key's last byte after the bytes before it."""
+    """log10 probability of each key's last byte after the bytes before it, from hashed tables ((orders << SLOT_BITS) x 2)."""
     out = np.empty(len(keys))
     for at in range(0, len(keys), 1 << 15):
         slots, bits = _slots(keys[at : at + (1 << 15)])
         flat = counts.reshape(ORDERS, -1, 2)
-        got = np.stack([flat[o][slots[o]] for o in range(ORDERS)]).astype(np.float32)
-        gate = mixer.gates(got.sum(axis=3))
-        logit = mixer.refined(mixer.mixed(_stretch(got[..., 0], got[..., 1]), gate), gate)
-        sign = np.where(bits == 1, -logit, logit).astype(np.float64)
-        out[at : at + (1 << 15)] = -np.logaddexp(0, sign).sum(axis=0) / np.log(10)
+        out[at : at + (1 << 15)] = _logs(np.stack([flat[o][slots[o]] for o in range(ORDERS)]).astype(np.float32), bits, mixer)
     return out
 
 
+def _shared(values: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Counts (9 x n) of what shares each value's context and the first 0 to 8 bits of its last byte."""
+    order = np.argsort(values)
+    v, n = values[order], c[order]
+    out = np.empty((9, len(v)), np.float32)
+    for b in range(9):
+        part = v >> np.uint64(8 - b)
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        out[b, order] = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(v))))
+    return out
+
+
+def _of_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """_shared() from the counts of all values."""
+    return np.stack([table.reshape(-1, 1 << (8 - b)).sum(axis=1)[(values >> np.uint64(8 - b)).astype(np.int64)] for b in range(9)]).astype(np.float32)
+
+
+def exact_counts(keys: np.ndarray, c: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, their own counts, zeros and ones (orders x 8 x n x 2) of their contexts and their bits, piece by piece.
+
+    keys are all n-grams of their last two context bytes; pairs counts all pairs of bytes.
+    """
+    group = K.mix64((keys >> np.uint64(8)) & np.uint64(0xFFFF))
+    order = np.argsort(group)
+    keys, c, group = keys[order], c[order], group[order]
+    edges = np.append(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), len(keys)) if len(keys) else [0]
+    lo = 0
+    for hi in edges[1:]:
+        if hi - lo < 1 << 16 and hi < len(keys):
+            continue
+        k, n = keys[lo:hi], c[lo:hi]
+        mixed = np.argsort(K.mix64(k))  # no context's n-grams are learnt in a row
+        k, n, lo = k[mixed], n[mixed], hi
+        long_ = [_shared(k & np.uint64((1 << (8 * (o + 1))) - 1), n) for o in range(2, ORDERS)]
+        for at in range(0, len(k), 1 << 15):
+            part = slice(at, at + (1 << 15))
+            totals = [_of_table(pairs.reshape(256, 256).sum(axis=0), k[part] & np.uint64(0xFF)), _of_table(pairs, k[part] & np.uint64(0xFFFF)), *(x[:, part] for x in long_)]
+            bits = _bits(k[part])
+            got = np.empty((ORDERS, *bits.shape, 2), np.float32)
+            for o, total in enumerate(totals):
+                own, other = total[1:], total[:-1] - total[1:]
+                got[o, ..., 0], got[o, ..., 1] = np.where(bits == 0, own, other), np.where(bits == 1, own, other)
+            yield k[part], n[part], got, bits
+
+
+def _dealt(grams: DataFrame) -> DataFrame:
+    """The n-grams of two last context bytes in one partition, for exact_counts()."""
+    return grams.repartition(F.shiftright("key", 8).bitwiseAND(0xFFFF))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], pairs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    got = [(b.column("key").to_numpy().view(np.uint64), b.column("c").to_numpy()) for b in batches]
+    if got:
+        yield from exact_counts(np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got]), pairs)
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each block with their count in training texts, and the training texts' n-grams."""
+    """Distinct words and n-grams of each block with their count in training texts."""
     words: list[tuple[np.ndarray, np.ndarray]] = []
     grams: list[tuple[np.ndarray, np.ndarray]] = []
     block = None
@@ -134,7 +200,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in K.slices(iter([whole.slice(lo, hi - lo)]), "text", _PIECE):
                 if block is not None and block != blocks[lo]:
                     yield from _counted(0, block, words)
-                    words = []
+                    yield from _counted(1, block, grams)
+                    words, grams = [], []
                 block = blocks[lo]
                 train = ~np.array(batch.column("held_out").to_pylist(), bool)
                 data, offsets = K.flat(batch.column("text"))
@@ -143,14 +210,15 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 of_train = np.repeat(train, np.diff(bounds))
                 words.append(_summed([(hashed, of_train.astype(np.int64))]))
                 keys, cut = ngrams(data, offsets)
-                grams.append(np.unique(keys[np.repeat(train, np.diff(cut))].view(np.int64), return_counts=True))
+                both, n = np.unique((keys.view(np.int64) << 1) | np.repeat(train, np.diff(cut)), return_counts=True)
+                grams.append((both >> 1, n * (both & 1)))
                 if sum(len(k) for k, _ in grams) > 1 << 21:
                     grams = [_summed(grams)]
-                    if len(grams[0][0]) > 1 << 20:  # the tables add up what is emitted in parts
-                        yield from _counted(1, -1, grams)
+                    if len(grams[0][0]) > 1 << 20:  # what is emitted in parts is summed later
+                        yield from _counted(1, block, grams)
                         grams = []
     yield from _counted(0, block, words)
-    yield from _counted(1, -1, grams)
+    yield from _counted(1, block, grams)
 
 
 def _counted(kind: int, block: int | None, heap: list) -> Iterator[pa.RecordBatch]:
@@ -172,47 +240,24 @@ def _summed(heap: list) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros((ORDERS << SLOT_BITS, 2))
-    any_ = False
-    for batch in batches:
-        any_ = any_ or batch.num_rows > 0
-        keys, n = batch.column("key").to_numpy().view(np.uint64), batch.column("c").to_numpy()
-        for at in range(0, len(keys), 1 << 15):
-            slots, bits = _slots(keys[at : at + (1 << 15)])
-            weight = np.broadcast_to(n[at : at + (1 << 15)], bits.shape)
-            for o in range(ORDERS):
-                where = (slots[o].astype(np.int64) + (o << SLOT_BITS)) * 2 + bits
-                np.add.at(table.reshape(-1), where.reshape(-1), weight.reshape(-1))
-    if any_:
-        used = np.flatnonzero(table.any(axis=1))
-        for at in range(0, len(used), 50_000):
-            u = used[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(table[u, 0].astype(np.int64)), pa.array(table[u, 1].astype(np.int64))], ["slot", "zeros", "ones"])
-
-
-def count_tables(grams: DataFrame) -> np.ndarray:
-    """The tables ((orders << SLOT_BITS) x 2, float32) of all n-grams; of the same size for any input."""
-    parts = grams.mapInArrow(_table_rows, "slot long, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    got = parts.toArrow()  # at most ORDERS << SLOT_BITS rows
-    table = np.zeros((ORDERS << SLOT_BITS, 2), np.float32)
-    table[got.column("slot").to_numpy()] = np.stack([got.column("zeros").to_numpy(), got.column("ones").to_numpy()], 1)
-    return table
+def pair_counts(grams: DataFrame) -> np.ndarray:
+    """Counts of all pairs of bytes that end an n-gram."""
+    got = grams.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("c").alias("c")).toArrow()  # at most 65,536 rows
+    out = np.zeros(1 << 16, np.int64)
+    out[got.column("pair").to_numpy()] = got.column("c").to_numpy()
+    return out
 
 
-def _train(counts: np.ndarray):
+def _train(pairs: np.ndarray):
     """One partition's online pass; what it has learnt, weighed by the bits it saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, hits, squares = Mixer(), np.zeros((_GATES, _BUCKETS, 2)), np.full((_GATES, ORDERS), 1e-3)
-        flat = counts.value.reshape(ORDERS, -1, 2)
         seen_bits = 0.0
-        for batch in batches:
-            keys, n = batch.column("key").to_numpy().view(np.uint64), batch.column("c").to_numpy()
+        for keys, n, all_counts, all_bits in _whole(batches, pairs):
             for at in range(0, len(keys), 256):
-                slots, bits = _slots(keys[at : at + 256])
+                bits, got = all_bits[:, at : at + 256], all_counts[:, :, at : at + 256].copy()
                 weight = np.broadcast_to(n[at : at + 256].astype(np.float32), bits.shape)
-                got = np.stack([flat[o][slots[o]] for o in range(ORDERS)]).astype(np.float32)
                 # its own count out: what is left is what other occurrences say
                 got -= np.stack([bits == 0, bits == 1], -1)[None]
                 got = np.maximum(got, 0)
@@ -245,9 +290,9 @@ def _sum_payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([bits]), pa.array([total.tobytes()], pa.binary())], ["bits", "payload"])
 
 
-def train_mixer(grams: DataFrame, counts) -> Mixer:
+def train_mixer(grams: DataFrame, pairs: np.ndarray) -> Mixer:
     """The average of the partitions' mixers, and their adaptive maps' counts together."""
-    learnt = grams.mapInArrow(_train(counts), "bits double, payload binary")
+    learnt = _dealt(grams.where("c > 0")).mapInArrow(_train(pairs), "bits double, payload binary")
     # in two steps, so that the driver gets at most 16 payloads of 73 kB
     rows = learnt.repartition(16, F.xxhash64("payload")).mapInArrow(_sum_payloads, "bits double, payload binary").collect()
     if not rows:
@@ -264,42 +309,32 @@ def train_mixer(grams: DataFrame, counts) -> Mixer:
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
 
 
-def _scored(counts, mixer: Mixer, tokens: int, distinct: int, ends: int):
-    memo: dict[str, np.ndarray] = {}
-
-    def byte_scores(keys: np.ndarray) -> np.ndarray:
-        """log10 probabilities; computed once for each n-gram as long as the memo holds it."""
-        if not memo:
-            memo["key"], memo["value"] = np.full(1 << _MEMO_BITS, 2**64 - 1, np.uint64), np.zeros(1 << _MEMO_BITS)
-        slot = (K.mix64(keys) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
-        missing = memo["key"][slot] != keys
-        if missing.any():
-            new = np.unique(keys[missing])
-            at = (K.mix64(new) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
-            memo["key"][at], memo["value"][at] = new, log_probabilities(new, counts.value, mixer)
-        out = memo["value"][slot]
-        lost = memo["key"][slot] != keys  # two n-grams met in a slot
-        if lost.any():
-            new, which = np.unique(keys[lost], return_inverse=True)
-            out[lost] = log_probabilities(new, counts.value, mixer)[which]
-        return out
+def _gram_scores(pairs: np.ndarray, mixer: Mixer):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, _, got, bits in _whole(batches, pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(_logs(got, bits, mixer))], ["key", "value"])
+
+    return run
+
 
+def _scored(tokens: int, distinct: int, ends: int):
     def run(docs: pa.Table, vocabulary: pa.Table) -> Iterator[pa.RecordBatch]:
-        known, c = vocabulary.column("key").to_numpy(), vocabulary.column("c").to_numpy()
-        order = np.argsort(known)
-        known, c = known[order], c[order]
+        kind, key, value = (vocabulary.column(x).to_numpy() for x in ("kind", "key", "value"))
+        order = np.argsort(key)
+        word, gram = order[kind[order] == 0], order[kind[order] == 1]
+        known, c, grams, logs = key[word], value[word], key[gram], value[gram]
         base = tokens + distinct + 1.0
         for batch in K.slices(iter(docs.to_batches()), "text", _PIECE):
             data, offsets = K.flat(batch.column("text"))
             starts, stops, bounds = K.word_spans(data, offsets)
             hashed = K.hash_words(data, starts, stops).view(np.int64)
-            count = c[np.searchsorted(known, hashed)] if len(hashed) else np.zeros(0, np.int64)
+            count = c[np.searchsorted(known, hashed)] if len(hashed) else np.zeros(0)
             part = lambda x, b: np.diff(np.concatenate(([0.0], np.cumsum(x)))[b])
             n = np.diff(bounds)
             base_score = part(np.log10((count + 1) / base), bounds) + np.log10((ends + 1) / base)
             n_known = np.diff(np.concatenate(([0], np.cumsum(count > 0)))[bounds]) + (ends > 0)
             keys, cut = ngrams(data, offsets)
-            score = np.add.reduceat(byte_scores(keys), cut[:-1])
+            score = np.add.reduceat(logs[np.searchsorted(grams, keys.view(np.int64))], cut[:-1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(n + 1), pa.array(n_known.astype(np.int64)), pa.array(base_score), pa.array(score), pa.array(np.diff(cut))],
                 names.names,
@@ -334,17 +369,22 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     source = source.withColumn("held_out", held_out(F.col("doc_id")))
     source = written(source.mapInArrow(_blocks, "doc_id long, text string, held_out boolean, block long"), "blocks")
-    spark = docs.sparkSession
     gathered = written(source.mapInArrow(_gathered, "kind byte, block long, key long, c long"), "gathered")
-    words = written(gathered.where("kind = 0").groupBy("key").agg(F.sum("c").alias("c")), "words")
-    grams = written(gathered.where("kind = 1").groupBy("key").agg(F.sum("c").alias("c")), "grams")
-    n_words, n_distinct = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    same = Window.partitionBy("kind", "key")
+    first = F.row_number().over(same.orderBy("block")) == 1  # a group has a few rows for each block
+    located = written(gathered.select("kind", "block", "key", F.sum("c").over(same).alias("c"), first.alias("first")), "located")
+    n_words = gathered.where("kind = 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    discarded(gathered)
+    n_distinct = located.where("kind = 0 and first and c > 0").count()
+    grams = located.where("kind = 1 and first").select("key", "c")
     ends = source.where(~F.col("held_out")).count()
     tokens, distinct = int(n_words) + ends, n_distinct + (ends > 0)
-    counts = spark.sparkContext.broadcast(count_tables(grams))
-    mixer = train_mixer(grams, counts)
-    vocabulary = gathered.where("kind = 0").select("block", "key").join(words, "key").select("block", "key", "c")
-    run = _scored(counts, mixer, tokens, distinct, ends)
+    pairs = pair_counts(grams)
+    mixer = train_mixer(grams, pairs)
+    logs = _dealt(grams).mapInArrow(_gram_scores(pairs, mixer), "key long, value double")
+    words = located.where("kind = 0").select("block", "kind", "key", F.col("c").cast("double").alias("value"))
+    vocabulary = words.unionByName(located.where("kind = 1").select("block", "kind", "key").join(logs, "key"))
+    run = _scored(tokens, distinct, ends)
     out = source.groupBy("block").cogroup(vocabulary.groupBy("block")).applyInArrow(run, _SCORES)
     size = -F.col("score") * float(np.log2(10))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", (size / F.col("n_bytes")).alias("bits_per_byte"))

@@ -367,6 +367,30 @@ def test_predictions_of_a_byte_sum_to_one():
     assert [hex(k) for k in got] == ["0x61", "0x6162", "0x616200", "0x0", "0x1", "0x163", "0x16300"]
 
 
+def test_long_contexts_stay_apart_in_many(spark):
+    from clausemill.llm.op7_mixing_lm import exact_counts, scored
+
+    # 150,000 contexts: the held-out text occurs in training, so its bytes are known after four others
+    rng = np.random.default_rng(3)
+    text = bytes(rng.integers(33, 65, 150_000, dtype=np.uint8)).decode()
+    rows = [(i, text) for i in range(12) if zlib.crc32(str(i).encode()) % 7 != 2][:3]
+    rows += [(i, text) for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:1]
+    got = scored(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert len(got) == 1 and got[0]["bits_per_byte"] < 0.6
+    keys = np.unique(rng.integers(97, 100, (400, 5)) @ (np.int64(1) << np.arange(0, 40, 8))).astype(np.uint64)
+    c = rng.integers(0, 9, len(keys))
+    pairs = np.bincount((keys & np.uint64(0xFFFF)).astype(np.int64), c, 1 << 16)
+    for k, n, counts, bits in exact_counts(keys, c, pairs):
+        for o in range(5):
+            for b in range(8):
+                want = Counter()
+                for key, x in zip(keys.tolist(), c.tolist(), strict=True):
+                    low = key & ((1 << (8 * o + 8)) - 1)
+                    want[low >> (8 - b), (low >> (7 - b)) & 1] += x
+                low = [key & ((1 << (8 * o + 8)) - 1) for key in k.tolist()]
+                assert counts[o, b].tolist() == [[want[x >> (8 - b), 0], want[x >> (8 - b), 1]] for x in low]
+
+
 # --- 8 -------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
