@@ -8,9 +8,9 @@ deadline, so after any number of slots each source has had its share to within
 less than one block.  A phase ends when a source runs out; the weights of those
 left are scaled up and a new phase begins.
 
-Weights are rounded to whole slots of a period, so a phase repeats itself after
-one period: the driver schedules one period for each phase (at most sources x
-PERIOD slots, whatever the input), and every document computes its slot from it.
+Releases and deadlines come from the exact weights, as ratios of integers.  The
+driver schedules every block (one of BLOCK_ROWS rows) and sends the blocks' places
+to the tasks in stretches of PERIOD; every document looks up its slot in them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Mapping
+from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,6 @@ PERIOD = 5000
 BLOCK_ROWS = 16
 #: Ranges of the hashed order in which rows are numbered apart; a source is never numbered in one task.
 RANGES = 1024
-MOST_SOURCES = 2000
 
 
 def rounded_weights(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -64,28 +65,44 @@ def period_schedule(slots: Mapping[str, int]) -> list[str]:
 
 
 def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[dict]:
-    """Per phase: first slot, each source's first block, its slots of a period and its places in it."""
+    """Per phase: first slot, a period that no phase exceeds and that is period at least, each source's places in it.
+
+    A source's blocks take its places of all phases in turn.
+    """
     left = {k: n for k, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    out, begin = [], 0
+    exact = {k: Fraction(weights[k]) for k in left}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    share = {k: int(x * scale) for k, x in exact.items()}
+    # first blocks are due in this order in every phase, so none of them need be listed anew
+    heads = sorted(left, key=lambda k: (-share[k], k))
+    total, out, begin = sum(share.values()), [], 0
     while left:
-        slots = rounded_weights({k: weights[k] for k in left}, max(period, len(left)))
-        order = period_schedule(slots)
-        places: dict[str, list[int]] = {k: [] for k in left}
-        for t, k in enumerate(order):
-            places[k].append(t)
-        # the slot in which each source's last block would run; the first such ends the phase
-        last = {k: (n - 1) // slots[k] * len(order) + places[k][(n - 1) % slots[k]] for k, n in left.items()}
-        end = min(last.values()) + 1
-        whole, part = divmod(end, len(order))
-        out.append({"begin": begin, "period": len(order), "first": dict(done), "places": places})
-        for k in list(left):
-            ran = whole * slots[k] + sum(t < part for t in places[k])
-            left[k] -= ran
-            done[k] += ran
+        if len(heads) > 2 * len(left):
+            heads = [k for k in heads if k in left]
+        released: list[tuple[int, str, int]] = []
+        waiting: list[tuple[int, str, int]] = []
+        places: dict[str, list[int]] = {}
+        at = t = 0
+        while True:
+            while waiting and waiting[0][0] <= t:
+                _, k, j = heapq.heappop(waiting)
+                heapq.heappush(released, (-(-(j + 1) * total // share[k]), k, j))
+            while at < len(heads) and heads[at] not in left:
+                at += 1
+            if at < len(heads) and (not released or (-(-total // share[heads[at]]), heads[at], 0) < released[0]):
+                k, j, at = heads[at], 0, at + 1
+            else:
+                _, k, j = heapq.heappop(released)
+            places.setdefault(k, []).append(t)
+            t += 1
+            left[k] -= 1
             if not left[k]:
-                del left[k]
-        begin += end
+                break
+            heapq.heappush(waiting, ((j + 1) * total // share[k], k, j + 1))
+        del left[k]
+        total -= share[k]
+        out.append({"begin": begin, "period": max(period, t), "places": places})
+        begin += t
     return out
 
 
@@ -101,9 +118,7 @@ def _placed(docs: DataFrame, weights: Mapping[str, float] | None, id_col: str, s
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), ident.alias("_id"), name.alias("_source"), h.alias("_h"), F.shiftrightunsigned(h, 54).cast("int").alias("_range"))
     # shiftrightunsigned gives the hash's ten highest bits: 1024 ranges, in unsigned order
     counts = written(keyed.groupBy("_source", "_range").agg(F.count("*").alias("c")), "counts")
-    totals = {r[0]: r[1] for r in counts.groupBy("_source").agg(F.sum("c")).limit(MOST_SOURCES + 1).collect()}
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    totals = {r[0]: r[1] for r in counts.groupBy("_source").agg(F.sum("c")).collect()}  # a row for each source
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # at most RANGES rows for each source
     bases = counts.select("_source", "_range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_base"))
@@ -112,39 +127,25 @@ def _placed(docs: DataFrame, weights: Mapping[str, float] | None, id_col: str, s
     ranked = ranked.withColumn("_rank", F.col("_base") + F.col("_rn") - 1)
     target = dict(weights) if weights is not None else square_root_weights(totals)
     groups = [{k: n for k, n in totals.items() if target.get(k, 0) > 0}, {k: n for k, n in totals.items() if target.get(k, 0) <= 0}]
-    plan, begin = [], 0
+    slots: dict[str, list[int]] = {k: [] for k in totals}
+    begin = 0
     for group in groups:
         blocks = {k: -(-n // block_rows) for k, n in group.items()}
         for phase in phases(blocks, {k: target.get(k, 0) if target.get(k, 0) > 0 else 1.0 for k in group}, period):
-            plan.append(phase | {"begin": begin + phase["begin"], "first": dict.fromkeys(totals, 0) | phase["first"]})
+            for k, places in phase["places"].items():
+                slots[k].extend(begin + phase["begin"] + s for s in places)
         begin += sum(blocks.values())
-    spark = docs.sparkSession
-    rows = [(k, p["first"][k], p["begin"], p["period"], places) for p in plan for k, places in p["places"].items()]
-    table = spark.createDataFrame(rows, "_s string, _first long, _begin long, _period long, _places array<int>")
-    # each source's phases, in order: made above on the driver, at most MOST_SOURCES x period places for each phase
-    steps = table.groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("_first", "_begin", "_period", "_places"))).alias("_steps"))
-    placed = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows)).join(F.broadcast(steps), F.col("_source") == F.col("_s"))
-    step = F.element_at(F.filter("_steps", lambda s: s["_first"] <= F.col("_block")), -1)
-    placed = placed.withColumn("_step", step).withColumn("_k", F.col("_block") - F.col("_step._first"))
-    size = F.size("_step._places")
-    slot = F.col("_step._begin") + F.floor(F.col("_k") / size) * F.col("_step._period") + F.element_at("_step._places", F.pmod(F.col("_k"), size).cast("int") + 1)
-    placed = placed.withColumn("_slot", slot)
     # a source's last block may be short: later places move up by what it lacks
-    short = []
+    size = np.full(begin, block_rows, np.int64)
     for k, n in totals.items():
-        if lack := -n % block_rows:
-            j = n // block_rows
-            phase = max((p for p in plan if k in p["places"] and p["first"][k] <= j), key=lambda p: p["first"][k])
-            i = j - phase["first"][k]
-            places = phase["places"][k]
-            short.append((phase["begin"] + i // len(places) * phase["period"] + places[i % len(places)], lack))
-    total_lack, table_short = 0, []
-    for at, lack in sorted(short):
-        total_lack += lack
-        table_short.append((at, total_lack))
-    lacks = F.array(*(F.struct(F.lit(a).cast("long").alias("at"), F.lit(n).cast("long").alias("n")) for a, n in table_short)) if table_short else F.lit(None).cast("array<struct<at:long,n:long>>")
-    gone = F.coalesce(F.array_max(F.transform(F.filter(lacks, lambda s: s["at"] < F.col("_slot")), lambda s: s["n"])), F.lit(0))
-    placed = placed.withColumn("_position", F.col("_slot") * block_rows + F.pmod(F.col("_rank"), F.lit(block_rows)) - gone)
+        size[slots[k][-1]] -= -n % block_rows
+    starts = np.cumsum(size) - size
+    rows = [(k, at // period, s[at : at + period], starts[s[at : at + period]].tolist()) for k, s in slots.items() for at in range(0, len(s), period)]
+    table = docs.sparkSession.createDataFrame(rows, "_s string, _stretch long, _slots array<long>, _starts array<long>")
+    placed = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows))
+    placed = placed.join(F.broadcast(table), (F.col("_source") == F.col("_s")) & (F.floor(F.col("_block") / period) == F.col("_stretch")))
+    place = F.pmod("_block", F.lit(period)).cast("int") + 1
+    placed = placed.withColumn("_slot", F.element_at("_slots", place)).withColumn("_position", F.element_at("_starts", place) + F.pmod("_rank", F.lit(block_rows)))
     return placed.select("_row", "_id", "_source", F.col("_slot").cast("long").alias("_slot"), F.col("_position").cast("long").alias("_position"))
 
 
@@ -158,8 +159,9 @@ def mixed(docs: DataFrame, *, weights: Mapping[str, float] | None = None, id_col
     the same as the source ''.  Within a source rows go by hash of the id, then
     id (null first), then hash of the whole row, so the order depends on no
     partition; equal rows take adjacent places.  position has no gaps and starts
-    from 0.  An empty table gives an empty result.  More than MOST_SOURCES
-    sources raise an error, as the schedule is made on the driver.
+    from 0.  An empty table gives an empty result.  The schedule is made on the
+    driver, which holds two numbers for each block; period is how many blocks of
+    a source go to the tasks as one row.
     """
     out = _placed(docs, weights, id_col, source_col, block_rows, period)
     return out.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_slot").alias("slot"), F.col("_position").alias("position"))

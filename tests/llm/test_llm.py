@@ -116,6 +116,35 @@ def test_mixing_places_every_row(spark, edges, empty, documents):
     assert mixed(empty).count() == 0 and in_mixed_order(empty).count() == 0
 
 
+def test_mixing_keeps_to_the_target_weights_over_many_periods():
+    from clausemill.llm.op1_mixing import phases, square_root_weights
+
+    totals = {"big": 160_000, **{f"s{i}": 16_842 for i in range(19)}}
+    weights = square_root_weights(totals) | {"rare": 0.1}
+    blocks = {k: -(-n // 16) for k, n in totals.items()} | {"rare": 50}
+    begin, total = 0, sum(blocks.values())
+    plan = phases(blocks, weights)
+    live = dict(blocks)
+    for p, end in zip(plan, [*(q["begin"] for q in plan[1:]), total], strict=True):
+        owner = {t: k for k, places in p["places"].items() for s in places for t in range(p["begin"] + s, end, p["period"])}
+        assert sorted(owner) == list(range(begin, end))
+        share = {k: weights[k] / math.fsum(weights[j] for j in live) for k in live}
+        done = Counter()
+        for t in range(begin, end):
+            done[owner[t]] += 1
+            assert all(abs(done[k] - w * (t + 1 - begin)) < 1 + 1e-6 for k, w in share.items())
+        live = {k: n - done[k] for k, n in live.items() if n > done[k]}
+        begin = end
+    assert not live
+
+
+def test_mixing_takes_any_number_of_sources(spark):
+    from clausemill.llm.op1_mixing import mixed
+
+    got = mixed(spark.range(2500).selectExpr("id as doc_id", "concat('s', id % 2400) as source")).collect()
+    assert sorted(r.position for r in got) == list(range(2500)) and {r.slot for r in got} == set(range(2400))
+
+
 # --- 2, 5 --------------------------------------------------------------------------
 
 
