@@ -232,7 +232,7 @@ def clustered(classes: DataFrame, find_sets: Callable[[DataFrame], DataFrame], n
     small = left.where(F.col("size") <= SMALL_BUCKET)
     x = small.select("bh", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     y = small.select("bh", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = x.join(y, "bh").where("a < b and ca <> cb").where(near).groupBy("a", "b", "na", "nb").count().where("count > 1").drop("count")
+    pairs = x.join(y, "bh").where("a < b and ca <> cb").where(near).select("a", "b", "na", "nb").distinct()
     more = _verified(_alike(pairs, sigs, num, den, width), sets, num, den)
 
     large = left.where(F.col("size") > SMALL_BUCKET)

@@ -194,6 +194,24 @@ def test_large_groups_are_compared_in_blocks(spark):
     assert got == components({i: shingles(t) for i, t in rows}, 85, 100)
 
 
+def test_pairs_of_one_small_bucket_are_verified(spark):
+    from clausemill.llm.neardup import class_ids, clustered
+
+    # a and b are alike and share one band, its bucket's pivot (which collides most) is like neither
+    rng = np.random.default_rng(4)
+    a = np.sort(rng.integers(0, 2**63, 100).astype(np.uint64))
+    b = np.sort(np.concatenate((a[5:], rng.integers(0, 2**63, 5).astype(np.uint64))))
+    others = [np.sort(rng.integers(0, 2**63, 100).astype(np.uint64)) for _ in range(2)]
+    sets = [a, b, *others]
+    ids = [x.tobytes() for x in class_ids(np.concatenate(sets), np.arange(0, 401, 100))]
+    bands = [[1, 2], [1, 3], [1, 4], [5, 4]]
+    sig = [bytes(80), bytes(80), bytes([1] * 80), bytes([2] * 80)]
+    classes = spark.createDataFrame([(i, 100, h, g) for i, h, g in zip(ids, bands, sig, strict=True)], "cid binary, n long, bands array<long>, sig binary")
+    full = spark.createDataFrame([(i, x.tobytes()) for i, x in zip(ids, sets, strict=True)], "cid binary, members binary")
+    got = clustered(classes, lambda wanted: full.join(wanted, "cid", "left_semi"), 80, 100).collect()
+    assert {(bytes(r.cid), bytes(r.comp)) for r in got} == {(i, min(ids[:2])) for i in ids[:2]}
+
+
 def test_components(spark):
     from clausemill.llm.components import connected_components
 
