@@ -21,6 +21,10 @@ SLACK = 8
 FAN_IN = 8
 #: The emptiest bins of a group that go up the tree; fuller ones beyond are emitted.
 CARRIED = 50_000
+#: Pieces in order that are packed together where sequences keep an order.
+WINDOW = 2048
+#: Bits of a piece's number in its place: 2^24 pieces of LENGTH ids are longer than any text.
+_PIECE_BITS = 24
 
 _encoders: dict[str, object] = {}
 
@@ -90,21 +94,22 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fill, np.int64)
 
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, place long"
 
 
-def _pieces(vocabulary: str, pattern: str, length: int):
+def _pieces(vocabulary: str, pattern: str, length: int, window: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(vocabulary, pattern)
-        doc, null, piece, start, size, crc = [], [], [], [], [], []
+        doc, null, piece, start, size, crc, place = [], [], [], [], [], [], []
         for batch in K.slices(batches, "text"):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, position in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 ids = np.append(tokens(text or ""), 0).astype("<u4")
                 raw, at = ids.tobytes(), 0
                 to = (len(ids) - 1) % length + 1
                 k = 0
                 while at < len(ids):
                     doc.append(doc_id or 0)
+                    place.append((position or 0) << _PIECE_BITS | k)
                     null.append(doc_id is None)
                     piece.append(k)
                     start.append(at)
@@ -114,9 +119,15 @@ def _pieces(vocabulary: str, pattern: str, length: int):
         if not doc:
             return
         sizes = np.array(size, np.int64)
-        bins, offsets, fill = best_fit(sizes, length)
+        bins, offsets, full = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), []
+        for at in range(0, len(sizes), window or len(sizes)):
+            part = slice(at, at + (window or len(sizes)))
+            bins[part], offsets[part], fill = best_fit(sizes[part], length)
+            bins[part] += sum(map(len, full))
+            full.append(fill)
+        fill = np.concatenate(full)
         base = np.int64(TaskContext.get().partitionId()) << 32
-        columns = [pa.array(np.array(doc, np.int64), mask=np.array(null)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(bins + base), pa.array(offsets), pa.array(fill[bins])]
+        columns = [pa.array(np.array(doc, np.int64), mask=np.array(null)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(bins + base), pa.array(offsets), pa.array(fill[bins]), pa.array(place, pa.int64())]
         whole = pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _PIECES.split(", ")])
         for at in range(0, whole.num_rows, 10_000):
             yield whole.slice(at, 10_000)
@@ -135,7 +146,7 @@ def _merge(length: int, level: int):
     return run
 
 
-def best_fit_packed(docs: DataFrame, *, vocabulary: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def best_fit_packed(docs: DataFrame, *, vocabulary: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, position_col: str | None = None, window: int = WINDOW) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of docs.
 
     Each text's ids are followed by id 0.  Longer ones are cut into pieces of
@@ -145,6 +156,11 @@ def best_fit_packed(docs: DataFrame, *, vocabulary: str | None = None, pattern:
     node takes at most its CARRIED emptiest bins; the rest are done as they are,
     so no node grows with the input.
 
+    With position_col (whole numbers, each row its own, by which docs' partitions
+    and their rows are sorted) sequences keep that order: pieces are packed in windows
+    of so many, and a sequence's id grows with the least position in it.  Only
+    bins that are not full leave their window.
+
     A null text counts as empty, an empty one is a single id 0.  Repeated rows
     are packed each; a null doc_id stays null.  Other columns are ignored; an
     empty table gives an empty result.  vocabulary is a ``.tiktoken`` file that
@@ -154,8 +170,8 @@ def best_fit_packed(docs: DataFrame, *, vocabulary: str | None = None, pattern:
         import public_tokenizers
 
         vocabulary, pattern = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = written(source.mapInArrow(_pieces(str(vocabulary), pattern, length), _PIECES), "pieces")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.col(position_col) if position_col else F.lit(None)).cast("long").alias("position"))
+    pieces = written(source.mapInArrow(_pieces(str(vocabulary), pattern, length, window if position_col else None), _PIECES), "pieces")
     open_ = pieces.where(F.col("fill") < length - SLACK).groupBy("bin").agg(F.first("fill").alias("fill")).withColumn("grp", F.shiftright("bin", 32))
     most = pieces.agg(F.max(F.shiftright("bin", 32))).first()[0] or 0
     moved = None  # bin -> where it now lies
@@ -174,6 +190,9 @@ def best_fit_packed(docs: DataFrame, *, vocabulary: str | None = None, pattern:
     out = pieces
     if moved is not None:
         out = pieces.join(moved, "bin", "left").withColumn("offset", F.col("offset") + F.coalesce("shift", F.lit(0))).withColumn("bin", F.coalesce("parent", "bin"))
+    if position_col:
+        least = out.groupBy("bin").agg(F.min("place").alias("least"))
+        out = out.join(least, "bin").withColumn("bin", F.col("least"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
 
 

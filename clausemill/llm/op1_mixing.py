@@ -167,8 +167,8 @@ def mixed(docs: DataFrame, *, weights: Mapping[str, float] | None = None, id_col
     return out.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_slot").alias("slot"), F.col("_position").alias("position"))
 
 
-def in_mixed_order(docs: DataFrame, *, text_col: str = "text", weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """docs with its own columns, sorted over all partitions by the mixed order.
+def in_mixed_order(docs: DataFrame, *, text_col: str = "text", weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD, position_col: str | None = None) -> DataFrame:
+    """docs with its own columns, sorted over all partitions by the mixed order; with its place in it as position_col, if given.
 
     There are as many partitions as the texts' bytes fill at the session's
     spark.sql.files.maxPartitionBytes, so that each file is one task's share for the next reader.
@@ -177,7 +177,7 @@ def in_mixed_order(docs: DataFrame, *, text_col: str = "text", weights: Mapping[
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = int(max(1, -(-size // conf.filesMaxPartitionBytes())))
     out = _placed(docs, weights, id_col, source_col, block_rows, period)
-    return out.repartitionByRange(parts, "_position").sortWithinPartitions("_position").select("_row.*")
+    return out.repartitionByRange(parts, "_position").sortWithinPartitions("_position").select("_row.*", *([F.col("_position").alias(position_col)] if position_col else []))
 
 
 def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

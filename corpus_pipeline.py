@@ -37,8 +37,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents' tokens, in sequences of fixed length."""
-    return best_fit_packed(docs)
+    """All documents' tokens, in sequences of fixed length numbered by the mixed order.
+
+    The order depends on the rows alone, not on their files, so it is found here again
+    as the mixing stage has it.
+    """
+    return best_fit_packed(in_mixed_order(docs, position_col="position"), position_col="position")
 
 
 STAGES = [

@@ -632,6 +632,31 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     sequences_are_whole(packed, 2048)
 
 
+def test_pipeline_packs_in_the_mixed_order(spark):
+    import corpus_pipeline as C
+
+    from clausemill.llm.op1_mixing import mixed
+    from clausemill.llm.op10_packing import WINDOW
+
+    # by length, the documents of one source would come first
+    docs = spark.createDataFrame([(i, "one two three " * (9 if i % 3 else 2), "a" if i % 3 else "b") for i in range(24_000)], "doc_id long, text string, source string")
+    position = {r.doc_id: r.position for r in mixed(docs).collect()}
+    rows = C.pack(spark, docs.repartition(7), SF).collect()
+    sequences_are_whole(rows, 2048)
+    least = {}
+    for r in rows:
+        least[r.sequence_id] = min(least.get(r.sequence_id, math.inf), position[r.doc_id])
+    in_order = sorted(least)
+    assert [least[k] for k in in_order] == sorted(least.values())
+    order = sorted(position, key=position.get)
+    for cut in (0.3, 0.5, 0.7):
+        head = set(in_order[: int(cut * len(in_order))])
+        got = [r.doc_id for r in rows if r.sequence_id in head]
+        want = order[: len(got)]
+        # rows of a source in a prefix, against the mixed order: less than a window is shifted
+        assert abs(sum(i % 3 == 0 for i in got) - sum(i % 3 == 0 for i in want)) < WINDOW, cut
+
+
 def test_word_kernel_equals_regex():
     from clausemill.llm import textkit as K
 
