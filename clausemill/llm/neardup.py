@@ -5,8 +5,11 @@ copies never meet in a join.  Classes are banded on min-max signatures.  In each
 bucket the class that collides most elsewhere is the pivot, and every other
 member is verified against it on full sets; that links nearly all of a group
 without listing its pairs.  Only buckets whose members still lie in different
-components go on: small ones list their open pairs, large ones are compared block
-by block inside tasks, which emit only the links that join components.
+components go on.  Small ones list their open pairs.  Large ones are split by pairs
+of signature values (PARTS of them, so that a pair at the threshold shares one but
+for 1e-7 or less) and each part is verified against a pivot of its own; the parts
+that are still mixed list their open pairs or, if large, are compared block by block
+inside tasks, which emit only the links that join components.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .scratch import discarded, written
 #: Buckets up to this size list their open pairs; larger ones are compared in blocks.
 SMALL_BUCKET = 64
 BLOCK = 512
+#: Pairs of signature values by which a large bucket is split.
+PARTS = 16
 _BITS = 1 << 24
 
 #: values and offsets of the units' distinct shingles, and the columns that name them
@@ -204,6 +209,30 @@ def _blocks(num: int, den: int):
     return run
 
 
+def _star(met: DataFrame, pivot: DataFrame, sigs: DataFrame, sets: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """Links (a, b) between the members of met (bh, cid, n) and their bucket's pivot (bh, b, nb)."""
+    near = f"least(na, nb) * {den} >= greatest(na, nb) * {num}"
+    pairs = met.select("bh", F.col("cid").alias("a"), F.col("n").alias("na")).join(pivot, "bh").where("a <> b").where(near)
+    return _verified(_alike(pairs.select("a", "b", "na", "nb").distinct(), sigs, num, den, width), sets, num, den)
+
+
+def _mixed(met: DataFrame, links: DataFrame) -> DataFrame:
+    """The members (bh, cid, n, size, comp) of the buckets that lie in two or more components of links."""
+    home = connected_components(links).select(F.col("node").alias("cid"), "component")
+    homed = met.join(home, "cid", "left").select("bh", "cid", "n", "size", F.coalesce("component", "cid").alias("comp"))
+    mixed = homed.groupBy("bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bh")
+    return homed.join(mixed, "bh")
+
+
+def _open_pairs(small: DataFrame, sigs: DataFrame, sets: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """Links between members of different components of small buckets: every such pair is compared."""
+    x = small.select("bh", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    y = small.select("bh", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    near = f"least(na, nb) * {den} >= greatest(na, nb) * {num}"
+    pairs = x.join(y, "bh").where("a < b and ca <> cb").where(near).select("a", "b", "na", "nb").distinct()
+    return _verified(_alike(pairs, sigs, num, den, width), sets, num, den)
+
+
 def clustered(classes: DataFrame, find_sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """(cid, comp) of the classes (cid, n, bands, sig) that have a link; comp is the least cid.
 
@@ -216,31 +245,29 @@ def clustered(classes: DataFrame, find_sets: Callable[[DataFrame], DataFrame], n
     sets = written(find_sets(wanted), "sets")
     sigs = written(classes.select("cid", "sig").join(wanted, "cid", "left_semi"), "sigs")
     width = (sigs.agg(F.max(F.length("sig"))).first()[0]) or 0
+    rest = (sigs, sets, num, den, width)
     weight = met.groupBy("cid").agg(F.sum("size").alias("weight"))
     pivot = met.join(weight, "cid").groupBy("bh").agg(F.max(F.struct("weight", "cid", "n")).alias("p"))
-    pivot = pivot.select("bh", F.col("p.cid").alias("b"), F.col("p.n").alias("nb"))
-    near = f"least(na, nb) * {den} >= greatest(na, nb) * {num}"
-    star = met.select("bh", F.col("cid").alias("a"), F.col("n").alias("na")).join(pivot, "bh").where("a <> b").where(near)
-    star = _alike(star.select("a", "b", "na", "nb").distinct(), sigs, num, den, width)
-    star = written(_verified(star, sets, num, den), "star")
-    first = written(connected_components(star), "first")
-
-    homed = met.join(first.select(F.col("node").alias("cid"), "component"), "cid", "left").select("bh", "cid", "n", "size", F.coalesce("component", "cid").alias("comp"))
-    mixed = homed.groupBy("bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bh")
-    left = written(homed.join(mixed, "bh"), "mixed")
-
-    small = left.where(F.col("size") <= SMALL_BUCKET)
-    x = small.select("bh", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = small.select("bh", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = x.join(y, "bh").where("a < b and ca <> cb").where(near).select("a", "b", "na", "nb").distinct()
-    more = _verified(_alike(pairs, sigs, num, den, width), sets, num, den)
-
-    large = left.where(F.col("size") > SMALL_BUCKET)
-    dealt = large.select("bh", "cid", "comp", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
-    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("bh", "cid", "comp", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j")).join(sets, "cid")
-    more = more.unionByName(dealt.groupBy("bh", "i", "j").applyInPandas(_blocks(num, den), "a binary, b binary"))
-    links = written(star.unionByName(more), "links")
-    discarded(met, sets, sigs, star, first, left)
+    links = written(_star(met, pivot.select("bh", F.col("p.cid").alias("b"), F.col("p.n").alias("nb")), *rest), "star")
+    left = written(_mixed(met, links), "mixed")
+    done = [met, links, left]
+    pairs, large = _open_pairs(left.where(F.col("size") <= SMALL_BUCKET), *rest), left.where(F.col("size") > SMALL_BUCKET)
+    links = links.unionByName(pairs)
+    if not large.isEmpty():
+        # large buckets split by pairs of signature values, and each part has a pivot of its own, taken at random
+        parts = [F.xxhash64("bh", F.lit(k), F.expr(f"substring(sig, {2 * k + 1}, 2)")) for k in range(min(PARTS, width // 2))]
+        split = large.select("bh", "cid", "n").join(sigs, "cid").select("cid", "n", F.explode(F.array(*parts)).alias("bh")).distinct()
+        multi = split.groupBy("bh").agg(F.count("*").alias("size"), F.max(F.struct(F.xxhash64("cid", "bh"), "cid", "n")).alias("p")).where("size > 1")
+        parted = written(split.join(multi.select("bh", "size"), "bh"), "parted")
+        links = written(links.unionByName(_star(parted, multi.select("bh", F.col("p.cid").alias("b"), F.col("p.n").alias("nb")), *rest)), "stars")
+        left = written(_mixed(parted, links), "mixed")
+        done += [parted, links, left]
+        pairs, large = _open_pairs(left.where(F.col("size") <= SMALL_BUCKET), *rest), left.where(F.col("size") > SMALL_BUCKET)
+        dealt = large.select("bh", "cid", "comp", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
+        dealt = dealt.withColumn("k", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+        dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        dealt = dealt.select("bh", "cid", "comp", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j")).join(sets, "cid")
+        links = links.unionByName(pairs).unionByName(dealt.groupBy("bh", "i", "j").applyInPandas(_blocks(num, den), "a binary, b binary"))
+    links = written(links, "links")
+    discarded(sets, sigs, *done)
     return connected_components(links).select(F.col("node").alias("cid"), F.col("component").alias("comp"))

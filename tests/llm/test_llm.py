@@ -170,6 +170,20 @@ def test_near_duplicates_equal_brute_force(spark, documents, edges, empty):
     assert near_duplicates(empty).count() == 0
     left = without_near_duplicates(edges)
     assert left.columns == edges.columns and sorted(r[0] or -1 for r in left.select("doc_id").collect()) == [-1, 1, 3, 4, 5, 6, 7, 9, 10, 12]
+    assert without_near_duplicates(empty).count() == 0
+
+
+def test_one_row_of_each_component_stays_whatever_ids_repeat(spark):
+    from clausemill.llm.op2_minhash import near_duplicates, without_near_duplicates
+
+    a, b = (" ".join(f"{w}{i}" for i in range(30)) for w in "ab")
+    rows = [(3, b, "x"), (5, a, "x"), (5, b, "x"), (5, a, "x"), (5, a, "y"), (None, a, "z"), (None, "c d", "x"), (None, "c d", "x"), (9, None, "x"), (9, None, "x"), (None, None, "x"), (None, " ", "x")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, extra string")
+        kept = sorted(((r.doc_id, r.text) for r in without_near_duplicates(df).collect()), key=repr)
+        assert kept == sorted([(3, b), (5, a), (None, "c d"), (9, None), (9, None), (None, None), (None, " ")], key=repr)
+        got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect())
+        assert got[5, 26, 5, True] == 3 and got[5, 26, 3, False] == 1 and got[None, 26, 5, False] == 1 and got[None, 1, None, True] == 2
 
 
 def test_large_groups_are_compared_in_blocks(spark):
