@@ -19,8 +19,8 @@ LENGTH = 2048
 #: A bin that lacks at most this many tokens is emitted as it is.
 SLACK = 8
 FAN_IN = 8
-#: The emptiest bins of a group that go up the tree; fuller ones beyond are emitted.
-CARRIED = 50_000
+#: Bins that a node of the tree packs in one task, about; a node with more is split into parts, each packed whole.
+NODE_BINS = 50_000
 #: Pieces in order that are packed together where sequences keep an order.
 WINDOW = 2048
 #: Bits of a piece's number in its place: 2^24 pieces of LENGTH ids are longer than any text.
@@ -30,33 +30,40 @@ _encoders: dict[str, object] = {}
 
 
 class _Tokens:
-    """Ids of the byte-level vocabulary in a ``.tiktoken`` file, as the ``.json`` file of the same
-    name gives them; that file's (slower) library takes the texts whose runs of one kind
-    are too long for the first."""
+    """Ids of the vocabulary that a ``tokenizers`` file (.json) and a ``.tiktoken`` file of the same
+    name both hold, exactly as the first one gives them when it is loaded and nothing is set:
+    the strings of its special tokens in a text become their ids.  The second, faster, library
+    works them out; the first takes texts whose runs of one kind are too long for that,
+    and all texts if its added tokens are of kinds that the other does not know."""
 
     def __init__(self, vocabulary: str, pattern: str):
         import base64
+        import json
 
         import tiktoken
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._fast = tiktoken.Encoding(vocabulary, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._json = vocabulary.removesuffix(".tiktoken") + ".json"
+        with open(self._json, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens") or []
+        plain = all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in added)
+        self._special = {t["content"]: t["id"] for t in added}
+        self._fast = tiktoken.Encoding(vocabulary, pat_str=pattern, mergeable_ranks=ranks, special_tokens=self._special) if plain else None
         self._slow = None
 
     def __call__(self, text: str) -> np.ndarray:
-        try:
-            return self._fast.encode_to_numpy(text, disallowed_special=())
-        except BaseException as e:  # a Rust panic is no Exception
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
-                raise
-            if self._slow is None:
-                from tokenizers import Tokenizer
+        if self._fast is not None:
+            try:
+                return self._fast.encode_to_numpy(text, allowed_special="all")
+            except BaseException as e:  # a Rust panic is no Exception
+                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+                    raise
+        if self._slow is None:
+            from tokenizers import Tokenizer
 
-                self._slow = Tokenizer.from_file(self._json)
-                self._slow.encode_special_tokens = True
-            return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            self._slow = Tokenizer.from_file(self._json)
+        return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def encoder(vocabulary: str, pattern: str) -> _Tokens:
@@ -138,23 +145,23 @@ def _pieces(vocabulary: str, pattern: str, length: int, window: int | None):
 def _merge(length: int, level: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["fill", "bin"], ascending=[True, True])
-        base = (np.int64(level) << 56) | (np.int64(pdf["grp"].iloc[0]) << 32)
-        pdf = pdf.head(CARRIED)
+        # a number of its own for each bin: level, node, part, place
+        base = (np.int64(level) << 58) | (np.int64(pdf["grp"].iloc[0]) << 34) | (np.int64(pdf["part"].iloc[0]) << 20)
         bins, offsets, fill = best_fit(pdf["fill"].to_numpy(), length)
         return pd.DataFrame({"bin": pdf["bin"].to_numpy(), "parent": bins + base, "shift": offsets, "fill": fill[bins], "grp": pdf["grp"].to_numpy()})
 
     return run
 
 
-def best_fit_packed(docs: DataFrame, *, vocabulary: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, position_col: str | None = None, window: int = WINDOW) -> DataFrame:
+def best_fit_packed(docs: DataFrame, *, vocabulary: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, position_col: str | None = None, window: int = WINDOW, node_bins: int = NODE_BINS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of docs.
 
     Each text's ids are followed by id 0.  Longer ones are cut into pieces of
     length ids; the first piece takes the remainder.  A partition packs its pieces
     best-fit; bins that are nearly full are done, the others go up a tree (FAN_IN
     partitions to a node) as items of what they hold, and are packed again.  A
-    node takes at most its CARRIED emptiest bins; the rest are done as they are,
-    so no node grows with the input.
+    node with more than node_bins of them is split by hash into parts of about that
+    many, each packed whole, so no task grows with the input and no bin is left out.
 
     With position_col (whole numbers, each row its own, by which docs' partitions
     and their rows are sorted) sequences keep that order: pieces are packed in windows
@@ -164,7 +171,8 @@ def best_fit_packed(docs: DataFrame, *, vocabulary: str | None = None, pattern:
     A null text counts as empty, an empty one is a single id 0.  Repeated rows
     are packed each; a null doc_id stays null.  Other columns are ignored; an
     empty table gives an empty result.  vocabulary is a ``.tiktoken`` file that
-    every executor can open, pattern its split pattern.
+    every executor can open, pattern its split pattern; the ``tokenizers`` file (.json)
+    of the same name lies beside it, and ids are that file's as it is loaded.
     """
     if vocabulary is None or pattern is None:
         import public_tokenizers
@@ -178,7 +186,10 @@ def best_fit_packed(docs: DataFrame, *, vocabulary: str | None = None, pattern:
     level = 0
     while most > 0:
         level, most = level + 1, most // FAN_IN
-        merged = open_.withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("long")).groupBy("grp").applyInPandas(_merge(length, level), "bin long, parent long, shift long, fill long, grp long")
+        nodes = open_.withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("long"))
+        parts = nodes.groupBy("grp").agg(F.ceil(F.count("*") / node_bins).alias("parts"))  # a row for each node
+        nodes = nodes.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("bin"), F.col("parts"))).drop("parts")
+        merged = nodes.groupBy("grp", "part").applyInPandas(_merge(length, level), "bin long, parent long, shift long, fill long, grp long")
         merged = written(merged, "merged")
         step = merged.select("bin", "parent", "shift")
         if moved is None:

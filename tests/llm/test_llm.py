@@ -579,9 +579,8 @@ def test_packing_is_whole_and_tight(spark, documents, edges, empty):
 
     from clausemill.llm.op10_packing import best_fit_packed
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [*documents["text"], "<|endoftext|> x", " " * 3000, "😀" * 50, "\u0000a", "x" * 5000, ""]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # as it is loaded
+    texts = [*documents["text"], "<|endoftext|> x", "a <|endoftext|> b", "a<|endoftext|><|endoftext|>", "<|endoftext|", "x <|endoftext|>" + " " * 70_000 + "y", " " * 3000, "😀" * 50, "\u0000a", "x" * 5000, ""]
     rows = list(enumerate(texts))
     got = best_fit_packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     by = defaultdict(list)
@@ -598,6 +597,10 @@ def test_packing_is_whole_and_tight(spark, documents, edges, empty):
             at += r.length
         assert at == len(ids)
     assert sequences_are_whole(got, 2048) <= math.ceil(total / 2048) + 3
+    # nodes of the tree that are split into parts lose nothing and keep bins apart
+    split = best_fit_packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(9), node_bins=2).collect()
+    sequences_are_whole(split, 2048)
+    assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in split) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in got)
     e = best_fit_packed(edges).collect()
     sequences_are_whole(e, 2048)
     assert sum(r.start == 0 for r in e) == len(EDGES) and best_fit_packed(empty).count() == 0
