@@ -9,8 +9,9 @@ less than one block.  A phase ends when a source runs out; the weights of those
 left are scaled up and a new phase begins.
 
 Releases and deadlines come from the exact weights, as ratios of integers.  The
-driver schedules every block (one of BLOCK_ROWS rows) and sends the blocks' places
-to the tasks in stretches of PERIOD; every document looks up its slot in them.
+driver schedules every block and sends the blocks' places to the tasks in stretches
+of PERIOD; every document looks up its slot in them.  A block has BLOCK_ROWS rows,
+or as many as keep the schedule within MOST_BLOCKS blocks.
 """
 
 from __future__ import annotations
@@ -27,41 +28,11 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 PERIOD = 5000
-BLOCK_ROWS = 16
-#: Ranges of the hashed order in which rows are numbered apart; a source is never numbered in one task.
-RANGES = 1024
-
-
-def rounded_weights(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of a period for each source: at least one each, in all exactly period; largest remainders first."""
-    total = math.fsum(weights.values())
-    exact = {k: w / total * period for k, w in weights.items()}
-    out = {k: max(1, math.floor(x)) for k, x in exact.items()}
-    order = sorted(exact, key=lambda k: (-(exact[k] - math.floor(exact[k])), k))
-    at = 0
-    while (rest := period - sum(out.values())) != 0:
-        k = order[at % len(order)] if rest > 0 else max(out, key=lambda k: (out[k], k))
-        out[k] += 1 if rest > 0 else -1
-        at += 1
-    return out
-
-
-def period_schedule(slots: Mapping[str, int]) -> list[str]:
-    """Earliest deadline first over one period; ties of deadline by name."""
-    period = sum(slots.values())
-    released: list[tuple[int, str, int]] = []
-    waiting = [(0, k, 0) for k in slots]
-    heapq.heapify(waiting)
-    out = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, k, j = heapq.heappop(waiting)
-            heapq.heappush(released, (-(-(j + 1) * period // slots[k]), k, j))
-        _, k, j = heapq.heappop(released)
-        out.append(k)
-        if j + 1 < slots[k]:
-            heapq.heappush(waiting, ((j + 1) * period // slots[k], k, j + 1))
-    return out
+#: Rows of a block at least, and the blocks that the driver schedules at most: with more
+#: rows than fill so many, blocks grow in proportion.
+BLOCK_ROWS, MOST_BLOCKS = 16, 1 << 20
+#: Rows that are numbered in one task, about: the hashed order of a source is cut into ranges of so many.
+RANGE_ROWS = 1 << 14
 
 
 def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[dict]:
@@ -111,16 +82,23 @@ def square_root_weights(counts: Mapping[str, int]) -> dict[str, float]:
     return {k: math.sqrt(n) for k, n in counts.items()}
 
 
-def _placed(docs: DataFrame, weights: Mapping[str, float] | None, id_col: str, source_col: str, block_rows: int, period: int) -> DataFrame:
+def rows_of_a_block(n: int) -> int:
+    """For n rows: BLOCK_ROWS, or more where these would make more than MOST_BLOCKS blocks."""
+    return max(BLOCK_ROWS, -(-n // MOST_BLOCKS))
+
+
+def _placed(docs: DataFrame, weights: Mapping[str, float] | None, id_col: str, source_col: str, block_rows: int | None, period: int) -> DataFrame:
     """_row (docs' columns), _source, _slot, _position; see mixed()."""
     ident, name = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
+    totals = {r[0]: r[1] for r in docs.groupBy(name).count().collect()}  # a row for each source
+    block_rows = block_rows or rows_of_a_block(sum(totals.values()))
+    # the hash's highest bits, as many as cut the largest source into ranges of RANGE_ROWS; in unsigned order
+    bits = max(1, (max(totals.values(), default=1) // RANGE_ROWS).bit_length())
     h = F.xxhash64(ident.cast("long"))
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), ident.alias("_id"), name.alias("_source"), h.alias("_h"), F.shiftrightunsigned(h, 54).cast("int").alias("_range"))
-    # shiftrightunsigned gives the hash's ten highest bits: 1024 ranges, in unsigned order
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), ident.alias("_id"), name.alias("_source"), h.alias("_h"), F.shiftrightunsigned(h, 64 - bits).alias("_range"))
     counts = written(keyed.groupBy("_source", "_range").agg(F.count("*").alias("c")), "counts")
-    totals = {r[0]: r[1] for r in counts.groupBy("_source").agg(F.sum("c")).collect()}  # a row for each source
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # at most RANGES rows for each source
+    # a row for each range
     bases = counts.select("_source", "_range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_source", "_range").orderBy("_h", F.col("_id").asc_nulls_first(), F.xxhash64("_row"))
     ranked = keyed.withColumn("_rn", F.row_number().over(inside)).join(bases, ["_source", "_range"])
@@ -141,6 +119,7 @@ def _placed(docs: DataFrame, weights: Mapping[str, float] | None, id_col: str, s
         size[slots[k][-1]] -= -n % block_rows
     starts = np.cumsum(size) - size
     rows = [(k, at // period, s[at : at + period], starts[s[at : at + period]].tolist()) for k, s in slots.items() for at in range(0, len(s), period)]
+    # two numbers for each of at most MOST_BLOCKS blocks and one more for each source
     table = docs.sparkSession.createDataFrame(rows, "_s string, _stretch long, _slots array<long>, _starts array<long>")
     placed = ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows))
     placed = placed.join(F.broadcast(table), (F.col("_source") == F.col("_s")) & (F.floor(F.col("_block") / period) == F.col("_stretch")))
@@ -149,25 +128,24 @@ def _placed(docs: DataFrame, weights: Mapping[str, float] | None, id_col: str, s
     return placed.select("_row", "_id", "_source", F.col("_slot").cast("long").alias("_slot"), F.col("_position").cast("long").alias("_position"))
 
 
-def mixed(docs: DataFrame, *, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def mixed(docs: DataFrame, *, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int | None = None, period: int = PERIOD) -> DataFrame:
     """doc_id, source, slot, position of every row of docs: its place in the mixed order.
 
-
     weights maps sources to target weights (others, and those of weight 0 or
     less, come after all weighted ones, as an equal mix); None: the square root
     of each source's rows.  Null sources form one source, named ''; it is
     the same as the source ''.  Within a source rows go by hash of the id, then
     id (null first), then hash of the whole row, so the order depends on no
     partition; equal rows take adjacent places.  position has no gaps and starts
-    from 0.  An empty table gives an empty result.  The schedule is made on the
-    driver, which holds two numbers for each block; period is how many blocks of
-    a source go to the tasks as one row.
+    from 0.  An empty table gives an empty result.  block_rows None: see
+    rows_of_a_block().  The schedule is made on the driver, which holds two numbers
+    for each block; period is how many blocks of a source go to the tasks as one row.
     """
     out = _placed(docs, weights, id_col, source_col, block_rows, period)
     return out.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_slot").alias("slot"), F.col("_position").alias("position"))
 
 
-def in_mixed_order(docs: DataFrame, *, text_col: str = "text", weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD, position_col: str | None = None) -> DataFrame:
+def in_mixed_order(docs: DataFrame, *, text_col: str = "text", weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int | None = None, period: int = PERIOD, position_col: str | None = None) -> DataFrame:
     """docs with its own columns, sorted over all partitions by the mixed order; with its place in it as position_col, if given.
 
     There are as many partitions as the texts' bytes fill at the session's

@@ -80,16 +80,25 @@ def components(sets, num, den):
 
 
 def test_mixing_deviates_by_less_than_a_block():
-    from clausemill.llm.op1_mixing import period_schedule, rounded_weights
+    """From the target weights themselves, over 20,000 slots; of equal, irrational and tiny ones."""
+    from clausemill.llm.op1_mixing import phases
 
-    for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 36, **{f"s{i}": 3.4 for i in range(19)}}, {"x": 1}, {"p": 1, "q": 1e-9}):
-        slots = rounded_weights(weights, 1000)
-        assert sum(slots.values()) == 1000 and min(slots.values()) >= 1
+    for weights in ({"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 1.414, "b": 1.0, "c": 0.3}, {"a": 100.0, "b": 0.004}, {"a": math.pi, **{f"s{i}": 0.1 + i / 7 for i in range(19)}}, {"x": 1}):
+        total = math.fsum(weights.values())
+        phase = phases({k: math.ceil(20_000 * w / total) + 2 for k, w in weights.items()}, weights)[0]
+        owner = {t: k for k, places in phase["places"].items() for t in places}
         done = Counter()
-        for t, k in enumerate(period_schedule(slots), 1):
-            done[k] += 1
-            assert all(abs(done[j] - n * t / 1000) < 1 for j, n in slots.items())
-        assert done == slots
+        for t in range(20_000):
+            done[owner[t]] += 1
+            assert all(abs(done[k] - w * (t + 1) / total) < 1 + 1e-9 for k, w in weights.items())
+
+
+def test_blocks_grow_so_that_the_schedule_stays_bounded():
+    from clausemill.llm.op1_mixing import BLOCK_ROWS, MOST_BLOCKS, rows_of_a_block
+
+    assert rows_of_a_block(0) == rows_of_a_block(BLOCK_ROWS * MOST_BLOCKS) == BLOCK_ROWS
+    for n in (BLOCK_ROWS * MOST_BLOCKS + 1, 10**10, 3 * 10**11):
+        assert rows_of_a_block(n) > BLOCK_ROWS and n / rows_of_a_block(n) <= MOST_BLOCKS
 
 
 def test_mixing_places_every_row(spark, edges, empty, documents):
