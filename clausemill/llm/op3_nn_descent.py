@@ -3,8 +3,10 @@
 Equal vectors are one node.  Random-projection trees, fitted on a bounded sample,
 put nodes into leaves; exact neighbours within leaves start the graph.  Then each
 round joins every node's neighbours and reverse neighbours with their vectors and
-compares them with each other.  A query walks the graph from the nodes of its leaves, a
-round of joins for all queries at once, until its best nodes are all expanded.
+compares them with each other, until a round changes hardly any list.  A query walks
+the graph from the nodes of its leaves, a round of joins for all queries at once, until
+its best nodes are all expanded.  The graph is made in single precision; distances of
+a walk, and so scores, are those of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -16,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discarded, written
 
-#: Neighbours kept for each node, rounds of descent, width of the search and its steps at most.
-DEGREE, ROUNDS, WIDTH, MOST_STEPS = 24, 3, 96, 6
-TREES, LEAF, FIT_ROWS = 4, 256, 20_000
+#: Neighbours kept for each node, and nodes that a search keeps.
+DEGREE, WIDTH = 24, 96
+#: Descent ends with the round that changes at most this share of the kept neighbours.
+SETTLED = 0.002
+#: Trees, nodes of a leaf, and the bound of the fit: vectors that the trees are fitted on, at least LEAST of them in a leaf.
+TREES, LEAF, FIT_ROWS, LEAST = 4, 256, 20_000, 8
 _EDGES = "id long, near array<struct<d:float,id:long>>"
 
 
@@ -159,28 +164,35 @@ def fitted_trees(nodes: DataFrame) -> list:
     """Trees for nodes (id, vec), from the FIT_ROWS of least hash; leaves hold about LEAF nodes as far as the sample allows."""
     n = nodes.count()
     sample = nodes.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vec").toArrow().column("vec")
-    depth = int(min(np.ceil(np.log2(max(1, n / LEAF))), max(0, np.floor(np.log2(max(1, len(sample) / 32))))))
+    depth = int(min(np.ceil(np.log2(max(1, n / LEAF))), max(0, np.floor(np.log2(max(1, len(sample) / LEAST))))))
     return fit_trees(_matrix(sample), depth)
 
 
 def in_leaves(nodes: DataFrame, trees: list) -> DataFrame:
     """tree, leaf, part, id, vec; a leaf that holds much more than its share (one that the sample cannot split) has parts."""
-    placed = nodes.mapInArrow(_leaves(trees), "tree int, leaf long, id long, vec array<float>")
+    placed = nodes.mapInArrow(_leaves(trees), f"tree int, leaf long, id long, vec {dict(nodes.dtypes)['vec']}")
     size = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).cast("long").alias("parts"))
     return placed.join(size, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
 
 
-def neighbour_graph(nodes: DataFrame, placed: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
-    """id and near, the DEGREE nearest nodes found, for nodes (id, vec) placed in leaves."""
+def neighbour_graph(nodes: DataFrame, placed: DataFrame, *, settled: float = SETTLED) -> DataFrame:
+    """id and near, the DEGREE nearest nodes found, for nodes (id, vec) placed in leaves.
+
+    Lists only ever get nearer, so rounds end.
+    """
     start = placed.select("tree", "leaf", "part", "id", "vec").groupBy("tree", "leaf", "part").applyInArrow(_leaf_graph, _EDGES)
     graph = written(_merged(start), "graph")
-    for _ in range(rounds):
+    while True:
         worst = F.when(F.size("near") >= DEGREE, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf"))).cast("float")
         known = nodes.join(graph.select("id", worst.alias("worst")), "id", "left").select(F.col("id").alias("u"), "vec", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
         groups = _both_ways(graph).join(known, "u").groupBy("v").agg(F.collect_list(F.struct("u", "vec", "worst")).alias("members"))
-        found = groups.mapInArrow(_local_joins, _EDGES)
-        graph = written(_merged(graph.unionByName(found)), "graph")
-    return graph
+        found = written(groups.mapInArrow(_local_joins, _EDGES), "found")
+        before, graph = graph, written(_merged(graph.unionByName(found)), "graph")
+        old = before.select("id", F.col("near.id").alias("was"))
+        fresh = graph.join(old, "id", "left").agg(F.sum(F.size(F.array_except("near.id", F.coalesce("was", F.array().cast("array<long>"))))), F.sum(F.size("near"))).first()
+        discarded(before, found)
+        if (fresh[0] or 0) <= settled * (fresh[1] or 0):
+            return graph
 
 
 def _distance(a: str, b: str) -> Column:
@@ -191,7 +203,7 @@ def graph_search(nodes: DataFrame, placed: DataFrame, graph: DataFrame, targets:
     """(q, id, d): the WIDTH nearest nodes found for each target (q, vec), itself not left out.
 
     The walk starts at the nodes of the target's leaves.  Each step expands all
-    of the best that have not been, until none is left or MOST_STEPS are done.
+    of the best that have not been, until none is left.
     """
     adjacent = written(_both_ways(graph).groupBy("v").agg(F.collect_list("u").alias("adjacent")), "adjacent")
 
@@ -199,21 +211,24 @@ def graph_search(nodes: DataFrame, placed: DataFrame, graph: DataFrame, targets:
         near = pairs.join(nodes, "id").join(targets.select("q", F.col("vec").alias("qv")), "q").select("q", _distance("qv", "vec").alias("d"), "id", F.lit(False).alias("done"))
         if state is not None:
             # the expanded entry of a node comes after its fresh one and takes its place
-            near = near.unionByName(state.select("q", F.explode("best").alias("b")).select("q", "b.d", "b.id", F.lit(True).alias("done")))
+            near = near.unionByName(state.select("q", F.explode("best").alias("b")).select("q", "b.d", "b.id", "b.done"))
         listed = near.groupBy("q").agg(F.array_sort(F.collect_set(F.struct("d", "id", "done"))).alias("all"))
         last = F.filter("all", lambda x, i: (i == F.size("all") - 1) | (F.get(F.col("all"), i + 1)["id"] != x["id"]))
         return written(listed.select("q", F.slice(last, 1, WIDTH).alias("best")), "state")
 
-    at = targets.select(F.col("q").alias("id"), "vec").mapInArrow(_leaves(trees), "tree int, leaf long, id long, vec array<float>").select("tree", "leaf", F.col("id").alias("q"))
+    at = targets.select(F.col("q").alias("id"), "vec").mapInArrow(_leaves(trees), f"tree int, leaf long, id long, vec {dict(targets.dtypes)['vec']}").select("tree", "leaf", F.col("id").alias("q"))
     # of a leaf in parts a target looks at one, as the others are as good a start
     start = at.join(placed.where("part = 0").select("tree", "leaf", "id"), ["tree", "leaf"]).select("q", "id").distinct()
     state = best_of(start, None)
-    for _ in range(MOST_STEPS):
+    while True:  # a node is expanded once for a target and never comes back undone, so walks end
         open_ = state.select("q", F.explode(F.filter("best", lambda x: ~x["done"])).alias("b")).select("q", F.col("b.id").alias("v"))
         if open_.isEmpty():
             break
+        # every open entry is expanded in this step
+        expanded = state.select("q", F.transform("best", lambda x: F.struct(x["d"].alias("d"), x["id"].alias("id"), F.lit(True).alias("done"))).alias("best"))
         fresh = open_.join(adjacent, "v").select("q", F.explode("adjacent").alias("id")).distinct()
-        state = best_of(fresh, state)
+        before, state = state, best_of(fresh, expanded)
+        discarded(before)
     return state.select("q", F.explode("best").alias("b")).select("q", "b.id", "b.d")
 
 
@@ -225,14 +240,17 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str =
     null, all zero, with null or non-finite components, of another length than
     the commonest (ties: the longer), or with a null id take no part, as query or
     candidate.  Equal vectors are searched as one and come back as rows of their
-    own.  Repeated ids count once.  Other columns are ignored; an empty table
-    gives an empty result.
+    own.  Of rows that repeat an id the one of least vector counts; the id is a
+    query if any of them is.  Other columns are ignored; an empty table, or one
+    without queries, gives an empty result.
     """
-    valid = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vec"), is_query.alias("asked"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    valid = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vec"), is_query.alias("asked"))
     valid = valid.where("vec_id is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)")
     lengths = valid.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     length = lengths[0][0] if lengths else 0
-    valid = written(valid.where(F.size("vec") == length).dropDuplicates(["vec_id"]), "valid")
+    valid = valid.where(F.size("vec") == length).groupBy("vec_id").agg(F.min("vec").alias("vec"), F.max(F.coalesce("asked", F.lit(False))).alias("asked"))
+    valid = written(valid, "valid")
     nodes = written(valid.groupBy("vec").agg(F.min("vec_id").alias("id")).select("id", "vec"), "nodes")
     node_of = written(valid.join(nodes, "vec").select("vec_id", "id", "asked"), "members")
     trees = fitted_trees(nodes)

@@ -319,7 +319,12 @@ def test_neighbours_have_recall_and_exact_scores(spark):
     assert hits >= 0.95 * 150
     few = nearest(df.where("vec_id < 3"), F.col("vec_id") == 0).toPandas()
     assert sorted(few["vec_id"]) == [1, 2]
-    assert nearest(df.where("false"), F.lit(True)).count() == 0
+    assert nearest(df.where("false"), F.lit(True)).count() == 0 and nearest(df, F.lit(False)).count() == 0
+    # vectors that single precision cannot tell apart, ids repeated with other vectors
+    rows = [(i, [1.0, 1.0 + i * 1e-12, 2.0]) for i in range(1, 30)] + [(5, [9.0, 9.0, 9.0]), (1, [8.0, 8.0, 8.0])]
+    close = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 1).collect()
+    assert [r.vec_id for r in sorted(close, key=lambda r: r["rank"])] == list(range(2, 12))
+    assert all(r.score == abs((1.0 + r.vec_id * 1e-12) - (1.0 + 1e-12)) for r in close)
 
 
 # --- 4 -------------------------------------------------------------------------------
