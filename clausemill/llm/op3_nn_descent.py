@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .scratch import discarded, written
 
 #: Neighbours kept for each node, and nodes that a search keeps.
-DEGREE, WIDTH = 24, 96
+DEGREE, WIDTH = 24, 256
 #: Descent ends with the round that changes at most this share of the kept neighbours.
-SETTLED = 0.002
+SETTLED = 0.01
 #: Trees, nodes of a leaf, and the bound of the fit: vectors that the trees are fitted on, at least LEAST of them in a leaf.
 TREES, LEAF, FIT_ROWS, LEAST = 4, 256, 20_000, 8
 _EDGES = "id long, near array<struct<d:float,id:long>>"
