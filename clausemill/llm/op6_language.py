@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
+from .scratch import discarded, written
 
-#: The bound of the fit: texts for each language, in all, and languages.
-PER_LANGUAGE, MOST_TEXTS, MOST_LANGUAGES = 400, 4000, 64
+#: The bound of the fit: texts for each language; in all, about; and for each language at least,
+#: however many languages there are.  Every language that has a labelled text is learned.
+PER_LANGUAGE, MOST_TEXTS, LEAST_TEXTS = 400, 4000, 10
 DIMENSIONS = 1 << 12
 FOLDS = 5
 AMBIGUOUS = 0.2
@@ -105,7 +107,8 @@ def fit(profiles: np.ndarray, languages: list[str]) -> Model:
     """Full-batch Adam on the bounded sample; the same sample gives the same model."""
     names = sorted(set(languages))
     code = codewords(len(names)).astype(np.float32)
-    which = np.array([names.index(v) for v in languages])
+    place = {v: i for i, v in enumerate(names)}
+    which = np.array([place[v] for v in languages])
     x, y = profiles * np.float32(_SCALE), code[which]
     weight = (1.0 / np.bincount(which))[which].astype(np.float32)
     weight /= weight.sum()
@@ -129,21 +132,20 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_sample(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, list[str]]:
-    """Profiles of at most per_language texts (MOST_TEXTS in all) of each of the MOST_LANGUAGES
-    commonest languages, those of least hash of id; for docs (doc_id, text, lang), all not null."""
-    names = [r[0] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    if not names:
+    """Profiles of texts of every language, those of least hash of id: per_language for each, or
+    fewer (LEAST_TEXTS at least) where there would be more than MOST_TEXTS; for docs (doc_id, text, lang), all not null."""
+    languages = docs.select("lang").distinct().count()
+    if not languages:
         return np.zeros((0, DIMENSIONS), np.float32), []
-    most = min(per_language, max(1, MOST_TEXTS // len(names)))
+    most = min(per_language, max(LEAST_TEXTS, MOST_TEXTS // languages))
     order = F.xxhash64(F.col("doc_id"))
-    ranked = docs.where(F.col("lang").isin(names)).select("lang", order.alias("h")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    edges = ranked.where(F.col("k") <= most).groupBy("lang").agg(F.max("h")).collect()
-    keep = F.lit(False)
-    for lang, h in edges:
-        keep = keep | ((F.col("lang") == lang) & (order <= h))
+    ranked = docs.select("lang", order.alias("h")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    edges = written(ranked.where(F.col("k") <= most).groupBy("lang").agg(F.max("h").alias("edge")), "edges")  # a row for each language
     # repeated ids share a hash and may pass the edge together: the bound holds again here
-    got = docs.where(keep).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", "text"))).where(F.col("k") <= most)
+    near = docs.join(edges, "lang").where(order <= F.col("edge")).select("lang", "doc_id", "text")
+    got = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", "text"))).where(F.col("k") <= most)
     rows = got.select("lang", "text").mapInArrow(_profiles, "lang string, profile binary").orderBy("lang", "profile").collect()
+    discarded(edges)
     return np.stack([np.frombuffer(r[1], "<f4") for r in rows]), [r[0] for r in rows]
 
 

@@ -402,6 +402,46 @@ def test_languages_of_held_out_texts(spark, edges, empty):
         assert n < 3 or min((c[i] != c[j]).sum() for i in range(n) for j in range(i)) >= 2
 
 
+def test_decoding_in_plain_python(spark, documents):
+    """lang_pred and score from the fitted weights, by loops over bytes, bits and languages."""
+    from clausemill.llm import op6_language as L
+
+    teach = spark.createDataFrame(documents[["doc_id", "text", "lang"]]).where("lang is not null").where(~L.held_out(F.col("doc_id")))
+    model = L.fit(*L.training_sample(teach, per_language=20))
+    texts = [*documents["text"][:60], "x", "ab", "é", "1 2 3", "日本語 のテキスト", "A" * 3000]
+    got = {r.doc_id: r for r in L.predicted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    wrap = (1 << 32) - 1
+    shift = 32 - (L.DIMENSIONS.bit_length() - 1)
+    for i, text in enumerate(texts):
+        data = [b + 32 if 65 <= b <= 90 else b for b in b" " + text.encode() + b" "]
+        sums, n = [0.0] * len(model.bias), 0
+        for x, y, z in zip(data, data[1:], data[2:], strict=False):
+            two = (x * 0x01000193 & wrap) ^ (y * 0x85EBCA6B & wrap)
+            three = (two * 0x9E3779B1 & wrap) ^ (z * 0xC2B2AE35 & wrap)
+            for slot in ((two * 0x27D4EB2F & wrap) >> shift, (three * 0x165667B1 & wrap) >> shift):
+                n += 1
+                sums = [s + float(w) for s, w in zip(sums, model.weights[slot], strict=True)]
+        margins = [s / max(n, 2) * 300.0 + float(b) for s, b in zip(sums, model.bias, strict=True)]
+        loss = [sum(float(t) * math.log1p(math.exp(-m * float(c))) for t, m, c in zip(model.trust, margins, word, strict=True)) for word in model.code]
+        odds = [math.exp(min(loss) - v) for v in loss]
+        if any(c.isalpha() for c in text):
+            assert got[i].lang_pred == model.languages[loss.index(min(loss))] and math.isclose(got[i].score, max(odds) / sum(odds), rel_tol=1e-4), text[:40]
+        else:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+
+
+def test_every_language_is_learned(spark):
+    from clausemill.llm.op6_language import MOST_TEXTS, identified
+
+    rng = np.random.default_rng(9)
+    letters = [rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5, replace=False) for _ in range(90)]
+    say = lambda k: " ".join("".join(rng.choice(letters[k], 4)) for _ in range(60))
+    rows = [(i, say(i % 90), f"l{i % 90:02}") for i in range(90 * 14)]
+    got = identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).join(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id").toPandas()
+    assert MOST_TEXTS // 90 < 60 and set(got["lang_pred"]) == {f"l{k:02}" for k in range(90)}
+    assert (got["lang_pred"] == got["lang"])[got["held_out"]].mean() > 0.9
+
+
 # --- 7 -------------------------------------------------------------------------------
 
 
