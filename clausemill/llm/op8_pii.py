@@ -11,9 +11,11 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import math
 import random
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from . import textkit as K
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 6
+#: Words whose candidates' features are held at once.
+PIECE = 512
 #: Examples that the field is fitted on, passes over them, and the odds a span must have to be added.
 EXAMPLES, EPOCHS, SURE = 900, 8, 0.9
 
@@ -120,21 +124,97 @@ def span_features(span: str, words: int) -> np.ndarray:
 _OUTER = ".,;:!?\"'<>[]{}"
 
 
-def _segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int, int, np.ndarray]]:
-    """Candidates (first token, last token, start, end, features), outer punctuation left out."""
-    out = []
-    for i in range(len(tokens)):
-        for j in range(i, min(len(tokens), i + MAX_TOKENS)):
-            if j > i and "\n" in text[tokens[j - 1][1] : tokens[j][0]]:
-                break
-            start, end = tokens[i][0], tokens[j][1]
-            while start < end and text[start] in _OUTER:
-                start += 1
-            while end > start and text[end - 1] in _OUTER:
-                end -= 1
-            if end > start and end - start <= 80 and _TRIGGER.search(text, start, end):
-                out.append((i, j, start, end, span_features(text[start:end], j - i + 1)))
-    return out
+def _from(text: str, starts: Sequence[int], ends: Sequence[int], i: int) -> Iterator[tuple[int, int, int]]:
+    """Candidates that begin with word i: last word, start and end, outer punctuation left out."""
+    for j in range(i, min(len(starts), i + MAX_TOKENS)):
+        if j > i and "\n" in text[ends[j - 1] : starts[j]]:
+            return
+        start, end = starts[i], ends[j]
+        while start < end and text[start] in _OUTER:
+            start += 1
+        while end > start and text[end - 1] in _OUTER:
+            end -= 1
+        if end > start and _TRIGGER.search(text, start, end):
+            yield j, start, end
+
+
+def candidates(text: str, starts: Sequence[int], ends: Sequence[int], lo: int, hi: int) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+    """First and last word, start and end of the candidates that begin with words lo to hi; their features."""
+    found = [(i, *c) for i in range(lo, hi) for c in _from(text, starts, ends, i)]
+    return found, np.array([span_features(text[s:e], j - i + 1) for i, j, s, e in found]).reshape(len(found), len(_NAMES))
+
+
+def _logadd(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
+class Lattice:
+    """The candidates of a run of words, and sums and maxima over all their segmentations.
+
+    What is kept is a few numbers for each word and each of its MAX_TOKENS
+    candidates; features are worked on PIECE words at a time, so memory stays
+    small for runs of any length.
+    """
+
+    def __init__(self, text: str, starts: Sequence[int], ends: Sequence[int], weights: np.ndarray, known: tuple[list, np.ndarray] | None = None):
+        """known: candidates() of these words, if they have been worked out."""
+        n = self.n = len(starts)
+        self.text, self.starts, self.ends, self.weights = text, starts, ends, weights
+        #: of each candidate, by first word and length in words: log of the summed odds of its kinds
+        self.total = array("d", [-math.inf]) * (n * MAX_TOKENS)
+        self.fore = array("d", [0.0]) + array("d", [-math.inf]) * n
+        best = array("d", [0.0]) + array("d", [-math.inf]) * n
+        #: of each place the words and kind of the span that ends there on the best way; 0 words: none
+        self.words, self.kind = bytearray(n + 1), bytearray(n + 1)
+        for lo in range(0, n, n if known else PIECE):
+            found, features = known or candidates(text, starts, ends, lo, min(n, lo + PIECE))
+            score = features @ weights.T
+            total, kind, top = (x.tolist() for x in (np.logaddexp.reduce(score, axis=1), score.argmax(axis=1), score.max(axis=1, initial=-math.inf)))
+            at = 0
+            for t in range(lo, n if known else min(n, lo + PIECE)):
+                self.fore[t + 1] = _logadd(self.fore[t + 1], self.fore[t])
+                if best[t] >= best[t + 1]:
+                    best[t + 1], self.words[t + 1] = best[t], 0
+                while at < len(found) and found[at][0] == t:
+                    j = found[at][1]
+                    self.total[t * MAX_TOKENS + j - t] = total[at]
+                    self.fore[j + 1] = _logadd(self.fore[j + 1], self.fore[t] + total[at])
+                    if best[t] + top[at] > best[j + 1]:
+                        best[j + 1], self.words[j + 1], self.kind[j + 1] = best[t] + top[at], j - t + 1, kind[at]
+                    at += 1
+        self.log_z, self.best_score = self.fore[n], best[n]
+
+    def backward(self) -> array:
+        """log of the summed odds of all segmentations of the words from each place on."""
+        back = array("d", [0.0]) * (self.n + 1)
+        for t in range(self.n - 1, -1, -1):
+            x = back[t + 1]
+            for k in range(min(MAX_TOKENS, self.n - t)):
+                if (y := self.total[t * MAX_TOKENS + k]) != -math.inf:
+                    x = _logadd(x, back[t + k + 1] + y)
+            back[t] = x
+        return back
+
+    def best(self) -> list[tuple[str, int, int, float]]:
+        """The best segmentation's spans, left to right, with each one's probability over all segmentations.
+
+        Of segmentations that score the same, one with a word outside any span
+        comes first, then the span that begins first.
+        """
+        out, t, back = [], self.n, None
+        while t > 0:
+            if not self.words[t]:
+                t -= 1
+                continue
+            back = back or self.backward()
+            i = t - self.words[t]
+            start, end = next((s, e) for j, s, e in _from(self.text, self.starts, self.ends, i) if j == t - 1)
+            score = float(span_features(self.text[start:end], t - i) @ self.weights[self.kind[t]])
+            out.append((KINDS[self.kind[t]], start, end, math.exp(score + self.fore[i] + back[t] - self.log_z)))
+            t = i
+        return out[::-1]
 
 
 class Field:
@@ -143,55 +223,9 @@ class Field:
     def __init__(self, weights: np.ndarray):
         self.weights = weights
 
-    def _scores(self, segments: list) -> np.ndarray:
-        return np.array([s[4] for s in segments]) @ self.weights.T if segments else np.zeros((0, len(KINDS)))
-
-    def forward_backward(self, n: int, segments: list) -> tuple[float, np.ndarray]:
-        """log Z and each candidate's probability under each kind."""
-        score = self._scores(segments)
-        ends: list[list[int]] = [[] for _ in range(n)]
-        begins: list[list[int]] = [[] for _ in range(n)]
-        for k, s in enumerate(segments):
-            ends[s[1]].append(k)
-            begins[s[0]].append(k)
-        total = np.logaddexp.reduce(score, axis=1) if len(score) else score
-        fore, back = [0.0] * (n + 1), [0.0] * (n + 1)
-        for t in range(n):
-            fore[t + 1] = functools.reduce(np.logaddexp, [fore[segments[k][0]] + total[k] for k in ends[t]], fore[t])
-        for t in range(n - 1, -1, -1):
-            back[t] = functools.reduce(np.logaddexp, [back[segments[k][1] + 1] + total[k] for k in begins[t]], back[t + 1])
-        if not len(score):
-            return fore[n], score
-        outside = np.array([fore[s[0]] + back[s[1] + 1] for s in segments])
-        return fore[n], np.exp(score + outside[:, None] - fore[n])
-
-    def best(self, n: int, segments: list) -> list[tuple[str, int, int]]:
+    def sure(self, text: str, starts: Sequence[int], ends: Sequence[int]) -> list[tuple[str, int, int]]:
         """The best segmentation's spans whose probability is at least SURE."""
-        if not segments:
-            return []
-        score = self._scores(segments)
-        kind, top = score.argmax(axis=1), score.max(axis=1)
-        ends: list[list[int]] = [[] for _ in range(n)]
-        for k, s in enumerate(segments):
-            ends[s[1]].append(k)
-        value, choice = [0.0] * (n + 1), [-1] * (n + 1)
-        for t in range(n):
-            value[t + 1] = value[t]
-            for k in ends[t]:
-                if value[segments[k][0]] + top[k] > value[t + 1]:
-                    value[t + 1], choice[t + 1] = value[segments[k][0]] + top[k], k
-        chosen, t = [], n
-        while t > 0:
-            k = choice[t]
-            if k < 0:
-                t -= 1
-            else:
-                chosen.append(k)
-                t = segments[k][0]
-        if not chosen:
-            return []
-        _, p = self.forward_backward(n, segments)
-        return [(KINDS[kind[k]], segments[k][2], segments[k][3]) for k in reversed(chosen) if p[k, kind[k]] >= SURE]
+        return [(kind, s, e) for kind, s, e, p in Lattice(text, starts, ends, self.weights).best() if p >= SURE]
 
 
 def examples(count: int = EXAMPLES, seed: int = 8) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -251,41 +285,48 @@ def fitted() -> Field:
     data = []
     for text, spans in examples():
         tokens = [m.span() for m in _WORD.finditer(text)]
-        data.append((len(tokens), _segments(text, tokens), set(spans)))
+        starts, ends = [s for s, _ in tokens], [e for _, e in tokens]
+        known = candidates(text, starts, ends, 0, len(tokens))
+        observed = np.array([[(k, s, e) in spans for k in KINDS] for _, _, s, e in known[0]], float)
+        data.append((text, starts, ends, known, observed))
     squares = np.full_like(field.weights, 1e-4)
     for epoch in range(EPOCHS):
         random.Random(epoch).shuffle(data)
-        for n, segments, gold in data:
-            if not segments:
+        for text, starts, ends, known, observed in data:
+            found, features = known
+            if not found:
                 continue
-            _, p = field.forward_backward(n, segments)
-            observed = np.array([[(k, s[2], s[3]) in gold for k in KINDS] for s in segments], float)
-            g = (observed - p).T @ np.array([s[4] for s in segments]) - 1e-4 * field.weights
+            lattice = Lattice(text, starts, ends, field.weights, known)
+            back = lattice.backward()
+            outside = np.array([lattice.fore[i] + back[j + 1] for i, j, _, _ in found])
+            p = np.exp(features @ field.weights.T + outside[:, None] - lattice.log_z)
+            g = (observed - p).T @ features - 1e-4 * field.weights
             squares += g * g
             field.weights += 0.4 * g / np.sqrt(squares)
     return field
 
 
-def _islands(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of words that hold a digit or an at sign, with a word before, after and between."""
-    run: list[tuple[int, int]] = []
+def _islands(text: str) -> Iterator[tuple[array, array]]:
+    """Runs of words that hold a digit or an at sign, with a word before, after and between; starts and ends."""
+    starts, ends = array("q"), array("q")
     last, gap = None, 0
     for m in _WORD.finditer(text):
         if _TRIGGER.search(text, m.start(), m.end()):
-            if not run and last:
-                run.append(last)
-            run.append(m.span())
+            for at in [last, m.span()] if last and not starts else [m.span()]:
+                starts.append(at[0])
+                ends.append(at[1])
             gap = 0
-        elif run:
+        elif starts:
             gap += 1
             if gap > 1:
-                yield run
-                run = []
+                yield starts, ends
+                starts, ends = array("q"), array("q")
             else:
-                run.append(m.span())
+                starts.append(m.start())
+                ends.append(m.end())
         last = m.span()
-    if run:
-        yield run
+    if starts:
+        yield starts, ends
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
@@ -299,8 +340,8 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
             starts.append(s)
             ends.append(e)
     out = []
-    for tokens in _islands(text):
-        for kind, s, e in field.best(len(tokens), _segments(text, tokens)):
+    for first, last in _islands(text):
+        for kind, s, e in field.sure(text, first, last):
             i = bisect.bisect_left(starts, e) - 1
             if i < 0 or ends[i] <= s:
                 out.append((kind, s, e))
@@ -338,9 +379,12 @@ def found_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, counts of base spans by kind, base_sha256 and spans for every row of docs.
 
     spans lists base and added spans as kind:start:end (code points, end
-    exclusive), by kind, then start.  A null or empty text has none; the digest
-    is then that of the empty string.  Repeated rows get equal results; a null id
-    stays null; other columns are ignored; an empty table gives an empty result.
+    exclusive), by kind, then start.  Added spans touch no base span; of equally
+    good segmentations the one of Lattice.best() is taken.  A text of any length is
+    read whole, with a few numbers held for each word of a run with digits.  A null
+    or empty text has no spans; the digest is then that of the empty string.
+    Repeated rows get equal results; a null id stays null; other columns are
+    ignored; an empty table gives an empty result.
     """
 
     field = fitted()  # on the driver; its weights, 120 numbers, go with the function

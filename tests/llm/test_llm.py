@@ -562,6 +562,75 @@ def test_field_adds_what_patterns_miss(spark, edges, empty):
     assert found_pii(empty).count() == 0 and without_pii(empty).count() == 0
 
 
+def test_field_equals_all_segmentations():
+    """Sum, best and probabilities of the dynamic program, by listing every segmentation of short texts."""
+    from clausemill.llm.op8_pii import _TRIGGER, _WORD, KINDS, MAX_TOKENS, Lattice, fitted, span_features
+
+    rng = np.random.default_rng(6)
+    parts = ["12", "555-1234", "(555)", "a@b.co", "4111", "1111", "x", "10.0.0.1", "10.0.0.1,", "...", "+49", "7 8", "9\n3", "q@", "<5>"]
+    weights = fitted().weights
+    for n in [1, 2, 3, 4, 5, 6, 7, 7, 7]:
+        text = " ".join(rng.choice(parts, n))
+        tokens = [m.span() for m in _WORD.finditer(text)][:8]
+        lattice = Lattice(text, [s for s, _ in tokens], [e for _, e in tokens], weights)
+        spans = {}
+        for i in range(len(tokens)):
+            for j in range(i, min(len(tokens), i + MAX_TOKENS)):
+                s, e = tokens[i][0], tokens[j][1]
+                if "\n" in text[s:e]:
+                    break
+                inner = text[s:e].strip(".,;:!?\"'<>[]{}")
+                if inner and _TRIGGER.search(inner):
+                    s = text.index(inner, s)
+                    spans[i, j] = (s, s + len(inner), (weights @ span_features(inner, j - i + 1)).tolist())
+        ways = []  # (score, spans)
+
+        def walk(t, score, chosen):
+            if t == len(tokens):
+                ways.append((score, chosen))
+                return
+            walk(t + 1, score, chosen)
+            for j in range(t, len(tokens)):
+                if (t, j) in spans:
+                    s, e, kinds = spans[t, j]
+                    for k, x in zip(KINDS, kinds, strict=True):
+                        walk(j + 1, score + x, (*chosen, (k, s, e)))
+
+        walk(0, 0.0, ())
+        log_z = np.logaddexp.reduce([w for w, _ in ways])
+        top = max(w for w, _ in ways)
+        assert math.isclose(lattice.log_z, log_z, abs_tol=1e-9) and math.isclose(lattice.best_score, top, abs_tol=1e-9)
+        got = lattice.best()
+        assert any(math.isclose(w, top, abs_tol=1e-9) and c == tuple(x[:3] for x in got) for w, c in ways)
+        for k, s, e, p in got:
+            want = sum(math.exp(w - log_z) for w, c in ways if (k, s, e) in c)
+            assert math.isclose(p, want, rel_tol=1e-6), (text, k, s, e)
+
+
+def test_long_runs_of_numbers_take_little_memory():
+    import tracemalloc
+
+    from clausemill.llm import op8_pii as P
+
+    rng = np.random.default_rng(2)
+    text = " ".join(map(str, rng.integers(0, 10**6, 6000)))
+    field = P.fitted()
+    tracemalloc.start()
+    base, added = P.all_spans(f"{text} call (555) 123-4567 {text} " + "7" * 300, field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ("phone", len(text) + 6, len(text) + 20) in base + added
+    assert peak < 12e6  # 12,000 numbers; all their candidates with features would take 60 MB
+    # what a piece ends with does not show: another size of piece gives the same
+    few = " ".join(map(str, rng.integers(0, 10**5, 60)))
+    piece, P.PIECE = P.PIECE, 7
+    try:
+        small = P.all_spans(few + " (555) 123-4567 " + few, field)
+    finally:
+        P.PIECE = piece
+    assert small == P.all_spans(few + " (555) 123-4567 " + few, field)
+
+
 # --- 9 -------------------------------------------------------------------------------
 
 
