@@ -11,6 +11,7 @@ and control strings inside roles and texts are escaped reversibly.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,18 +23,22 @@ CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 LOSS_ROLE = "assistant"
 
-#: name -> paths (what the fingerprint hashes) and mapping: a list of turns, each a
-#: (literal role, path, further path to append) or one (array path, role field, text field).
+#: name -> mapping, the most specific first: an (array path, role field, text field), or a list of
+#: turns, each a (literal role, path, further path to append).  Paths under "may" can be null in a
+#: row: that turn's text is then empty.
 LAYOUTS = {
     "turns": {"array": ("turns", "role", "text"), "roles_as_they_are": True},
     "messages": {"array": ("messages", "role", "content")},
     "conversations": {"array": ("conversations", "from", "value")},
-    "instruction": {"turns": [("user", "instruction"), ("assistant", "output")]},
-    "instruction_input": {"turns": [("user", "instruction", "input"), ("assistant", "output")]},
-    "system_instruction": {"turns": [("system", "system"), ("user", "instruction"), ("assistant", "output")]},
-    "prompt_completion": {"turns": [("user", "prompt"), ("assistant", "completion")]},
-    "prompt_response": {"turns": [("user", "prompt"), ("assistant", "response")]},
-    "question_answer": {"turns": [("user", "question"), ("assistant", "answer")]},
+    "system_instruction_input": {"turns": [("system", "system"), ("user", "instruction", "input"), ("assistant", "output")], "may": ("output",)},
+    "system_instruction": {"turns": [("system", "system"), ("user", "instruction"), ("assistant", "output")], "may": ("output",)},
+    "instruction_input": {"turns": [("user", "instruction", "input"), ("assistant", "output")], "may": ("output",)},
+    "instruction": {"turns": [("user", "instruction"), ("assistant", "output")], "may": ("output",)},
+    "system_prompt_completion": {"turns": [("system", "system"), ("user", "prompt"), ("assistant", "completion")], "may": ("completion",)},
+    "prompt_completion": {"turns": [("user", "prompt"), ("assistant", "completion")], "may": ("completion",)},
+    "system_prompt_response": {"turns": [("system", "system"), ("user", "prompt"), ("assistant", "response")], "may": ("response",)},
+    "prompt_response": {"turns": [("user", "prompt"), ("assistant", "response")], "may": ("response",)},
+    "question_answer": {"turns": [("user", "question"), ("assistant", "answer")], "may": ("answer",)},
 }
 #: Role names of other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
@@ -64,11 +69,11 @@ def layout_paths(layout: dict) -> list[str]:
     return sorted({p for turn in layout["turns"] for p in turn[1:]})
 
 
-def row_fingerprint(df: DataFrame, ignored: list[str]) -> Column:
-    """SHA-256 of the paths that a row has filled, the nested ones of a filled column included."""
+def row_fingerprint(df: DataFrame, columns: list[str]) -> Column:
+    """SHA-256 of the paths that a row has filled under the given columns, the nested ones of a filled column included."""
     filled = []
     for f in df.schema:
-        if f.name not in ignored:
+        if f.name in columns:
             below = field_paths(T.StructType([f]))
             filled.append(F.when(F.col(f"`{f.name}`").isNotNull(), F.array(*map(F.lit, below))))
     if not filled:
@@ -76,6 +81,12 @@ def row_fingerprint(df: DataFrame, ignored: list[str]) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.flatten(F.filter(F.array(*filled), lambda x: x.isNotNull()))), "\n"), 256)
 
 
+def layout_fingerprints(df: DataFrame, layout: dict) -> list[str]:
+    """Fingerprints of the rows that fit a layout: with each choice of the paths that may be null."""
+    paths, may = layout_paths(layout), layout.get("may", ())
+    return [fingerprint(_present(df, [p for p in paths if p not in out])) for k in range(len(may) + 1) for out in itertools.combinations(may, k)]
+
+
 def _role(role: Column) -> Column:
     low = F.lower(F.trim(F.coalesce(role, F.lit(""))))
     out = F.coalesce(role, F.lit(""))
@@ -91,18 +102,20 @@ def _turn(named: Callable[[Column], Column], role: str, text: str) -> Callable[[
 def canonical_turns(df: DataFrame, *, keys: list[str], layouts: dict | None = None) -> DataFrame:
     """keys, layout and turns (array of role, text) of each row.
 
-    Columns other than keys make up the layout; those null in a row do not count,
-    so one table may mix layouts, and columns that no layout names are ignored.
-    A row that fits none has layout null and no turns.  Null texts count as empty.
+    Columns other than keys make up the layout.  Of the layouts whose columns the
+    table has, a row gets the first in order (the most specific) whose fingerprint
+    its filled columns of that layout have; columns that the chosen layout does not
+    name, filled or not, do not count, so one table may mix layouts.  A row that
+    fits none has layout null and no turns.  Null texts count as empty; repeated
+    rows get equal results; an empty table gives an empty result.
     """
     layouts = layouts or LAYOUTS
     paths = set(field_paths(df.schema)) - set(keys)
     usable = {k: v for k, v in layouts.items() if set(layout_paths(v)) <= paths}
-    known = {p.split(".")[0] for v in usable.values() for p in layout_paths(v)}
-    print_ = row_fingerprint(df, [f.name for f in df.schema if f.name in keys or f.name not in known])
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
-    for k, layout in usable.items():
-        here = print_ == fingerprint(_present(df, layout_paths(layout)))
+    for k, layout in reversed(usable.items()):
+        columns = [p.split(".")[0] for p in layout_paths(layout)]
+        here = row_fingerprint(df, columns).isin(layout_fingerprints(df, layout))
         if "array" in layout:
             top, role, text = layout["array"]
             named = (lambda r: F.coalesce(r, F.lit(""))) if layout.get("roles_as_they_are") else _role

@@ -368,6 +368,9 @@ def test_layouts_are_chosen_by_fingerprint(spark):
         (5, None, None, None, None, None, "p", "c", None),
         (6, None, None, None, None, None, None, None, None),
         (7, None, None, "do", None, None, "p", None, None),
+        (8, [("user", "q")], None, "do", None, "done", None, None, None),
+        (9, None, None, "do", "this", None, None, None, None),
+        (10, None, None, None, "this", None, None, None, None),
     ]
     got = {r.id: (r.layout, [tuple(t) for t in r.turns]) for r in canonical_turns(spark.createDataFrame(rows, schema), keys=["id"]).collect()}
     assert got == {
@@ -377,8 +380,22 @@ def test_layouts_are_chosen_by_fingerprint(spark):
         4: ("instruction_input", [("user", "do\nthis"), ("assistant", "done")]),
         5: ("prompt_completion", [("user", "p"), ("assistant", "c")]),
         6: (None, []),
-        7: (None, []),
+        7: ("instruction", [("user", "do"), ("assistant", "")]),
+        8: ("messages", [("user", "q")]),
+        9: ("instruction_input", [("user", "do\nthis"), ("assistant", "")]),
+        10: (None, []),
     }
+    both = spark.createDataFrame([(1, "s", "do", "this", "done")], "id long, system string, instruction string, input string, output string")
+    got = canonical_turns(both, keys=["id"]).first()
+    assert got.layout == "system_instruction_input" and [tuple(t) for t in got.turns] == [("system", "s"), ("user", "do\nthis"), ("assistant", "done")]
+    assert canonical_turns(both.where("false"), keys=["id"]).count() == 0
+
+
+def test_no_conversations(spark):
+    from clausemill.llm.op4_chat import canonical_turns, chat_digests, formatted_chats, turn_rows
+
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_digests(formatted_chats(canonical_turns(turn_rows(none), keys=["conv_id"]), keys=["conv_id"]), keys=["conv_id"]).count() == 0
 
 
 # --- 6 -------------------------------------------------------------------------------
