@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (tests, a
-    single machine) a temporary folder, which is then set as the session's own."""
+    """``spark.checkpoint.dir`` of the session.  Where it is unset and all of Spark runs in
+    this process (tests), a temporary folder, which is then set as the session's own; on
+    a cluster that would be a folder of one machine, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="clausemill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
