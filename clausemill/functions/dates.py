@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import BLANK, WS, stripped
+
 # Month and number words, and the patterns that count as a date or duration.
 MONTHS = {
     "january": 1, "jan": 1, "february": 2, "feb": 2, "march": 3, "mar": 3, "april": 4, "apr": 4, "may": 5, "june": 6, "jun": 6, "july": 7, "jul": 7,
@@ -25,13 +27,13 @@ NUMBERS = {
 _MONTH = "|".join(sorted(MONTHS, key=len, reverse=True))
 _NUMBER = "|".join(NUMBERS)
 ISO_DATE = r"\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})\b"
-MONTH_FIRST = rf"(?i)\b({_MONTH})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?\s*,?\s*(\d{{4}})\b"
-DAY_FIRST = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:day\s+of\s+)?({_MONTH})\.?\s*,?\s*(\d{{4}})\b"
+MONTH_FIRST = rf"(?i)\b({_MONTH})\.?{WS}+(\d{{1,2}})(?:st|nd|rd|th)?{WS}*,?{WS}*(\d{{4}})\b"
+DAY_FIRST = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?{WS}+(?:day{WS}+of{WS}+)?({_MONTH})\.?{WS}*,?{WS}*(\d{{4}})\b"
 SLASHED = r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b"
 ISO_DURATION = r"(?i)^P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)W)?(?:(\d+)D)?$"
-IN_BRACKETS = r"(?i)\((\d{1,4})\)\s*(?:calendar\s+)?(day|week|month|year)s?"
-IN_DIGITS = r"(?i)\b(\d{1,4})\s*(?:calendar\s+)?(day|week|month|year)s?\b"
-IN_WORDS = rf"(?i)\b((?:{_NUMBER})(?:[\s-]+(?:{_NUMBER}))*)\s*(?:calendar\s+)?(day|week|month|year)s?\b"
+IN_BRACKETS = rf"(?i)\((\d{{1,4}})\){WS}*(?:calendar{WS}+)?(day|week|month|year)s?"
+IN_DIGITS = rf"(?i)\b(\d{{1,4}}){WS}*(?:calendar{WS}+)?(day|week|month|year)s?\b"
+IN_WORDS = rf"(?i)\b((?:{_NUMBER})(?:[{BLANK}-]+(?:{_NUMBER}))*){WS}*(?:calendar{WS}+)?(day|week|month|year)s?\b"
 # End of fixed values.
 
 DATE_PATTERNS = (ISO_DATE, MONTH_FIRST, DAY_FIRST, SLASHED)
@@ -66,6 +68,11 @@ def duration(years: Column, months: Column, days: Column) -> Column:
     return F.struct(years.cast("int").alias("years"), months.cast("int").alias("months"), days.cast("int").alias("days"))
 
 
+def _whole(d: Column) -> Column:
+    """d, or null if one of its parts is."""
+    return F.when(d["years"].isNotNull() & d["months"].isNotNull() & d["days"].isNotNull(), d)
+
+
 def _of_unit(amount: Column, unit: Column) -> Column:
     unit, zero = F.lower(unit), F.lit(0)
     return F.when(
@@ -76,18 +83,19 @@ def _of_unit(amount: Column, unit: Column) -> Column:
 
 def number_of_words(words: Column) -> Column:
     """'one hundred twenty' -> 120; the words add up, hundred multiplies what came before."""
-    numbers = F.transform(F.split(F.lower(F.trim(words)), r"[\s-]+"), lambda w: _lookup(NUMBERS, w))
+    numbers = F.transform(F.split(F.lower(F.trim(words)), f"[{BLANK}-]+"), lambda w: _lookup(NUMBERS, w))
     return F.aggregate(numbers, F.lit(0), lambda total, n: F.when(n == 100, F.greatest(total, F.lit(1)) * 100).otherwise(total + n))
 
 
 def parsed_duration(text: Column) -> Column:
     """struct(years, months, days) of a text, or null: ISO 8601, else (90) days, else 90 days, else ninety days; weeks as days."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = stripped(F.coalesce(text, F.lit("")))
     compact = F.replace(t, F.lit(" "), F.lit(""))
-    iso = lambda n: F.coalesce(F.nullif(F.regexp_extract(compact, ISO_DURATION, n), F.lit("")).try_cast("int"), F.lit(0))
+    # a figure beyond all calendars is none
+    iso = lambda n: F.when(F.regexp_extract(compact, ISO_DURATION, n) == "", 0).otherwise(F.regexp_extract(compact, ISO_DURATION, n).try_cast("int"))
     part = lambda pattern, n: F.regexp_extract(t, pattern, n)
     return (
-        F.when(compact.rlike(ISO_DURATION) & (F.length(compact) > 1), duration(iso(1), iso(2), iso(4) + iso(3) * 7))
+        F.when(compact.rlike(ISO_DURATION) & (F.length(compact) > 1), bound(duration(iso(1), iso(2), (iso(4).cast("long") + iso(3).cast("long") * 7).try_cast("int")), _whole))
         .when(t.rlike(IN_BRACKETS), _of_unit(part(IN_BRACKETS, 1).try_cast("int"), part(IN_BRACKETS, 2)))
         .when(t.rlike(IN_DIGITS), _of_unit(part(IN_DIGITS, 1).try_cast("int"), part(IN_DIGITS, 2)))
         .when(t.rlike(IN_WORDS), _of_unit(number_of_words(part(IN_WORDS, 1)), part(IN_WORDS, 2)))
@@ -120,8 +128,14 @@ def spoken_duration(d: Column) -> Column:
 
 
 def shifted(anchor: Column, d: Column, sign: int = 1) -> Column:
-    """anchor plus or minus a duration: months first (the day clamps to the month's end), then days."""
-    return F.date_add(F.add_months(anchor, (d["years"] * 12 + d["months"]) * sign), d["days"] * sign)
+    """anchor plus or minus a duration: months first (the day clamps to the month's end), then days.
+
+    Null where the result is outside the years 1 to 9999.
+    """
+    months, days = (d["years"].cast("long") * 12 + d["months"]) * sign, d["days"].cast("long") * sign
+    # more than all those years would not fit the arithmetic either
+    span = F.struct(anchor.alias("a"), F.when(F.abs(months) <= 120_000, months).cast("int").alias("m"), F.when(F.abs(days) <= 4_000_000, days).cast("int").alias("d"))
+    return bound(span, lambda x: bound(F.date_add(F.add_months(x["a"], x["m"]), x["d"]), lambda out: F.when(F.year(out).between(1, 9999), out)))
 
 
 def days_until(target: Column, reference: Column | None = None) -> Column:
@@ -143,23 +157,22 @@ def deadline(operation: str, anchor: Column, period: Column, d: Column | None =
     """
     first, second, sign, consequence = _OPERATIONS[operation]
 
-    def made(d: Column, p: Column) -> Column:
-        result = shifted(d, p, sign)
-        ok = d.isNotNull() & p.isNotNull()
+    def made(d: Column, p: Column, result: Column) -> Column:
+        ok = result.isNotNull()
         said = lambda name, value: F.concat(F.lit(f"unparseable_{name}: '"), F.coalesce(value, F.lit("")), F.lit("'"))
         day = lambda x: F.date_format(x, "yyyy-MM-dd")
         mark = "-" if sign < 0 else "+"
+        moved = F.concat(day(d), F.lit(f" {mark} "), spoken_duration(p))
         inputs = F.struct(
             anchor.alias(first), period.alias(second), F.when(ok, day(d)).alias(f"{first}_iso"), F.when(ok, iso_duration(p)).alias(f"{second}_iso"), F.when(ok, F.lit("subtract" if sign < 0 else "add")).alias("operation"),
-            F.when(ok, F.lit(consequence).cast("string")).alias("consequence"), F.when(ok, F.concat(day(d), F.lit(f" {mark} "), spoken_duration(p), F.lit(" = "), day(result))).alias("evaluated"),
-        )
-        return F.struct(
-            result.alias("result"), F.lit(f"{operation} = {first} {mark} {second}").alias("formula"), F.when(d.isNull(), said("date", anchor)).when(p.isNull(), said("duration", period)).alias("error"), inputs.alias("inputs"),
+            F.when(ok, F.lit(consequence).cast("string")).alias("consequence"), F.when(ok, F.concat(moved, F.lit(" = "), day(result))).alias("evaluated"),
         )
+        error = F.when(d.isNull(), said("date", anchor)).when(p.isNull(), said("duration", period)).when(~ok, F.concat(F.lit("date_out_of_range: "), moved))
+        return F.struct(result.alias("result"), F.lit(f"{operation} = {first} {mark} {second}").alias("formula"), error.alias("error"), inputs.alias("inputs"))
 
-    if d is not None and p is not None:
-        return made(d, p)
-    return bound(F.struct(parsed_date(anchor).alias("d"), parsed_duration(period).alias("p")), lambda x: made(x["d"], x["p"]))
+    read = F.struct((parsed_date(anchor) if d is None else d).alias("d"), (parsed_duration(period) if p is None else p).alias("p"))
+    # each step is computed once, however often the next one names it
+    return bound(read, lambda x: bound(F.struct(x["d"].alias("d"), x["p"].alias("p"), shifted(x["d"], x["p"], sign).alias("r")), lambda y: made(y["d"], y["p"], y["r"])))
 
 
 def _date_of(kind: int, m: re.Match) -> str | None:
@@ -177,7 +190,7 @@ def _date_of(kind: int, m: re.Match) -> str | None:
 def _duration_of(kind: int, m: re.Match) -> str | None:
     """The ISO duration of a match of DURATION_PATTERNS[kind]."""
     n = 0
-    for word in re.split(r"[\s-]+", m[1].lower()):
+    for word in re.split(f"[{BLANK}-]+", m[1].lower()):
         value = int(word) if kind < 2 else NUMBERS[word]
         n = max(n, 1) * 100 if kind == 2 and value == 100 else n + value
     unit = m[2].lower()

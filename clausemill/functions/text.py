@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 #: Line ends besides \n: what text split into lines is split on.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
+#: White space, as the inside of a character class; in Java's patterns (whose \s is ASCII only) and Python's alike.
+BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = f"[{BLANK}]"
+
 # Characters that take another form before quotes are compared.
 PUNCTUATION = {
     "‘": "'", "’": "'", "‚": "'", "‛": "'", "ʼ": "'", "´": "'", "`": "'",
@@ -32,6 +36,12 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def preview(quote: Column, most: int = 60) -> Column:
+    """A quote on one line, in quotation marks, cut after so many characters."""
+    flat = collapsed(quote)
+    return F.concat(F.lit('"'), F.substring(flat, 1, most), F.when(F.length(flat) > most, F.lit('…"')).otherwise(F.lit('"')))
+
+
 def is_blank(text: Column) -> Column:
     return ~F.coalesce(text, F.lit("")).rlike(r"(?U)\S")
 
@@ -60,6 +70,16 @@ def folded(text: Column) -> Column:
     return F.replace(F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " ")), F.lit("ß"), F.lit("ss"))
 
 
+def is_ascii(text: Column) -> Column:
+    return text.rlike(r"^[\x00-\x7f]*$")
+
+
+def normalized_ascii(text: Column) -> Column:
+    """normalized() for text that is_ascii(): built-in functions only."""
+    blanks = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+    return F.trim(F.regexp_replace(F.lower(F.translate(text, blanks + "`", " " * len(blanks) + "'")), " +", " "))
+
+
 @functools.cache
 def folding_table() -> dict[int, str]:
     """Code point -> what it becomes: punctuation, white space, else compatibility form and case fold."""

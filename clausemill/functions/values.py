@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from ..schemas import DATE_TYPES, DURATION_TYPES, MONEY_TYPES, OBLIGATION_TYPES, TYPE_ALIASES
 from .dates import bound, is_zero, iso_duration, parsed_date, parsed_duration
-from .text import collapsed, stripped
+from .text import WS, collapsed, stripped
 
 # What counts as an amount, a percentage, a cap in words and a renewal that is not automatic.
 _CURRENCY = r"USD|EUR|GBP|CHF|CAD|AUD|\$|€|£"
 _AMOUNT = r"\d[\d,]*(?:\.\d+)?"
 _SCALE = "million|billion|thousand"
-MONEY_BEFORE = rf"(?i)({_CURRENCY})\s?({_AMOUNT})(?:\s*({_SCALE}))?\b"
-MONEY_AFTER = rf"(?i)({_AMOUNT})(?:\s*({_SCALE}))?\s*(dollars|euros|pounds|USD|EUR|GBP)\b"
+MONEY_BEFORE = rf"(?i)({_CURRENCY}){WS}?({_AMOUNT})(?:{WS}*({_SCALE}))?\b"
+MONEY_AFTER = rf"(?i)({_AMOUNT})(?:{WS}*({_SCALE}))?{WS}*(dollars|euros|pounds|USD|EUR|GBP)\b"
 CODES = {"$": "USD", "€": "EUR", "£": "GBP", "DOLLARS": "USD", "EUROS": "EUR", "POUNDS": "GBP"}
 SCALES = {"thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000}
-PERCENT = r"(?i)(\d{1,3}(?:\.\d+)?)\s*(?:%|percent)"
+PERCENT = rf"(?i)(\d{{1,3}}(?:\.\d+)?){WS}*(?:%|percent)"
 QUALITATIVE = r"(?i)\bexceed\b|\blimited to\b|\bcapped at\b|\bno greater than\b|\bshall pay\b|\bpayable\b"
 NUMERIC_AMOUNT = r"^[A-Z]{3} \d"
 NOT_AUTOMATIC = (
@@ -36,6 +36,11 @@ NOT_AUTOMATIC = (
 # End of fixed values.
 
 
+def contract_number(document_id: Column) -> Column:
+    """The number that a document of a caller has as its id, or null for documents of other origin."""
+    return F.when(document_id.rlike("^[0-9]+$"), document_id.try_cast("long"))
+
+
 def canonical_type(name: Column) -> Column:
     """The obligation type a name or alias means, or null."""
     key = F.translate(F.lower(stripped(name)), " -", "__")

@@ -80,12 +80,21 @@ def model_encoder(path: str, batch_size: int = 16, prefix: str = ""):
     return lambda text: run(F.concat(F.lit(prefix), text))
 
 
-def encoder(settings):
-    """The encoder that settings ask for: a model, the hashing one, or None (search is then lexical)."""
+def _encoder(settings, prefix: str):
     import importlib.util
 
     if settings.embedding_model_path and importlib.util.find_spec("sentence_transformers"):
-        return model_encoder(settings.embedding_model_path, settings.embedding_batch_size, settings.embedding_document_prefix)
+        return model_encoder(settings.embedding_model_path, settings.embedding_batch_size, prefix)
     if settings.use_fake_embeddings:
-        return hashing_encoder(settings.embedding_dimension, settings.embedding_document_prefix)
+        return hashing_encoder(settings.embedding_dimension, prefix)
     return None
+
+
+def encoder(settings):
+    """The encoder of documents that settings ask for: a model, the hashing one, or None (search is then lexical)."""
+    return _encoder(settings, settings.embedding_document_prefix)
+
+
+def query_encoder(settings):
+    """The same encoder for queries, which have a prefix of their own."""
+    return _encoder(settings, settings.embedding_query_prefix)

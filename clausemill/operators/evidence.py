@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.checkbox import unchecked_reason
-from ..functions.text import normalized, normalized_with_offsets
+from ..functions.text import is_ascii, normalized, normalized_ascii, normalized_with_offsets
+from ..sources.staging import staged
 
 _OUTCOME = "verified boolean, method string, reason string, matched_text string, start_offset int, end_offset int, similarity double, value_at int"
 
@@ -59,8 +60,30 @@ def matched(quote: str, text: str, value: str | None, s: Settings) -> tuple:
     return (True, "fuzzy_match", f"fuzzy_match similarity={likeness:.3f}", text[start:end], start, end, likeness, _value_place(text, start, end, value))
 
 
+def _as_it_stands(pairs: DataFrame, s: Settings) -> DataFrame:
+    """pairs with _at: where the quote's first match on its page begins, if that match is the quote letter by letter.
+
+    Both are ASCII there, and no earlier place matches after normalisation, so
+    nothing is left to compare; _at is null for all other pairs.
+    """
+    quote, page = F.col("quote"), F.col("page_text")
+    at = F.instr(page, quote)
+    before = F.substring(page, F.lit(1), at - 1)
+    head = normalized_ascii(before)
+    # white space before the match is one space after normalisation, unless it opens the page
+    place = F.length(head) + F.when(before.rlike(r"[\x09-\x0d\x1c-\x20]$") & (head != ""), 1).otherwise(0)
+    q = normalized_ascii(quote)
+    whole = ~quote.rlike(r"^[\x09-\x0d\x1c-\x20]|[\x09-\x0d\x1c-\x20]$")
+    sure = is_ascii(quote) & whole & (F.length(q) >= s.min_quote_chars) & (at > 0) & is_ascii(page)
+    return pairs.withColumn("_at", F.when(sure, F.when(F.instr(normalized_ascii(page), q) == place + 1, at - 1)))
+
+
 def on_page(pairs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """pairs (quote, page_text, value and further columns) with the outcome of comparing them, box rule included."""
+    """pairs (quote, page_text, value and further columns) with the outcome of comparing them, box rule included.
+
+    Quotes that stand on an ASCII page letter by letter are found by built-in
+    functions; the rest goes through Python.
+    """
     s = settings or Settings()
     names = [x.split()[0] for x in _OUTCOME.split(", ")]
 
@@ -73,12 +96,19 @@ def on_page(pairs: DataFrame, settings: Settings | None = None) -> DataFrame:
             yield pd.concat([pdf, out], axis=1)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
-    out = pairs.mapInPandas(run, f"{fields}, {_OUTCOME}")
+    looked = _as_it_stands(pairs, s)
+    null = lambda kind: F.lit(None).cast(kind)
+    # a page without a box: it matters to no one where the value stands in the span
+    exact = looked.where("_at is not null").select(
+        *pairs.columns, F.lit(True).alias("verified"), F.lit("normalized_exact_match").alias("method"), null("string").alias("reason"), F.col("quote").alias("matched_text"), F.col("_at").cast("int").alias("start_offset"),
+        (F.col("_at") + F.length("quote")).cast("int").alias("end_offset"), F.lit(1.0).alias("similarity"), null("int").alias("value_at"),
+    )
+    out = looked.where("_at is null").drop("_at").mapInPandas(run, f"{fields}, {_OUTCOME}")
     if s.reject_unchecked_options:
         why = F.when(F.col("verified"), unchecked_reason(F.col("page_text"), F.col("value_at")))
         out = out.withColumn("_why", why)
         out = out.withColumn("verified", F.col("verified") & F.col("_why").isNull()).withColumn("method", F.when(F.col("_why").isNull(), F.col("method")).otherwise("none")).withColumn("reason", F.coalesce("_why", "reason")).drop("_why")
-    return out.drop("value_at")
+    return out.unionByName(exact).drop("value_at")
 
 
 def verified(proposals: DataFrame, pages: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -86,22 +116,25 @@ def verified(proposals: DataFrame, pages: DataFrame, settings: Settings | None =
 
     Only the claimed page can verify a quote; if it stands on another page of the
     document, the first such is named in the reason.  Without a claim the first
-    page that verifies it counts.
+    page that verifies it counts.  What compares texts is computed once.
     """
     texts = pages.select(F.col("document_id").alias("_doc"), F.col("page").alias("on"), F.col("text").alias("page_text"))
     kinds = dict(proposals.dtypes)
-    claims = proposals.where("page is not null")
     same = F.col("document_id") == F.col("_doc")
-    claimed = on_page(claims.join(texts, same & (F.col("page") == F.col("on"))).drop("_doc"), settings)
-    absent = claims.join(texts.select("_doc", "on"), same & (F.col("page") == F.col("on")), "left_anti")
+    # a claim for a page that there is not keeps no text, and is not compared
+    joined = proposals.where("page is not null").join(texts, same & (F.col("page") == F.col("on")), "left").drop("_doc")
+    joined = staged(joined.withColumn("_there", F.col("on").isNotNull()), "claims")
+    claimed = staged(on_page(joined.where("_there").drop("on", "_there"), settings).drop("page_text"), "claimed")
+    absent = joined.where("not _there").select(*proposals.columns)
     # other pages are looked at only for what its own page does not verify
-    open_ = claimed.where("not verified").select("document_id", "ordinal", "quote", "page", "value").unionByName(proposals.where("page is null").select("document_id", "ordinal", "quote", "page", "value"))
-    others = on_page(open_.join(texts, same).drop("_doc").where("page is null or on <> page"), settings).where("verified")
-    first = others.withColumn("r", F.row_number().over(Window.partitionBy("document_id", "ordinal").orderBy("on"))).where("r = 1")
+    asked = ["document_id", "ordinal", "quote", "page", "value"]
+    open_ = claimed.where("not verified").select(*asked).unionByName(proposals.where("page is null").select(*asked))
+    others = on_page(open_.join(texts, same).drop("_doc").where("page is null or on <> page"), settings).where("verified").drop("page_text")
+    first = staged(others.withColumn("r", F.row_number().over(Window.partitionBy("document_id", "ordinal").orderBy("on"))).where("r = 1"), "elsewhere")
     outcome = ["verified", "method", "reason", "matched_text", "start_offset", "end_offset", "similarity"]
     elsewhere = first.select("document_id", "ordinal", F.col("on").alias("elsewhere"))
     wrong = F.concat(F.lit("wrong_page: quote claimed on page "), F.col("page").cast("string"), F.lit(" but found on page "), F.col("elsewhere").cast("string"))
-    a = claimed.drop("page_text", "on").join(elsewhere, ["document_id", "ordinal"], "left")
+    a = claimed.join(elsewhere, ["document_id", "ordinal"], "left")
     a = a.withColumn("reason", F.when(~F.col("verified") & F.col("elsewhere").isNotNull(), wrong).otherwise(F.col("reason"))).withColumn("found_page", F.col("page")).drop("elsewhere")
     none = lambda df, reason: df.select("*", F.lit(False).alias("verified"), F.lit("none").alias("method"), reason.alias("reason"), F.lit(None).cast("string").alias("matched_text"), F.lit(None).cast("int").alias("start_offset"), F.lit(None).cast("int").alias("end_offset"), F.lit(None).cast("double").alias("similarity"))
     b = none(absent, F.concat(F.lit("page_out_of_range: page "), F.col("page").cast("string"), F.lit(" does not exist"))).withColumn("found_page", F.col("page"))
@@ -131,8 +164,8 @@ def containing(quotes: DataFrame, texts: DataFrame, *, quote_id: str = "quote_id
 
     quotes: quote_id, quote; texts: text_id, text.  Of a quote of seven words or
     more one 5-word run that no cut can touch is looked up among the texts' runs,
-    then the whole quote is searched for in what remains.  Shorter quotes are
-    searched for in all texts.
+    then the whole quote is searched for in what remains.  Shorter quotes are looked
+    up by one of their letter triples in the same way.
     """
     from ..functions.text import folded
 
@@ -144,5 +177,14 @@ def containing(quotes: DataFrame, texts: DataFrame, *, quote_id: str = "quote_id
     met = runs.join(long_, "h").select(quote_id, text_id, "q")
     hits = met.join(t, text_id).where(F.contains("t", "q")).select(quote_id, text_id)
     short = q.where(F.size("w") < 7).select(quote_id, "q")
-    # a stated, short list of queries against all texts; a text costs one search each
-    return hits.unionByName(t.join(short, F.contains("t", "q")).select(quote_id, text_id))
+    few, tiny = (x or 0 for x in short.agg(F.count_if(F.length("q") >= 3), F.count_if(F.length("q") < 3)).first())
+    if few:
+        # what a text must have to hold a short quote: the quote's letter triple of least hash
+        triples = lambda text: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
+        least = F.array_min(F.transform(triples(F.col("q")), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))["x"]
+        keyed = short.where(F.length("q") >= 3).withColumn("g", least)
+        posted = t.select(text_id, F.explode(triples(F.col("t"))).alias("g")).join(keyed, "g").select(quote_id, text_id, "q")
+        hits = hits.unionByName(posted.join(t, text_id).where(F.contains("t", "q")).select(quote_id, text_id))
+    if tiny:  # one or two letters stand in nearly every text: all pairs are nearly the result
+        hits = hits.unionByName(t.join(short.where(F.length("q") < 3), F.contains("t", "q")).select(quote_id, text_id))
+    return hits

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import find_dates_udf, find_durations_udf, for_anchor
-from ..functions.text import stripped
+from ..functions.text import WS, stripped
 
 # Where sentences end, and the words that a clause of each kind has.
-PARAGRAPH_END = r"\n\s*\n"
-SENTENCE_END = r"""(?<=[.;])\s+(?=[A-Z0-9("'])"""
-MONEY = r"(?i)(?:USD|EUR|GBP|\$|€|£)\s?[\d,]+(?:\.\d{2})?"
-PERCENT = r"(?i)\b\d{1,3}(?:\.\d+)?\s?(?:%|percent)"
-LAW = r"laws of (?:the )?(?:State of |Commonwealth of )?([A-Z][A-Za-z ]+?)(?=[,.]|\s+without)"
+PARAGRAPH_END = rf"\n{WS}*\n"
+SENTENCE_END = rf"""(?<=[.;]){WS}+(?=[A-Z0-9("'])"""
+MONEY = rf"(?i)(?:USD|EUR|GBP|\$|€|£){WS}?[\d,]+(?:\.\d{{2}})?"
+PERCENT = rf"(?i)\b\d{{1,3}}(?:\.\d+)?{WS}?(?:%|percent)"
+LAW = rf"laws of (?:the )?(?:State of |Commonwealth of )?([A-Z][A-Za-z ]+?)(?=[,.]|{WS}+without)"
 LEAST_CLAUSE, QUOTED = 60, 180
 BEGINS = ("commence", "effective date", "begins on", "start date", "effective as of")
 ENDS = ("expire", "expires", "expiration", "end date", "ending", "terminate on", "termination date", "through ", "until")
@@ -42,8 +42,11 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
 def clause_matches(sentences: DataFrame) -> DataFrame:
     """sentences (with sentence) and matches: array of obligation_type, raw_value, in the order of the rules."""
     s, low = F.col("sentence"), F.lower(F.col("sentence"))
-    out = sentences.withColumn("_low", low).withColumn("_dates", find_dates_udf()(s)).withColumn("_spans", find_durations_udf()(s))
+    out = sentences.withColumn("_low", low)
     low = F.col("_low")
+    # only what a rule can ask of a sentence is looked for in it
+    dated, spanned = _any(low, BEGINS + ENDS), _any(low, AUTOMATIC + OPTION) | F.contains(low, F.lit("notice"))
+    out = out.withColumn("_dates", find_dates_udf()(F.when(dated, s))).withColumn("_spans", find_durations_udf()(F.when(spanned, s)))
     # places count from 0; no occurrence: null
     place = lambda found: F.when(found > 0, found - 1)
     notice_at = place(F.instr(low, "notice"))
@@ -84,6 +87,19 @@ def clause_matches(sentences: DataFrame) -> DataFrame:
     return out.select(*sentences.columns, F.array_compact(found).alias("matches"))
 
 
+def worth_reading(sentence: Column) -> Column:
+    """Whether a sentence has a word that some rule needs."""
+    words = BEGINS + ENDS + AUTOMATIC + OPTION + ("notice", "indemnif", "liabilit", "laws of") + PAYS + RAISES
+    return _any(F.lower(sentence), words)
+
+
+def invented(context: DataFrame) -> DataFrame:
+    """For each document one confident proposal whose quote stands nowhere in it: what verification must catch."""
+    first = context.groupBy("document_id").agg(F.min_by("page", "position").alias("page"))
+    quote = "The parties have settled that all rights and duties under this instrument cease on December 31, 2029 at the latest."
+    return first.select("document_id", F.lit(1).alias("ordinal"), F.lit("contract_end_date").alias("obligation_type"), F.lit("December 31, 2029").alias("raw_value"), F.lit(quote).alias("quote"), "page")
+
+
 def proposed(context: DataFrame, types: list[str] | None = None) -> DataFrame:
     """document_id, ordinal, obligation_type, raw_value, quote, page: the first match of each type in reading order.
 
@@ -92,7 +108,7 @@ def proposed(context: DataFrame, types: list[str] | None = None) -> DataFrame:
     from ..schemas import COMPUTED_ONLY, OBLIGATION_TYPES
 
     types = [t for t in (types or OBLIGATION_TYPES) if t not in COMPUTED_ONLY]
-    flat = context.select("document_id", "position", "page", F.posexplode(sentences_of(F.col("text"))).alias("at", "sentence"))
+    flat = context.select("document_id", "position", "page", F.posexplode(sentences_of(F.col("text"))).alias("at", "sentence")).where(worth_reading(F.col("sentence")))
     hits = clause_matches(flat).select("document_id", "position", "page", "at", "sentence", F.explode("matches").alias("m"))
     hits = hits.select("document_id", "position", "page", "at", F.col("sentence").alias("quote"), F.col("m.obligation_type").alias("obligation_type"), F.col("m.raw_value").alias("raw_value"), F.col("m.rule").alias("rule"))
     first = Window.partitionBy("document_id", "obligation_type").orderBy("position", "at", "rule")

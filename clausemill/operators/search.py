@@ -6,8 +6,13 @@ document, or the whole corpus.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +24,7 @@ from ..sources.staging import staged
 K1, B, EPSILON = 1.5, 0.75, 0.25
 # End of fixed values.
 CORPUS = "__corpus__"
+_TOKEN = re.compile("[a-z0-9]+")
 #: Decimals that scores are ranked by, so that the order of a sum cannot change a rank.
 DIGITS = 6
 
@@ -49,8 +55,11 @@ def _key():
 def term_statistics(chunks: DataFrame, posted: DataFrame, *, corpus: bool) -> DataFrame:
     """scope, term, n, idf, avgdl: idf below zero is replaced by EPSILON times the mean idf of all terms."""
     scope = F.lit(CORPUS) if corpus else F.col("document_id")
-    total = chunks.groupBy(scope.alias("scope")).agg(F.count("*").alias("total"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
+    # lengths are sums of the postings; chunks without a token count as chunks
+    total = chunks.groupBy(scope.alias("scope")).agg(F.count("*").alias("total"))
+    length = posted.groupBy("scope").agg(F.sum("tf").alias("length"))
     n = posted.groupBy("scope", "term").agg(F.count("*").alias("n"))
+    total = total.join(length, "scope").select("scope", "total", (F.col("length") / F.col("total")).alias("avgdl"))
     raw = n.join(total, "scope").withColumn("raw", F.ln(F.col("total") - F.col("n") + 0.5) - F.ln(F.col("n") + 0.5))
     mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw"))
@@ -60,11 +69,11 @@ def term_statistics(chunks: DataFrame, posted: DataFrame, *, corpus: bool) -> Da
 def built(chunks: DataFrame, *, corpus: bool = True) -> Index:
     """An index of chunks (document_id, chunk_id, ordinal, text; further columns stay).
 
-    Postings are written once: statistics, scores and the fallback all read them.
+    Postings and statistics are written once: an index is kept and asked many times.
     """
     keyed = chunks.withColumn("key", _key())
     posted = staged(postings(keyed, corpus=corpus), "postings")
-    return Index(posted, term_statistics(keyed, posted, corpus=corpus), keyed, corpus)
+    return Index(posted, staged(term_statistics(keyed, posted, corpus=corpus), "terms"), keyed, corpus)
 
 
 def _asked(queries: DataFrame, corpus: bool) -> DataFrame:
@@ -101,12 +110,48 @@ def lexical_ranking(index: Index, queries: DataFrame, pool: int) -> DataFrame:
     return best.unionByName(other)
 
 
+#: Queries and chunks of a block that are compared with each other as matrices.
+QUERY_BLOCK, CHUNK_BLOCK = 1024, 8192
+_RANKED = "query_id {}, key string, ordinal {}, score double"
+
+
+def _best_of_blocks(pool: int):
+    """The pool best chunks of a block for each query of a block."""
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return pd.DataFrame({"query_id": [], "key": [], "ordinal": [], "score": []}).astype({"key": object})
+        unit = lambda vectors: (m := np.array(vectors.tolist(), np.float64)) / np.where((n := np.sqrt((m * m).sum(1))) == 0, 1, n)[:, None]
+        score = np.round(unit(asked["qv"]) @ unit(held["embedding"]).T, DIGITS) + 0.0
+        place = np.empty(len(held), np.int64)  # ties by ordinal, then key
+        place[np.lexsort((held["key"].to_numpy().astype(str), held["ordinal"].to_numpy()))] = np.arange(len(held))
+        best = [np.lexsort((place, -row))[:pool] for row in score]
+        at = np.concatenate(best)
+        row = np.repeat(np.arange(len(asked)), [len(x) for x in best])
+        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[row], "key": held["key"].to_numpy()[at], "ordinal": held["ordinal"].to_numpy()[at], "score": score[row, at]})
+
+    return run
+
+
 def vector_ranking(chunks: DataFrame, queries: DataFrame, pool: int, *, corpus: bool = True) -> DataFrame:
-    """By cosine of chunks' and queries' vectors; all are ranked, whatever the sign."""
+    """By cosine of chunks' and queries' vectors; all are ranked, whatever the sign.
+
+    In a corpus every query is compared with every chunk, in blocks: a pair of
+    blocks is one product of matrices and gives only each query's pool best.
+    """
     left = queries.select("query_id", F.col("vector").alias("qv"), *([] if corpus else ["document_id"]))
-    # a stated set of queries against all chunks: the queries are the small side
-    pairs = left.join(chunks.where("embedding is not null").select("key", "ordinal", "embedding", "document_id"), [] if corpus else "document_id") if not corpus else chunks.where("embedding is not null").select("key", "ordinal", "embedding").crossJoin(left)
-    scores = pairs.select("query_id", "key", "ordinal", F.round(cosine(F.col("qv"), F.col("embedding")), DIGITS).alias("score"))
+    right = chunks.where("embedding is not null").select("key", "ordinal", "embedding", "document_id")
+    if not corpus:
+        scores = left.join(right, "document_id").select("query_id", "key", "ordinal", F.round(cosine(F.col("qv"), F.col("embedding")), DIGITS).alias("score"))
+        return ranked(scores, pool, positive=False)
+    left = left.where("qv is not null")
+    many = lambda df, size: F.lit(max(1, -(-df.count() // size)))
+    nq, nc = many(left, QUERY_BLOCK), many(right, CHUNK_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    asked = left.withColumn("qb", F.pmod(F.xxhash64("query_id"), nq)).withColumn("cb", every(nc))
+    held = right.drop("document_id").withColumn("cb", F.pmod(F.xxhash64("key"), nc)).withColumn("qb", every(nq))
+    kinds = _RANKED.format(dict(left.dtypes)["query_id"], dict(right.dtypes)["ordinal"])
+    scores = asked.groupBy("qb", "cb").cogroup(held.groupBy("qb", "cb")).applyInPandas(_best_of_blocks(pool), kinds)
     return ranked(scores, pool, positive=False)
 
 
@@ -123,7 +168,7 @@ def fused(rankings: list[DataFrame], *, k: int = 60, weights: list[float] | None
 
 
 def search(index: Index, queries: DataFrame, *, top_k: int = 5, pool: int = 25, rrf_k: int = 60) -> DataFrame:
-    """query_id, rank, key, document_id, chunk_id, page, text, lexical_score, vector_score, fused_score.
+    """query_id, rank, key, document_id, chunk_id, page, text, char_start, char_end, lexical_score, vector_score, fused_score.
 
     queries: query_id, query, for a document scope document_id, and vector if the
     chunks' embedding is to count.  lexical_score is relative to the query's best.
@@ -146,12 +191,23 @@ def search(index: Index, queries: DataFrame, *, top_k: int = 5, pool: int = 25,
         top = top.withColumn("vector_score", F.lit(0.0))
     out = top.join(index.chunks, "key")
     page = F.col("page") if "page" in index.chunks.columns else F.lit(1)
+    # where a chunk stands in its whole document, if that is known
+    known = "doc_start_offset" in index.chunks.columns
+    start = F.coalesce("doc_start_offset", F.lit(0)) if known else F.lit(0)
+    end = F.coalesce("doc_end_offset", F.length("text")) if known else F.length("text")
     return out.select(
         "query_id", "rank", "key", "document_id", "chunk_id", page.alias("page"), "text",
-        F.round(F.coalesce("lexical", F.lit(0.0)), 6).alias("lexical_score"), F.round(F.coalesce("vector_score", F.lit(0.0)), 6).alias("vector_score"), F.round("fused", 6).alias("fused_score"),
+        start.alias("char_start"), end.alias("char_end"), F.round(F.coalesce("lexical", F.lit(0.0)), 6).alias("lexical_score"), F.round(F.coalesce("vector_score", F.lit(0.0)), 6).alias("vector_score"), F.round("fused", 6).alias("fused_score"),
     )
 
 
+def hit_rate(hits: DataFrame, expected: DataFrame, *, top: int = 3) -> DataFrame:
+    """query_id, page (the expected one), got (the pages of the top hits, best first), hit; for expected (query_id, page)."""
+    got = hits.where(F.col("rank") <= top).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "page"))), lambda x: x["page"]).alias("got"))
+    out = expected.join(got, "query_id", "left").withColumn("got", F.coalesce("got", F.array().cast(dict(got.dtypes)["got"])))
+    return out.select("query_id", "page", "got", F.array_contains("got", F.col("page")).alias("hit"))
+
+
 def context(hits: DataFrame, *, most: int = 14) -> DataFrame:
     """Per document the best chunks over all its queries, at most so many, in reading order (position from 1)."""
     best = Window.partitionBy("document_id", "chunk_id").orderBy(F.desc("fused_score"), "query_id")
@@ -160,3 +216,78 @@ def context(hits: DataFrame, *, most: int = 14) -> DataFrame:
     kept = once.withColumn("r", F.row_number().over(top)).where(F.col("r") <= most).drop("r")
     reading = Window.partitionBy("document_id").orderBy("page", "chunk_id")
     return kept.withColumn("position", F.row_number().over(reading))
+
+
+_CONTEXT = "document_id string, chunk_id string, page int, text string, fused_score double, position int"
+
+
+def _okapi(chunks: list[list[str]], queries: list[list[str]]) -> np.ndarray:
+    """BM25 of each query (rows) for each chunk, as bm25_scores() has it for a scope of these chunks."""
+    total, lengths = len(chunks), np.array([len(c) for c in chunks], float)
+    mean = lengths.sum() / total
+    counts = [Counter(c) for c in chunks]
+    n = Counter(t for c in counts for t in c)
+    raw = {t: math.log(total - x + 0.5) - math.log(x + 0.5) for t, x in n.items()}
+    floor = EPSILON * sum(raw.values()) / len(raw) if raw else 0.0
+    wanted = {t for q in queries for t in q if t in raw}
+    gain = {}
+    for t in wanted:
+        tf = np.array([c[t] for c in counts], float)
+        gain[t] = (floor if raw[t] < 0 else raw[t]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / (mean or 1.0)))
+    zero = np.zeros(total)
+    return np.array([np.round(sum((gain[t] for t in q if t in gain), zero), DIGITS) for q in queries])
+
+
+def document_contexts(chunks: DataFrame, queries: list[str], *, vectors: list[list[float]] | None = None, top_k: int = 5, pool: int = 25, rrf_k: int = 60, most: int = 14) -> DataFrame:
+    """What context() makes of search() of the same queries in each document, in one pass over documents.
+
+    A document is one group, and its chunks one task's; chunks: document_id,
+    chunk_id, ordinal, page, text, and embedding if vectors (of the queries) are given.
+    """
+    wanted = [_TOKEN.findall(q.lower()) for q in queries]
+    asked = np.array(vectors, np.float64) if vectors is not None else None
+
+    def fused_of(pdf: pd.DataFrame) -> np.ndarray:
+        """Fused score of each query's top chunks, 0 for others; rows are queries."""
+        held = [_TOKEN.findall(t.lower()) for t in pdf["text"]]
+        score = _okapi(held, wanted)
+        sets = [set(h) for h in held]
+        keys = (pdf["document_id"] + "::" + pdf["chunk_id"]).to_numpy().astype(str)
+        place = np.empty(len(pdf), np.int64)
+        place[np.lexsort((keys, pdf["ordinal"].to_numpy()))] = np.arange(len(pdf))
+        by_key = np.empty(len(pdf), np.int64)
+        by_key[np.argsort(keys)] = np.arange(len(pdf))
+        cosines = None
+        if asked is not None:
+            rows = [e for e in pdf["embedding"] if e is not None]
+            m = np.array([np.zeros(asked.shape[1]) if e is None else e for e in pdf["embedding"]], np.float64)
+            if rows:
+                length = lambda x: np.where((n := np.sqrt((x * x).sum(1))) == 0, 1, n)[:, None]
+                cosines = np.round((asked / length(asked)) @ (m / length(m)).T, DIGITS)
+                cosines[:, [e is None for e in pdf["embedding"]]] = -np.inf
+        out = np.zeros(score.shape)
+        for k, row in enumerate(score):
+            shared = np.array([len(set(wanted[k]) & s) for s in sets])
+            part = np.zeros(len(row))
+            # only chunks that share a term are ranked, then those that score
+            order = [i for i in np.lexsort((place, -row)) if shared[i]][:pool]
+            order = [(r, i) for r, i in enumerate(order, 1) if row[i] > 0]
+            if not order:
+                order = [(r, i) for r, i in enumerate([i for i in np.lexsort((place, -shared)) if shared[i]][:pool], 1)]
+            for r, i in order:
+                part[i] += 1.0 / (rrf_k + r)
+            if cosines is not None:
+                for r, i in enumerate([i for i in np.lexsort((place, -cosines[k])) if cosines[k][i] > -np.inf][:pool], 1):
+                    part[i] += 1.0 / (rrf_k + r)
+            top = [i for i in np.lexsort((by_key, -np.round(part, 12))) if part[i] > 0][:top_k]
+            out[k, top] = np.round(part[top], 6)
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        best = fused_of(pdf).max(axis=0) if queries else np.zeros(len(pdf))
+        kept = pdf.assign(fused_score=best)[best > 0].sort_values(["fused_score", "page", "chunk_id"], ascending=[False, True, True]).head(most)
+        kept = kept.sort_values(["page", "chunk_id"])
+        return kept.assign(position=np.arange(1, len(kept) + 1))[["document_id", "chunk_id", "page", "text", "fused_score", "position"]]
+
+    columns = ["document_id", "chunk_id", "ordinal", "page", "text", *(["embedding"] if vectors is not None else [])]
+    return chunks.select(*columns).groupBy("document_id").applyInPandas(run, _CONTEXT)

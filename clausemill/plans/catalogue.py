@@ -19,6 +19,7 @@ from ..operators import ledger as L
 from ..operators import pages as P
 from ..operators import proposals as R
 from ..operators import search as S
+from ..sources.files import classified
 from ..sources.store import replaced, without
 from .extraction import extracted
 
@@ -151,23 +152,42 @@ def bm25_topk(spark, sf_dir):
 
 
 # each document is a scope of one chunk: no term has a positive weight, the overlap decides
-@query("""with q as (select distinct unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents where doc_id = 0),
+@query("""with q as (select distinct doc_id, unnest(regexp_extract_all(lower(b.text), '[a-z0-9]+')) as term from documents join benchmark b on item_id = doc_id % 40),
 t as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents)
-select doc_id as document_id, cast(count(*) as double) as score, 1 as rank from t join q using (term) group by doc_id""")
+select doc_id as document_id, cast(count(*) as double) as score, 1 as rank from t join q using (doc_id, term) group by doc_id""")
 def overlap_fallback(spark, sf_dir):
     index = S.built(_corpus(spark, sf_dir), corpus=False)
-    d = docs(spark, sf_dir)
-    asked = d.select("document_id").crossJoin(d.where("document_id = 0").select(F.col("text").alias("query")))
-    best = S.lexical_ranking(index, asked.withColumn("query_id", F.col("document_id")), 25)
+    item = (F.col("document_id") % 40).alias("item")
+    asked = docs(spark, sf_dir).select("document_id", item).join(_items(spark, sf_dir), F.col("item") == F.col("query_id"))
+    best = S.lexical_ranking(index, asked.select("document_id", F.col("document_id").alias("query_id"), "query"), 25)
     return best.select(F.col("query_id").alias("document_id"), "score", "rank")
 
 
+@query(f"""with {_BM25} select item_id as query_id, cast(rank as int) as rank, doc_id as document_id, cast(case when doc_id % 2 = 0 then doc_id else 0 end as int) as char_start, cast(case when doc_id % 2 = 0 then doc_id else 0 end + length(text) as int) as char_end
+from lex join documents using (doc_id) where rank <= 5""")
+def hit_offsets(spark, sf_dir):
+    # every second document is a chunk that knows where it stands
+    at = F.when(F.col("document_id") % 2 == 0, F.col("document_id").cast("int"))
+    chunks = _corpus(spark, sf_dir).withColumn("doc_start_offset", at).withColumn("doc_end_offset", at + F.length("text"))
+    return S.search(S.built(chunks), _items(spark, sf_dir), top_k=5).select("query_id", "rank", "document_id", "char_start", "char_end")
+
+
+@query(f"""with {_BM25}, got as (select item_id, list(cast(doc_id % 7 + 1 as int) order by rank) as got from lex where rank <= 3 group by item_id)
+select item_id as query_id, cast(item_id % 7 + 1 as int) as page, list_contains(got, cast(item_id % 7 + 1 as int)) as hit, array_to_string(got, ',') as pages from got""")
+def hit_rate(spark, sf_dir):
+    chunks = _corpus(spark, sf_dir).withColumn("page", (F.col("document_id") % 7 + 1).cast("int"))
+    items = _items(spark, sf_dir)
+    hits = S.search(S.built(chunks), items, top_k=5)
+    out = S.hit_rate(hits, items.select("query_id", (F.col("query_id") % 7 + 1).cast("int").alias("page")))
+    return out.where(F.size("got") > 0).select("query_id", "page", "hit", F.array_join(F.col("got").cast("array<string>"), ",").alias("pages"))
+
+
 def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit("chunk_0").alias("chunk_id"), F.col("vec_id").alias("ordinal"), F.col("vec_id").cast("string").alias("key"), "embedding")
 
 
 _COSINE = """
-q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 50 = 0),
+q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 20 = 0),
 cosine as (select query_id, vec_id as document_id, round(list_dot_product(cast(e as double[]), cast(embedding as double[])) / (sqrt(list_dot_product(cast(e as double[]), cast(e as double[]))) * sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[])))), 6) as score from q, embeddings),
 vec as (select query_id, document_id, score, row_number() over (partition by query_id order by score desc, document_id) as rank from cosine qualify rank <= 25)
 """
@@ -176,7 +196,7 @@ vec as (select query_id, document_id, score, row_number() over (partition by que
 @query(f"with {_COSINE} select query_id, document_id, cast(rank as int) as rank, score from vec")
 def cosine_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    asked = v.where("document_id % 50 = 0").select(F.col("document_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = v.where("document_id % 20 = 0").select(F.col("document_id").alias("query_id"), F.col("embedding").alias("vector"))
     return S.vector_ranking(v, asked, 25).select("query_id", F.col("ordinal").alias("document_id"), "rank", "score")
 
 
@@ -254,13 +274,16 @@ def verify_exact(spark, sf_dir):
     return E.containing(quotes, docs(spark, sf_dir).select(F.col("document_id").alias("text_id"), "text"))
 
 
-# each document's first 40 characters, claimed for its page 1, 2 or 9 of three equal thirds
-_THIRDS = "(select doc_id, text, length(text) // 3 as k from documents where length(text) >= 300)"
+# 40 characters from anywhere in a document's first page, claimed for its page 1, 2 or 9; a text
+# of 300 characters or more has three pages, equal thirds, a shorter one is a page of its own
+_THIRDS = "(select doc_id, text, case when length(text) >= 300 then length(text) // 3 else length(text) end as k, case when length(text) >= 300 then doc_id * 37 % (length(text) // 3 - 40) else 0 end as a from documents)"
 
 
 def _thirds(spark, sf_dir):
-    d = docs(spark, sf_dir).where(F.length("text") >= 300).withColumn("k", F.floor(F.length("text") / 3).cast("int"))
-    pages = d.select("document_id", "k", "text", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page"))
+    long_ = F.length("text") >= 300
+    d = docs(spark, sf_dir).withColumn("k", F.when(long_, F.floor(F.length("text") / 3)).otherwise(F.length("text")).cast("int"))
+    d = d.withColumn("a", F.when(long_, F.col("document_id") * 37 % (F.col("k") - 40)).otherwise(0).cast("int"))
+    pages = d.select("document_id", "k", "text", F.explode(F.when(long_, F.sequence(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(1)))).alias("page"))
     start = (F.col("page") - 1) * F.col("k") + 1
     size = F.when(F.col("page") < 3, F.col("k")).otherwise(F.length("text"))
     return d, pages.select("document_id", "page", F.substring("text", start, size).alias("text"))
@@ -269,34 +292,49 @@ def _thirds(spark, sf_dir):
 _N = lambda x: f"trim(regexp_replace(lower(replace({x}, 'ß', 'ss')), '\\s+', ' ', 'g'))"
 
 
-@query(f"""with p as (select doc_id, {_N("substr(text, 1, k)")} as p1, {_N("substr(text, k + 1, k)")} as p2, {_N("substr(text, 2 * k + 1)")} as p3, {_N("substr(text, 1, 40)")} as q, [1, 2, 9][doc_id % 3 + 1] as claimed from {_THIRDS})
-select doc_id as document_id, cast(claimed as int) as page, case when length(q) < 12 then false when claimed = 1 then true when claimed = 2 then contains(p2, q) else false end as verified,
-case when claimed = 9 then 'page_out_of_range: page 9 does not exist' when length(q) < 12 then 'quote_too_short: ' || length(q) || ' < 12 characters' when claimed = 2 and not contains(p2, q) then 'wrong_page: quote claimed on page 2 but found on page 1' end as reason from p""")
+@query(f"""with p as (select doc_id, length(text) >= 300 as three, {_N("substr(text, 1, k)")} as p1, {_N("substr(text, k + 1, k)")} as p2, {_N("substr(text, cast(a as bigint) + 1, 40)")} as q, [1, 2, 9][doc_id % 3 + 1] as claimed from {_THIRDS})
+select doc_id as document_id, cast(claimed as int) as page, case when claimed = 9 or claimed = 2 and not three then false when length(q) < 12 then false when claimed = 1 then true else contains(p2, q) end as verified,
+case when claimed = 9 then 'page_out_of_range: page 9 does not exist' when claimed = 2 and not three then 'page_out_of_range: page 2 does not exist' when length(q) < 12 then 'quote_too_short: ' || length(q) || ' < 12 characters'
+  when claimed = 2 and not contains(p2, q) then 'wrong_page: quote claimed on page 2 but found on page 1' end as reason from p""")
 def verify_claimed_page(spark, sf_dir):
     d, pages = _thirds(spark, sf_dir)
-    claims = d.select("document_id", F.lit(1).alias("ordinal"), F.substring("text", 1, 40).alias("quote"), F.element_at(F.array(F.lit(1), F.lit(2), F.lit(9)), (F.col("document_id") % 3 + 1).cast("int")).alias("page"), F.lit(None).cast("string").alias("value"))
+    quote = F.substring(F.col("text"), F.col("a") + 1, F.lit(40))
+    claims = d.select("document_id", F.lit(1).alias("ordinal"), quote.alias("quote"), F.element_at(F.array(F.lit(1), F.lit(2), F.lit(9)), (F.col("document_id") % 3 + 1).cast("int")).alias("page"), F.lit(None).cast("string").alias("value"))
     out = E.verified(claims, pages)
     return out.select("document_id", "page", "verified", "reason")
 
 
 @query()
 def verify_fuzzy(spark, sf_dir):
-    # one letter of each quote is damaged
+    # one letter of each quote is damaged; a quote is from anywhere in the first page
     d, pages = _thirds(spark, sf_dir)
-    q = F.overlay(F.substring("text", 21, 60), F.lit("#"), F.lit(30), F.lit(1))
+    q = F.overlay(F.substring(F.col("text"), F.col("a") + 1, F.lit(60)), F.lit("#"), F.lit(30), F.lit(1))
     claims = d.select("document_id", F.lit(1).alias("ordinal"), q.alias("quote"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("value"))
     return E.verified(claims, pages).select("document_id", "verified", "method", "start_offset", "end_offset", F.round("similarity", 6).alias("similarity"))
 
 
-# chunks on a fixed grid of 400 that overlap by 100; a span of 40 that starts anywhere
-@query("""with s as (select doc_id, cast(doc_id * 37 % (length(text) - 40) as int) as a from documents where length(text) > 40)
-select doc_id as document_id, a as start_offset, 'chunk_' || greatest(0, cast(ceil((a + 40 - 400) / 300.0) as int)) as chunk_id from s""")
+@query("""select document_id, false as verified from (select cast(c_custkey as varchar) as document_id from customer)""")
+def invented_quotes(spark, sf_dir):
+    # what a proposer makes up must not pass
+    pages = _contracts(spark, sf_dir)
+    made = R.invented(pages.withColumn("position", F.lit(1))).withColumn("value", F.col("raw_value"))
+    return E.verified(made, pages).select("document_id", "verified")
+
+
+@query("""select doc_id as document_id, '"' || substr(f, 1, 60) || case when length(f) > 60 then '…"' else '"' end as line from (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as f from documents)""")
+def quote_preview(spark, sf_dir):
+    return docs(spark, sf_dir).select("document_id", X.preview(F.col("text")).alias("line"))
+
+
+# chunks on a fixed grid of 400 that overlap by 100; a span of up to 40 that starts anywhere
+@query("""with s as (select doc_id, length(text) as n, cast(case when length(text) > 40 then doc_id * 37 % (length(text) - 40) else 0 end as int) as a from documents)
+select doc_id as document_id, a as start_offset, 'chunk_' || greatest(0, cast(ceil((least(a + 40, n) - 400) / 300.0) as int)) as chunk_id from s""")
 def locate_chunk(spark, sf_dir):
     d = docs(spark, sf_dir)
     grid = d.select("document_id", F.lit(1).alias("page"), F.posexplode(F.sequence(F.lit(0), F.length("text"), F.lit(300))).alias("chunk_ordinal", "start_offset"))
     grid = grid.withColumn("end_offset", F.col("start_offset") + 400).withColumn("chunk_id", F.concat(F.lit("chunk_"), F.col("chunk_ordinal").cast("string")))
-    a = (F.col("document_id") * 37 % (F.length("text") - 40)).cast("int")
-    spans = d.where(F.length("text") > 40).select("document_id", F.lit(1).alias("ordinal"), F.lit(1).alias("page"), a.alias("start_offset"), (a + 40).alias("end_offset"))
+    a = F.when(F.length("text") > 40, F.col("document_id") * 37 % (F.length("text") - 40)).otherwise(0).cast("int")
+    spans = d.select("document_id", F.lit(1).alias("ordinal"), F.lit(1).alias("page"), a.alias("start_offset"), F.least(a + 40, F.length("text")).alias("end_offset"))
     return E.located(spans, grid).select("document_id", "start_offset", "chunk_id")
 
 
@@ -310,6 +348,13 @@ def document_offsets(spark, sf_dir):
 # --- values ---------------------------------------------------------------------
 
 
+def _spaced(wording, number):
+    """Every third wording with no-break spaces, every seventh with a line separator, as text from PDF files has them."""
+    other = F.when(number % 3 == 0, F.lit("\u00a0")).when(number % 7 == 0, F.lit("\u2028")).otherwise(F.lit(" "))
+    return F.replace(wording, F.lit(" "), other)
+
+
+
 @query("""select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as parsed from orders""")
 def parse_dates(spark, sf_dir):
     day = F.col("o_orderdate")
@@ -317,7 +362,7 @@ def parse_dates(spark, sf_dir):
     wording = F.lit(None).cast("string")
     for k, form in enumerate(forms):
         wording = F.when(F.col("o_orderkey") % 5 == k, F.date_format(day, form)).otherwise(wording)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(D.parsed_date(wording), "yyyy-MM-dd").alias("parsed"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(D.parsed_date(_spaced(wording, F.col("o_orderkey"))), "yyyy-MM-dd").alias("parsed"))
 
 
 @query("""select l_orderkey, l_linenumber, case l_orderkey % 5 when 0 then 'P' || q || 'D' when 1 then 'P' || q || 'M' when 2 then 'P' || (q * 7) || 'D' when 3 then ['P1Y', 'P20D', 'P90D', 'P12M', 'P120D'][q % 5 + 1] else 'P' || q || 'Y6M' end as parsed
@@ -327,7 +372,7 @@ def parse_durations(spark, sf_dir):
     words = F.element_at(F.array(*map(F.lit, ["one year", "twenty days", "ninety calendar days", "twelve months", "one hundred twenty days"])), (F.col("l_quantity") % 5 + 1).cast("int"))
     k = F.col("l_orderkey") % 5
     wording = F.when(k == 0, F.concat(F.lit("at least "), q, F.lit(" days' notice"))).when(k == 1, F.concat(F.lit("some ("), q, F.lit(") months"))).when(k == 2, F.concat(q, F.lit(" weeks"))).when(k == 3, words).otherwise(F.concat(F.lit("P"), q, F.lit("Y6M")))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", D.iso_duration(D.parsed_duration(wording)).alias("parsed"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", D.iso_duration(D.parsed_duration(_spaced(wording, F.col("l_linenumber")))).alias("parsed"))
 
 
 def _terms(spark, sf_dir):
@@ -361,6 +406,17 @@ def renewal_dates(spark, sf_dir):
     return _computed(spark, sf_dir, "renewal_date")
 
 
+_FAR = "select o_orderkey, cast(o_orderdate as date) as d, cast((o_orderkey % 37 + 1) * 300 as int) as y from orders"
+
+
+@query(f"""select o_orderkey, case when year(d) + y <= 9999 then strftime(d + to_years(y), '%Y-%m-%d') end as result, case when year(d) + y > 9999 then 'date_out_of_range: ' || strftime(d, '%Y-%m-%d') || ' + ' || y || ' years' end as error from ({_FAR})""")
+def far_renewal_dates(spark, sf_dir):
+    # periods that lead beyond the calendar are errors, of a row each
+    period = F.concat(F.lit("P"), ((F.col("o_orderkey") % 37 + 1) * 300).cast("string"), F.lit("Y"))
+    c = D.deadline("renewal_date", F.date_format("o_orderdate", "yyyy-MM-dd"), period)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(c["result"], "yyyy-MM-dd").alias("result"), c["error"].alias("error"))
+
+
 @query("""select o_orderkey, cast(date_diff('day', date '1998-08-02', cast(o_orderdate as date)) as int) as days from orders""")
 def days_until(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", D.days_until(F.to_date("o_orderdate"), F.lit("1998-08-02").cast("date")).alias("days"))
@@ -370,13 +426,13 @@ def days_until(spark, sf_dir):
 def money_normalise(spark, sf_dir):
     k, price = F.col("o_orderkey") % 4, F.format_number("o_totalprice", 2)
     wording = F.when(k == 0, F.concat(F.lit("an annual fee of $"), price)).when(k == 1, F.concat(price, F.lit(" euros per year"))).when(k == 2, F.concat(F.lit("not more than £ "), (F.col("o_orderkey") % 900 + 1).cast("string"), F.lit(" thousand in all"))).otherwise("within 30 days of the preceding 12 months")
-    return table(spark, sf_dir, "orders").select("o_orderkey", V.money(wording).alias("amount"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", V.money(_spaced(wording, F.col("o_orderkey"))).alias("amount"))
 
 
 @query("""select l_orderkey, l_linenumber, rtrim(rtrim(printf('%.2f', l_discount * 100 + l_tax), '0'), '.') || '%' as rate from lineitem""")
 def percent_normalise(spark, sf_dir):
     rate = F.format_number(F.col("l_discount") * 100 + F.col("l_tax"), 2)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", V.percent(F.concat(F.lit("shall increase by "), rate, F.lit(" percent"))).alias("rate"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", V.percent(_spaced(F.concat(F.lit("shall increase by "), rate, F.lit(" percent")), F.col("l_linenumber"))).alias("rate"))
 
 
 _PHRASES = ("shall automatically renew for successive terms", "may be renewed by the parties", "Tenant shall have the option to renew", "ends without more", "will renew each year")
@@ -433,7 +489,7 @@ def _contracts(spark, sf_dir):
     """A contract of one page for each customer; every third has a renewal option in place of a notice."""
     c = table(spark, sf_dir, "customer")
     begin = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 1000).cast("int"))
-    day = lambda d: F.date_format(d, "MMMM d, yyyy")
+    day = lambda d: _spaced(F.date_format(d, "MMMM d, yyyy"), F.col("c_custkey"))
     fee = F.format_number(F.abs("c_acctbal"), 2)
     law = F.element_at(F.array(*map(F.lit, _LAWS)), (F.col("c_nationkey") % 5 + 1).cast("int"))
     n = (F.col("c_custkey") % 60 + 30).cast("string")
@@ -441,7 +497,7 @@ def _contracts(spark, sf_dir):
     stay = F.concat(F.lit("The customer may exercise its option to renew by written notice given not less than ("), n, F.lit(") days before its end."))
     text = F.concat(
         F.lit("This Agreement commences on "), day(begin), F.lit(". The initial term expires on "), day(F.add_months(begin, 24)), F.lit(". "), F.when(F.col("c_custkey") % 3 == 0, stay).otherwise(leave),
-        F.lit(" The customer shall pay an annual fee of USD "), fee, F.lit(". The fee shall increase by 3.50 percent each year. This Agreement shall be governed by the laws of the State of "), law, F.lit(", without regard to conflicts."),
+        F.lit(" The customer shall pay an annual fee of "), _spaced(F.lit("USD "), F.col("c_custkey")), fee, F.lit(". The fee shall increase by 3.50 percent each year. This Agreement shall be governed by the laws of the State of "), law, F.lit(", without regard to conflicts."),
     )
     return c.select(F.col("c_custkey").cast("string").alias("document_id"), F.lit(1).alias("page"), text.alias("text"))
 
@@ -522,6 +578,32 @@ def doc_upsert(spark, sf_dir):
     return replaced(d, d.where("document_id % 3 = 0").withColumn("filename", F.lit("new")))
 
 
+# every third document is taken in again, without obligations: its old ones go
+@query("""select doc_id as document_id, cast(o as int) as ordinal from (select doc_id, unnest([1, 2]) as o from documents) where doc_id % 3 <> 0""")
+def doc_reindex(spark, sf_dir):
+    old = docs(spark, sf_dir).select("document_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("ordinal"))
+    again = docs(spark, sf_dir).where("document_id % 3 = 0")
+    return replaced(old, old.where("false"), again)
+
+
+_NAMED = "select doc_id, text, ['txt', 'MD', 'pdf', 'docx', ''][doc_id % 5 + 1] as x, doc_id % 7 = 0 as broken from documents"
+
+
+@query(f"""select doc_id || case when x = '' then '' else '.' || x end as filename, case when x = 'docx' then 'unsupported_file_type: .docx' when x = '' then 'unsupported_file_type: (none)' when x = 'pdf' then 'not_a_pdf' when broken then 'not_valid_utf8' end as reason from ({_NAMED})""")
+def ingest_rejects(spark, sf_dir):
+    # texts as files of several kinds; every seventh is malformed
+    x = F.element_at(F.array(*map(F.lit, [".txt", ".MD", ".pdf", ".docx", ""])), (F.col("document_id") % 5 + 1).cast("int"))
+    body = F.concat(F.encode("text", "UTF-8"), F.when(F.col("document_id") % 7 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("20"))))
+    raw = docs(spark, sf_dir).select(F.concat(F.lit("file:/in/"), F.col("document_id").cast("string"), x).alias("path"), body.alias("content"))
+    return classified(raw).select("filename", "reason")
+
+
+@query("""select case when doc_id % 2 = 0 then doc_id::varchar else 'contract_' || doc_id end as document_id, case when doc_id % 2 = 0 then doc_id end as contract_id from documents""")
+def contract_ids(spark, sf_dir):
+    key = F.concat(F.when(F.col("document_id") % 2 == 0, F.lit("")).otherwise(F.lit("contract_")), F.col("document_id").cast("string"))
+    return docs(spark, sf_dir).select(key.alias("document_id"), V.contract_number(key).alias("contract_id"))
+
+
 @query("""select doc_id as document_id, source as filename from documents where doc_id % 3 <> 0""")
 def doc_delete(spark, sf_dir):
     d = docs(spark, sf_dir).select("document_id", F.col("source").alias("filename"))

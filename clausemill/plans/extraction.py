@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..functions.vectors import query_encoder
 from ..operators import ledger, proposals, search
 from ..schemas import COMPUTED_ONLY, OBLIGATION_TYPES
 from ..sources.staging import staged
@@ -39,18 +40,19 @@ class Extraction:
     approvals: DataFrame
 
 
-def type_queries(documents: DataFrame, types: list[str]) -> DataFrame:
-    """query_id, document_id, query: each document asked for each type."""
-    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(QUERIES.get(t, t.replace("_", " "))).alias("query")) for k, t in enumerate(types))))
-    out = documents.select("document_id").distinct().select("document_id", rows.alias("q"))
-    return out.select(F.concat_ws("#", "document_id", F.format_string("%02d", "q.k")).alias("query_id"), "document_id", F.col("q.query").alias("query"))
-
-
 def context_of(chunks: DataFrame, types: list[str], settings: Settings) -> DataFrame:
-    """The chunks that a proposer reads: the best of one search for each type."""
-    index = search.built(chunks.withColumn("ordinal", F.col("chunk_ordinal")), corpus=False)
-    hits = search.search(index, type_queries(chunks, types), top_k=settings.default_top_k, pool=settings.candidate_pool, rrf_k=settings.rrf_k)
-    return search.context(hits, most=settings.max_context_chunks)
+    """The chunks that a proposer reads: the best of one search for each type, in one pass over documents.
+
+    Chunks with vectors (embedding) are searched by them too, if settings name an encoder.
+    """
+    asked, vectors = [QUERIES.get(t, t.replace("_", " ")) for t in types], None
+    make = query_encoder(settings) if "embedding" in chunks.columns else None
+    if make is not None:
+        rows = chunks.sparkSession.createDataFrame(list(enumerate(asked)), "k int, query string").select("k", make(F.col("query")).alias("v")).collect()  # a row for each type
+        vectors = [list(r["v"]) for r in sorted(rows)]
+    return search.document_contexts(
+        chunks.withColumn("ordinal", F.col("chunk_ordinal")), asked, vectors=vectors, top_k=settings.default_top_k, pool=settings.candidate_pool, rrf_k=settings.rrf_k, most=settings.max_context_chunks,
+    )
 
 
 def extracted(chunks: DataFrame, pages: DataFrame, *, types: list[str] | None = None, settings: Settings | None = None, proposer: Callable[[DataFrame, list[str]], DataFrame] | None = None) -> Extraction:

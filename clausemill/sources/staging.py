@@ -5,19 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df computed once: Parquet under spark.checkpoint.dir (a temporary folder only where that is unset), read back.
-
-    Keeps plans that branch small, and survives the loss of an executor.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``.  Where it is unset and all of Spark runs in this process, a
+    temporary folder; on a cluster that would be a folder of one machine, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="clausemill-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df computed once: Parquet in the shared folder, read back.
+
+    Keeps plans that branch small, and survives the loss of an executor.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

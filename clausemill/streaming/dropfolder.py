@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import pages as P
+from ..engine import Engine
 from ..sources import files
-from ..sources.store import Store
 
 
 def watched(spark: SparkSession, path: str) -> DataFrame:
@@ -15,14 +14,11 @@ def watched(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
 
 
-def ingesting(spark: SparkSession, path: str, store: Store, checkpoint: str, *, once: bool = True) -> StreamingQuery:
-    """Pages of new text files replace those of the same content; a batch that is run again changes nothing."""
+def ingesting(engine: Engine, path: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
+    """New files' documents, pages, chunks and vectors replace those of the same content; a batch that is run again changes nothing."""
 
     def batch(raw: DataFrame, _: int) -> None:
-        found = files.classified(raw.select("path", "content"))
-        text = files.text_pages(found)
-        good = text.join(P.rejected_documents(text), "document_id", "left_anti")
-        store.put("doc_pages", good)
+        engine.take(files.classified(raw.select("path", "content")))
 
-    writer = watched(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = watched(engine.spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

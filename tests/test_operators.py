@@ -1,11 +1,14 @@
 """Pages, chunks, search, evidence, proposals, ledger, store, engine and stream on small contracts of our own."""
 
 import math
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clausemill import cli
 from clausemill.config import Settings
 from clausemill.engine import Engine
 from clausemill.functions.text import tokens
@@ -232,6 +235,38 @@ def test_store(spark, tmp_path):
     assert rows() == []
 
 
+def a_pdf(pages, *, packed=True):
+    """A small PDF file: a font, and a page for each list of lines."""
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"}
+    kids, n = [], 4
+    for lines in pages:
+        said = [line.encode("cp1252").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") for line in lines]
+        body = b"BT /F1 12 Tf 72 720 Td 14 TL " + b" T* ".join(b"(" + x + b") Tj" for x in said) + b" ET"
+        body = zlib.compress(body) if packed else body
+        objects[n] = b"<< /Length %d %s>>\nstream\n%s\nendstream" % (len(body), b"/Filter /FlateDecode " if packed else b"", body)
+        objects[n + 1] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R /Resources << /Font << /F1 3 0 R >> >> >>" % n
+        kids.append(n + 1)
+        n += 2
+    objects[2] = b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(b"%d 0 R" % k for k in kids), len(kids))
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, objects[k]) for k in sorted(objects)) + b"trailer << /Root 1 0 R /Size %d >>\n%%%%EOF" % n
+
+
+def test_pdf_pages():
+    from clausemill.sources.pdf import Reader, page_texts
+
+    lines = [["The term (12 months) \\ ends; fee \u20ac5", "second line"], [], ["third page"]]
+    for packed in (True, False):
+        assert page_texts(a_pdf(lines, packed=packed)) == ["\n".join(x) for x in lines]
+    with pytest.raises(ValueError, match="encrypted"):
+        Reader(a_pdf(lines) + b"\ntrailer << /Encrypt 9 0 R >>\nstartxref")
+    # text in hex with a map of its own, gaps as spaces
+    mapped = a_pdf([["x"]], packed=False).replace(b"(x) Tj", b"[<0001> -300 <00020002>] TJ")
+    mapped = mapped.replace(b"/Encoding /WinAnsiEncoding", b"/Subtype /Type0 /ToUnicode 90 0 R")
+    table = b"1 beginbfchar <0001> <0041> endbfchar 1 beginbfrange <0002> <0003> <0062> endbfrange"
+    mapped = mapped.replace(b"trailer", b"90 0 obj\n<< /Length %d >>\nstream\n%s\nendstream\nendobj\ntrailer" % (len(table), table))
+    assert page_texts(mapped) == ["A bb"]
+
+
 def test_engine_and_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
@@ -239,27 +274,136 @@ def test_engine_and_stream(spark, tmp_path):
     (source / "empty.txt").write_text("")
     (source / "blank.md").write_text(" \f ")
     (source / "x.docx").write_text("x")
+    (source / "broken.txt").write_bytes(b"not \xff\xfe text")
+    (source / "lease.pdf").write_bytes(a_pdf([t.replace("\u2610", "[ ]").replace("\u2612", "[x]").split("\n") for t in LEASE]))
+    (source / "scan.pdf").write_bytes(a_pdf([[]]))
+    (source / "no.pdf").write_text("plain")
+    (source / "locked.pdf").write_bytes(a_pdf([["x"]]) + b"\ntrailer << /Encrypt 9 0 R >>\nstartxref")
     engine = Engine(spark, f"file://{tmp_path}/store", Settings(use_fake_llm=True, use_fake_embeddings=True, embedding_dimension=32))
-    assert sorted(map(tuple, engine.ingest(f"file://{source}").collect())) == [("blank.md", "no_extractable_text"), ("x.docx", "unsupported_file_type: .docx")]
-    d = engine.documents().collect()
-    assert len(d) == 1 and d[0].document_id.startswith("contract_") and d[0].page_count == 5 and d[0].chunk_count >= 5
-    assert engine.pages(d[0].document_id).count() == 5 and engine.status()["retrieval"] == "hybrid_bm25_vector_rrf"
-    assert engine.search(spark.createDataFrame([(1, "liability")], "query_id int, query string"), top_k=1).first().page == 5
+    refused = [
+        ("blank.md", "no_extractable_text"), ("broken.txt", "not_valid_utf8"), ("locked.pdf", "unreadable_pdf: the file is encrypted"),
+        ("no.pdf", "not_a_pdf"), ("scan.pdf", "no_extractable_text"), ("x.docx", "unsupported_file_type: .docx"),
+    ]
+    assert sorted(map(tuple, engine.ingest(f"file://{source}").collect())) == refused
+    d = {r.filename: r for r in engine.documents().collect()}
+    assert set(d) == {"agreement.txt", "lease.pdf"} and d["lease.pdf"].page_count == 3 and d["lease.pdf"].stored_path.endswith("/in/lease.pdf")
+    agreement = d["agreement.txt"].document_id
+    assert agreement.startswith("contract_") and d["agreement.txt"].page_count == 5 and d["agreement.txt"].chunk_count >= 5
+    assert engine.pages(agreement).count() == 5 and engine.status()["retrieval"] == "hybrid_bm25_vector_rrf"
+    liability = spark.createDataFrame([(1, "liability")], "query_id int, query string")
+    hit = engine.search(liability, top_k=1).first()
+    assert (hit.page, hit.char_start, hit.retrieval_mode) == (5, 0, "hybrid_bm25_vector_rrf")
+    kept = engine._indexes[True]
+    assert engine.search(liability, top_k=1).first() == hit and engine._indexes[True] is kept
+    with pytest.raises(ValueError):
+        engine.search(spark.createDataFrame([(1, "")], "query_id int, query string"))
     out = engine.extract()
-    assert out.approvals.first().can_approve and engine.obligations().where("obligation_type = 'notice_deadline'").first().normalized_value == "2026-01-30"
-    quotes = spark.createDataFrame([(d[0].document_id, 1, "The initial term expires on March 31, 2026", 2)], "document_id string, ordinal int, quote string, page int")
+    assert {r.document_id: r.can_approve for r in out.approvals.collect()}[agreement]
+    assert {r.document_id: r.can_approve for r in engine.last_extraction().collect()} == {r.document_id: r.can_approve for r in out.approvals.collect()}
+    mine = engine.obligations(agreement).collect()
+    computed = next(r for r in mine if r.obligation_type == "notice_deadline")
+    assert computed.normalized_value == "2026-01-30" and computed.quote is None and computed.computation_inputs.toPython()["operation"] == "subtract"
+    quotes = spark.createDataFrame([(agreement, 1, "The initial term expires on March 31, 2026", 2)], "document_id string, ordinal int, quote string, page int")
     assert engine.verify(quotes).first().verified
-    c = engine.deadlines(spark.createDataFrame([("renewal_date", "2024-01-31", "P1M"), ("other", "a", "b")], "operation string, anchor string, period string")).collect()
-    assert str(c[0].computation.result) == "2024-02-29" and c[1].computation is None
-    whole = spark.createDataFrame([("7", "page one text. page two text.")], "document_id string, text string")
-    engine.put_whole(whole, spark.createDataFrame([("7", 1, 0), ("7", 2, 15)], "document_id string, page int, char_start int"))
-    assert [r.text for r in engine.pages("7").collect()] == ["page one text. ", "page two text."] and engine.store.count() == 2
-    engine.delete(spark.createDataFrame([("7",)], "document_id string"))
+    with pytest.raises(ValueError):
+        engine.verify(quotes.withColumn("page", F.lit(0)))
+    c = engine.deadlines(spark.createDataFrame([("renewal_date", "2024-01-31", "P1M"), ("other", "a", "b"), ("renewal_date", "2024-01-31", "P99999Y")], "operation string, anchor string, period string")).collect()
+    assert str(c[0].computation.result) == "2024-02-29" and c[1].computation is None and c[2].computation.error.startswith("date_out_of_range")
+    lines, code = cli.report_lines(engine)
+    assert code == int(not all(r.can_approve for r in out.approvals.collect())) and any(x.startswith("notice_deadline") and "2026-01-30" in x and "(calculated in code)" in x for x in lines)
+    assert cli.ingest_lines(engine, f"file://{tmp_path}/nowhere")[1] == 2
+    # a document that is taken in again loses its obligations
+    engine.put_whole(spark.createDataFrame([(agreement, "new text")], "document_id string, text string"), spark.createDataFrame([(agreement, 1, 0)], "document_id string, page int, char_start int"))
+    assert engine.obligations(agreement).count() == 0 and not engine._indexes
+    engine.delete(spark.createDataFrame([(agreement,)], "document_id string"))
     assert engine.store.count() == 1
-    other = Store(spark, f"file://{tmp_path}/other")
+    other = Engine(spark, f"file://{tmp_path}/other", Settings(use_fake_llm=True))
     for _ in range(2):
-        ingesting(spark, f"file://{source}", other, f"file://{tmp_path}/progress").awaitTermination(120)
-        assert other.read("doc_pages").count() == 5
+        ingesting(other, f"file://{source}", f"file://{tmp_path}/progress").awaitTermination(120)
+        assert other.store.count() == 2 and other.store.read("doc_pages").count() == 8 and other.store.read("chunks").count() >= 8
+
+
+def test_a_callers_documents(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/store", Settings(use_fake_llm=True))
+    whole, starts = "", []
+    for k, t in enumerate(AGREEMENT, 1):
+        starts.append(("7", k, len(whole)))
+        whole += t + "\n\n"
+    docs = spark.createDataFrame([("7", whole)], "document_id string, text string")
+    starts = spark.createDataFrame(starts, "document_id string, page int, char_start int")
+    found, verdicts = engine.extract_whole(docs, starts)
+    rows = {r.field: r for r in found.collect()}
+    assert all(whole[r.char_start : r.char_end] == r.quote and r.contract_id == 7 for r in rows.values() if r.quote)
+    assert rows["liability_cap"].value == "USD 250000.00" and rows["notice_deadline"].formula
+    assert [(r.contract_id, r.can_approve, r.failures) for r in verdicts.collect()] == [(7, True, [])]
+    engine.put_whole(spark.createDataFrame([("not-a-number", "written notice of liability")], "document_id string, text string"), spark.createDataFrame([("not-a-number", 1, 0)], "document_id string, page int, char_start int"))
+    got = engine.passages(spark.createDataFrame([(1, "notice of non-renewal")], "query_id int, query string"), k=3).orderBy("rank").collect()
+    assert got and all(r.contract_id == 7 and whole[r.char_start : r.char_end] == r.text for r in got)
+    one = engine.passages(spark.createDataFrame([(1, "7", "notice")], "query_id int, document_id string, query string"))
+    assert {r.contract_id for r in one.collect()} == {7}
+    # what fails gives no rows, and says so
+    (tmp_path / "file").write_text("not a store")
+    broken = Engine(spark, f"file://{tmp_path}/file", Settings(use_fake_llm=True))
+    assert broken.passages(spark.createDataFrame([(1, "notice")], "query_id int, query string")).count() == 0
+    none, verdicts = broken.extract_whole(docs, starts)
+    assert none.count() == 0 and [tuple(r) for r in verdicts.collect()] == [(7, False, ["extraction_crashed"])]
+
+
+def test_vectors_count_only_if_all_documents_have_them(spark, tmp_path):
+    texts = lambda key: (spark.createDataFrame([(key, "written notice of liability")], "document_id string, text string"), spark.createDataFrame([(key, 1, 0)], "document_id string, page int, char_start int"))
+    plain = Engine(spark, f"file://{tmp_path}/store", Settings(use_fake_llm=True))
+    plain.put_whole(*texts("1"))
+    both = Engine(spark, f"file://{tmp_path}/store", Settings(use_fake_llm=True, use_fake_embeddings=True, embedding_dimension=16))
+    both.put_whole(*texts("2"))
+    asked = spark.createDataFrame([(1, "liability")], "query_id int, query string")
+    assert both.status()["retrieval"] == "bm25_only" and {r.vector_score for r in both.search(asked).collect()} == {0.0}
+    both.put_whole(*texts("1"))
+    assert both.status()["retrieval"] == "hybrid_bm25_vector_rrf" and both.search(asked).first().vector_score > 0
+
+
+def test_contexts_in_one_pass_equal_searches(spark, cut):
+    asked = ["written notice of termination", "fees payable", "the the agreement", "zebra", "rent increase option", "", "liability shall not exceed"]
+    rows = [(f"{d}#{k}", d, q) for d in ("agreement", "lease") for k, q in enumerate(asked)]
+    queries = spark.createDataFrame(rows, "query_id string, document_id string, query string")
+    make = hashing_encoder(32)
+    for vectors in (False, True):
+        chunks_ = cut.withColumn("ordinal", F.col("chunk_ordinal"))
+        if vectors:
+            chunks_, queries = chunks_.withColumn("embedding", make(F.col("text"))), queries.withColumn("vector", make(F.col("query")))
+        given = [list(r.v) for r in spark.createDataFrame(list(enumerate(asked)), "k int, query string").select("k", make(F.col("query")).alias("v")).orderBy("k").collect()] if vectors else None
+        for size in ({"top_k": 1, "pool": 2, "most": 3}, {"top_k": 3, "pool": 25, "most": 14}):
+            hits = search.search(search.built(chunks_, corpus=False), queries, top_k=size["top_k"], pool=size["pool"])
+            want = search.context(hits, most=size["most"]).select("document_id", "chunk_id", "page", "text", "fused_score", "position")
+            got = search.document_contexts(chunks_, asked, vectors=given, **size)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_vectors_in_blocks_equal_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    x = rng.integers(-2, 3, (90, 4)).astype(float)  # many ties
+    rows = [(f"k{i}", i, v.tolist(), "d") for i, v in enumerate(x)] + [("none", 999, None, "d")]
+    held = spark.createDataFrame(rows, "key string, ordinal int, embedding array<double>, document_id string")
+    asked = spark.createDataFrame([(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(9)], "query_id int, vector array<double>")
+    plain = asked.crossJoin(held.where("embedding is not null")).select("query_id", "key", "ordinal", F.round(search.cosine(F.col("vector"), F.col("embedding")), search.DIGITS).alias("score"))
+    want = sorted(map(tuple, search.ranked(plain, 7, positive=False).collect()))
+    for q, c in ((1024, 8192), (2, 11)):
+        monkeypatch.setattr(search, "QUERY_BLOCK", q)
+        monkeypatch.setattr(search, "CHUNK_BLOCK", c)
+        assert sorted(map(tuple, search.vector_ranking(held, asked, 7).collect())) == want
+
+
+def test_exact_quotes_by_built_in_functions_equal_python(spark):
+    pages_ = ["  The  Fee is\tUSD 5 `net` . The fee is USD 5 'net' .", "the fee is usd 5 \x1c'net'", "", " a  b c d e f g h i j", "x" * 30, "caf\u00e9 The fee is USD 5"]
+    quotes = ["The fee is USD 5 'net'", "The  Fee is\tUSD 5 `net`", " The fee is USD", "fee is usd 5 ", "a  b c d e f g", "b c d e f g h", "x" * 12, "short", "", "The fee is USD 5", "\tUSD 5 `net` ."]
+    rows = [(i, j, q, t, None) for i, q in enumerate(quotes) for j, t in enumerate(pages_)]
+    df = spark.createDataFrame(rows, "i int, j int, quote string, page_text string, value string")
+    got = {(r.i, r.j): r for r in evidence.on_page(df).collect()}
+    native = {(r.i, r.j) for r in evidence._as_it_stands(df, Settings()).where("_at is not null").collect()}
+    assert len(got) == len(rows) and len(native) >= 7
+    for i, j, q, t, v in rows:
+        want = evidence.matched(q, t, v, Settings())
+        r = got[i, j]
+        assert (r.verified, r.method, r.reason, r.matched_text, r.start_offset, r.end_offset) == want[:6], (q, t)
 
 
 def test_settings():
