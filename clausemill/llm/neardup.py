@@ -5,9 +5,10 @@ copies never meet in a join.  Classes are banded on min-max signatures.  In each
 bucket the class that collides most elsewhere is the pivot, and every other
 member is verified against it on full sets; that links nearly all of a group
 without listing its pairs.  Only buckets whose members still lie in different
-components go on.  Small ones list their open pairs.  Large ones are split by pairs
-of signature values (PARTS of them, so that a pair at the threshold shares one but
-for 1e-7 or less) and each part is verified against a pivot of its own; the parts
+components go on.  Small ones list their open pairs.  Large ones are split by
+signature values (PARTS of them, so that a pair at a similarity of 0.85 shares one but
+for 3e-7, at 0.8 but for 3e-6) and each part is verified against a pivot of its own,
+of which only members of other components are compared with it; the parts
 that are still mixed list their open pairs or, if large, are compared block by block
 inside tasks, which emit only the links that join components.
 """
@@ -30,9 +31,11 @@ from .scratch import discarded, written
 #: Buckets up to this size list their open pairs; larger ones are compared in blocks.
 SMALL_BUCKET = 64
 BLOCK = 512
-#: Pairs of signature values by which a large bucket is split.
-PARTS = 16
+#: Signature values by which a large bucket is split.
+PARTS = 8
 _BITS = 1 << 24
+#: Text that is worked on at a time.
+_MOST_BYTES = 2 << 20
 
 #: values and offsets of the units' distinct shingles, and the columns that name them
 Extract = Callable[[pa.RecordBatch], tuple[list[pa.Array], np.ndarray, np.ndarray]]
@@ -60,7 +63,7 @@ def signed(df: DataFrame, text: str, extract: Extract, names: T.StructType, band
     """Per unit: its naming columns, n, cid (null for an empty set), bands and sig, a byte of each signature value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches, text):
+        for batch in K.slices(batches, text, _MOST_BYTES):
             named, values, bounds = extract(batch)
             n = np.diff(bounds)
             if not len(n):
@@ -99,7 +102,7 @@ def sets_of(df: DataFrame, text: str, extract: Extract, wanted: DataFrame) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
-        for batch in K.slices(batches, text):
+        for batch in K.slices(batches, text, _MOST_BYTES):
             _, values, bounds = extract(batch)
             ids = class_ids(values, bounds)
             raw = ids.view(np.uint8).reshape(len(ids), 16)
@@ -210,16 +213,16 @@ def _blocks(num: int, den: int):
 
 
 def _star(met: DataFrame, pivot: DataFrame, sigs: DataFrame, sets: DataFrame, num: int, den: int, width: int) -> DataFrame:
-    """Links (a, b) between the members of met (bh, cid, n) and their bucket's pivot (bh, b, nb)."""
+    """Links (a, b) between the members of met (bh, cid, n, comp) and their bucket's pivot (bh, b, nb, cb) of another component."""
     near = f"least(na, nb) * {den} >= greatest(na, nb) * {num}"
-    pairs = met.select("bh", F.col("cid").alias("a"), F.col("n").alias("na")).join(pivot, "bh").where("a <> b").where(near)
+    pairs = met.select("bh", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(pivot, "bh").where("ca <> cb").where(near)
     return _verified(_alike(pairs.select("a", "b", "na", "nb").distinct(), sigs, num, den, width), sets, num, den)
 
 
 def _mixed(met: DataFrame, links: DataFrame) -> DataFrame:
-    """The members (bh, cid, n, size, comp) of the buckets that lie in two or more components of links."""
+    """The members (bh, cid, n, size, comp) of the buckets of met (bh, cid, n, size) that lie in two or more components of links."""
     home = connected_components(links).select(F.col("node").alias("cid"), "component")
-    homed = met.join(home, "cid", "left").select("bh", "cid", "n", "size", F.coalesce("component", "cid").alias("comp"))
+    homed = met.select("bh", "cid", "n", "size").join(home, "cid", "left").select("bh", "cid", "n", "size", F.coalesce("component", "cid").alias("comp"))
     mixed = homed.groupBy("bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bh")
     return homed.join(mixed, "bh")
 
@@ -248,18 +251,21 @@ def clustered(classes: DataFrame, find_sets: Callable[[DataFrame], DataFrame], n
     rest = (sigs, sets, num, den, width)
     weight = met.groupBy("cid").agg(F.sum("size").alias("weight"))
     pivot = met.join(weight, "cid").groupBy("bh").agg(F.max(F.struct("weight", "cid", "n")).alias("p"))
-    links = written(_star(met, pivot.select("bh", F.col("p.cid").alias("b"), F.col("p.n").alias("nb")), *rest), "star")
+    pivot = pivot.select("bh", F.col("p.cid").alias("b"), F.col("p.n").alias("nb"), F.col("p.cid").alias("cb"))
+    links = written(_star(met.withColumn("comp", F.col("cid")), pivot, *rest), "star")
     left = written(_mixed(met, links), "mixed")
     done = [met, links, left]
     pairs, large = _open_pairs(left.where(F.col("size") <= SMALL_BUCKET), *rest), left.where(F.col("size") > SMALL_BUCKET)
     links = links.unionByName(pairs)
     if not large.isEmpty():
-        # large buckets split by pairs of signature values, and each part has a pivot of its own, taken at random
-        parts = [F.xxhash64("bh", F.lit(k), F.expr(f"substring(sig, {2 * k + 1}, 2)")) for k in range(min(PARTS, width // 2))]
-        split = large.select("bh", "cid", "n").join(sigs, "cid").select("cid", "n", F.explode(F.array(*parts)).alias("bh")).distinct()
-        multi = split.groupBy("bh").agg(F.count("*").alias("size"), F.max(F.struct(F.xxhash64("cid", "bh"), "cid", "n")).alias("p")).where("size > 1")
-        parted = written(split.join(multi.select("bh", "size"), "bh"), "parted")
-        links = written(links.unionByName(_star(parted, multi.select("bh", F.col("p.cid").alias("b"), F.col("p.n").alias("nb")), *rest)), "stars")
+        # large buckets split by signature values, and each part has a pivot of its own, taken at random
+        parts = [F.xxhash64("bh", F.lit(k), F.expr(f"substring(sig, {k + 1}, 1)")) for k in range(min(PARTS, width))]
+        split = large.select("bh", "cid", "n", "comp").join(sigs, "cid").select("cid", "n", "comp", F.explode(F.array(*parts)).alias("bh")).distinct()
+        multi = split.groupBy("bh").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct(F.xxhash64("cid", "bh"), "cid", "n", "comp")).alias("p")).where("lo < hi")
+        parted = written(split.join(multi.select("bh", "size", F.col("p.cid").alias("b"), F.col("p.n").alias("nb"), F.col("p.comp").alias("cb")), "bh"), "parted")
+        near = f"ca <> cb and least(na, nb) * {den} >= greatest(na, nb) * {num}"
+        pairs = parted.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "b", "nb", "cb").where(near).select("a", "b", "na", "nb").distinct()
+        links = written(links.unionByName(_verified(_alike(pairs, sigs, num, den, width), sets, num, den)), "stars")
         left = written(_mixed(parted, links), "mixed")
         done += [parted, links, left]
         pairs, large = _open_pairs(left.where(F.col("size") <= SMALL_BUCKET), *rest), left.where(F.col("size") > SMALL_BUCKET)
