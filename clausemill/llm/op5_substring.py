@@ -1,17 +1,22 @@
 """Paragraphs and passages that repeat across documents, by paragraph MinHash banding.
 
-Two kinds of paragraph cover a text.  A *line* of LINE_WORDS words or more is
-banded on its min-max signature, verified on full shingle sets and clustered by
-components.  A *passage* is a run of PASSAGE_WORDS words that starts at an anchor:
-the least shingle hash among WINDOW successive ones, a one-row MinHash of its
-neighbourhood, so that texts that share a passage share its anchors wherever it
-stands in them.  Any shared run of PASSAGE_WORDS + WINDOW - 1 words (51) holds a
-whole passage; equal passages are joined by hash.
+Paragraphs cover every text.  Each is banded on its min-max signature, verified on
+full shingle sets (exact Jaccard) and clustered by components:
+
+* a *line* of PARAGRAPH_WORDS words or more;
+* a *stretch* of a run of shorter lines, and of a line of more than LONG_WORDS words: these
+  are cut at words chosen by their content, where a shingle's hash is the least of the
+  2 * CUT + 1 around it, and two pieces in a row make a stretch, so stretches overlap
+  and texts that share a part share its cuts wherever it stands in them.
+
+Besides, equal *passages*: runs of PARAGRAPH_WORDS words that start at an anchor, the least
+shingle hash among WINDOW successive ones.  Any shared run of PARAGRAPH_WORDS + WINDOW - 1
+words (51) holds a whole passage; equal passages are joined by hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +28,14 @@ from . import textkit as K
 from .neardup import clustered, sets_of, signed
 from .scratch import discarded, written
 
-LINE_WORDS, PASSAGE_WORDS, WINDOW = 40, 30, 22
+#: What counts as a paragraph or passage has so many words.
+PARAGRAPH_WORDS, WINDOW = 30, 22
+LONG_WORDS, CUT = 150, 16
 BANDS, ROWS = 16, 4
 #: Bits of the map that keeps unrepeated passages from the second pass's shuffle: 16 MB at any input size.
 MAP_BITS = 27
 _NEWLINE = 10
+_MOST_BYTES = 2 << 20
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -36,23 +44,6 @@ def code_points(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, doc: np.n
     return (lead[at] - lead[offsets[:-1][doc]]).astype(np.int32)
 
 
-def _lines(batch: pa.RecordBatch) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
-    """The lines of LINE_WORDS words or more: doc_id, start, end in code points; their distinct shingles."""
-    data, offsets = K.flat(batch.column("text"))
-    n = len(offsets) - 1
-    cut = np.union1d(offsets, np.flatnonzero(data == _NEWLINE) + 1)
-    starts, ends, bounds = K.word_spans(data, cut)
-    long_ = np.flatnonzero(np.diff(bounds) >= LINE_WORDS)
-    hashed = K.hash_words(data, starts, ends)
-    picked = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in long_]) if len(long_) else np.empty(0, np.int64)
-    new = np.concatenate(([0], np.cumsum(np.diff(bounds)[long_])))
-    values, sets = K.distinct(*K.shingles(hashed[picked], new))
-    first, last = starts[bounds[long_]] if len(long_) else np.empty(0, np.int64), ends[bounds[long_ + 1] - 1] if len(long_) else np.empty(0, np.int64)
-    doc = np.searchsorted(offsets[1:], first, "right") if n else np.empty(0, np.int64)
-    ids = batch.column("doc_id").take(pa.array(doc))
-    return [ids, pa.array(code_points(data, offsets, first, doc)), pa.array(code_points(data, offsets, last, doc))], values, sets
-
-
 def anchors(shingle: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Positions that are the least of some window of successive shingles within a document.
 
@@ -65,18 +56,98 @@ def anchors(shingle: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> np
     repeat = np.zeros(n, bool)
     repeat[1:] = shingle[1:] == shingle[:-1]
     repeat[bounds[:-1][bounds[:-1] < n]] = False
-    rank[repeat] = np.uint64(2**64 - 1)
-    view = np.lib.stride_tricks.sliding_window_view(rank, window)
-    least = np.empty(n - window + 1, np.int64)
-    for at in range(0, len(least), 1 << 15):
-        least[at : at + (1 << 15)] = view[at : at + (1 << 15)].argmin(axis=1)
-    least += np.arange(len(least))
+    top = np.uint64(2**64 - 1)
+    rank[repeat] = top
+    least = _sliding(rank, window, np.minimum)
+    # windows that cross documents count for none
+    first = np.arange(n - window + 1)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    return np.unique(least[doc[: len(least)] == doc[window - 1 :]])
+    least[doc[first] != doc[first + window - 1]] = 0
+    # the greatest least of the windows over a place is its own rank, if it is the least of any
+    edge = np.zeros(window - 1, np.uint64)
+    most = _sliding(np.concatenate((edge, least, edge)), window, np.maximum)
+    return np.flatnonzero((most == rank) & (rank != top) & (rank != 0))
+
+
+def cut_points(shingle: np.ndarray, bounds: np.ndarray, reach: int = CUT) -> np.ndarray:
+    """Positions that are the least of all within reach of them, within a region; more than reach apart."""
+    window = 2 * reach + 1
+    if len(shingle) < window:
+        return np.empty(0, np.int64)
+    first = np.arange(len(shingle) - window + 1)
+    region = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = np.flatnonzero((_sliding(shingle, window, np.minimum) == shingle[reach : len(shingle) - reach]) & (region[first] == region[first + window - 1])) + reach
+    # of equal ones in reach of each other the first
+    return at[np.concatenate(([True], (np.diff(at) > reach) | (region[at[1:]] != region[at[:-1]])))] if len(at) else at
+
+
+def _sliding(x: np.ndarray, window: int, pick: np.ufunc) -> np.ndarray:
+    """pick over each window of x, by windows of doubled length."""
+    size, out = 1, x
+    while size * 2 <= window:
+        out = pick(out[:-size], out[size:])
+        size *= 2
+    return pick(out[: len(x) - window + 1], out[window - size : window - size + len(x) - window + 1])
 
 
-def _passages(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes, document, start and end (bytes) of each passage."""
+def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words' starts and ends (bytes) and hashes, and each paragraph's document, first word, word after it, and whether it is a line."""
+    cut = np.union1d(offsets, np.flatnonzero(data == _NEWLINE) + 1)
+    starts, ends, bounds = K.word_spans(data, cut)
+    hashed = K.hash_words(data, starts, ends)
+    count = np.diff(bounds)
+    line = np.flatnonzero(count >= PARAGRAPH_WORDS)
+    # regions to cut: each long line, and each run of lines that are no paragraphs
+    n = len(count)
+    new_text = np.zeros(n + 1, bool)
+    new_text[np.searchsorted(cut, offsets)] = True
+    is_line = np.concatenate((count >= PARAGRAPH_WORDS, [True]))
+    begins = np.flatnonzero(~is_line[:-1] & (np.concatenate(([True], is_line[:-2])) | new_text[:-1])) if n else np.empty(0, np.int64)
+    stops = np.flatnonzero(is_line | new_text)
+    after = stops[np.searchsorted(stops, begins, "right")] if len(begins) else begins
+    long_ = np.flatnonzero(count > LONG_WORDS)
+    lo, hi = np.concatenate((bounds[begins], bounds[long_])), np.concatenate((bounds[after], bounds[long_ + 1]))
+    some = hi - lo >= PARAGRAPH_WORDS
+    lo, hi = lo[some], hi[some]
+    whole = np.concatenate((np.zeros(len(begins), bool), np.ones(len(long_), bool)))[some]  # the region is a line
+    inside = np.concatenate(([0], np.cumsum(hi - lo)))
+    word = np.repeat(lo - inside[:-1], hi - lo) + np.arange(inside[-1])
+    shingle, cuts = K.shingles(hashed[word], inside)
+    at = cut_points(shingle, cuts)
+    # pieces of each region: from its begin and each cut; two in a row make a stretch
+    region = np.searchsorted(cuts[1:], at, "right")
+    place = np.concatenate((lo, lo[region] + at - cuts[region]))
+    owner = np.concatenate((np.arange(len(lo)), region))
+    order = np.lexsort((place, owner))
+    place, owner = place[order], owner[order]
+    fresh = np.concatenate(([True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]))) if len(place) else np.empty(0, bool)
+    place, owner = place[fresh], owner[fresh]
+    pieces = np.bincount(owner, minlength=len(lo)) if len(owner) else np.zeros(len(lo), np.int64)
+    first = np.concatenate(([0], np.cumsum(pieces)))[:-1] if len(lo) else np.empty(0, np.int64)
+    k = np.arange(len(place)) - first[owner] if len(place) else np.empty(0, np.int64)
+    later = np.minimum(np.arange(len(place)) + 2, len(place) - 1)
+    stop = np.where(k + 2 < pieces[owner], place[later], hi[owner]) if len(place) else np.empty(0, np.int64)
+    # the last piece alone is the tail of the stretch before it; a line that is one stretch is there already
+    keep = ((k == 0) | (k + 1 < pieces[owner])) & (stop - place >= PARAGRAPH_WORDS) & ~(whole[owner] & (pieces[owner] <= 2)) if len(place) else np.empty(0, bool)
+    a, b = np.concatenate((bounds[line], place[keep])), np.concatenate((bounds[line + 1], stop[keep]))
+    doc = np.searchsorted(offsets[1:], starts[a], "right") if len(a) else np.empty(0, np.int64)
+    return starts, ends, hashed, doc, a, b, np.arange(len(a)) < len(line)
+
+
+def _paragraphs(batch: pa.RecordBatch) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+    """The paragraphs: doc_id, line, start, end in code points; their distinct shingles."""
+    data, offsets = K.flat(batch.column("text"))
+    starts, ends, hashed, doc, a, b, line = paragraphs(data, offsets)
+    inside = np.concatenate(([0], np.cumsum(b - a)))
+    word = np.repeat(a - inside[:-1], b - a) + np.arange(inside[-1])
+    values, sets = K.distinct(*K.shingles(hashed[word], inside))
+    ids = batch.column("doc_id").take(pa.array(doc))
+    first, last = (starts[a], ends[b - 1]) if len(a) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    return [ids, pa.array(line), pa.array(code_points(data, offsets, first, doc)), pa.array(code_points(data, offsets, last, doc))], values, sets
+
+
+def _passages(batch: pa.RecordBatch, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """Hash and document of each passage; with wanted, of those whose hash it picks, also a second hash, start and end in code points."""
     data, offsets = K.flat(batch.column("text"))
     starts, ends, bounds = K.word_spans(data, offsets)
     hashed = K.hash_words(data, starts, ends)
@@ -84,20 +155,27 @@ def _passages(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     at = anchors(shingle, cut)
     doc = np.searchsorted(cut[1:], at, "right")
     word = at - cut[doc] + bounds[doc]
-    inside = word + PASSAGE_WORDS <= bounds[doc + 1]
+    inside = word + PARAGRAPH_WORDS <= bounds[doc + 1]
     word, doc = word[inside], doc[inside]
-    one, two = np.zeros(len(word), np.uint64), np.zeros(len(word), np.uint64)
-    with np.errstate(over="ignore"):
-        for j, (p, q) in enumerate(zip(K.constants(PASSAGE_WORDS, 0x501), K.constants(PASSAGE_WORDS, 0x502), strict=True)):
-            one += hashed[word + j] * p
-            two += hashed[word + j] * q
-    first, last = starts[word], ends[word + PASSAGE_WORDS - 1]
-    return K.mix64(one), K.mix64(two), doc, code_points(data, offsets, first, doc), code_points(data, offsets, last, doc)
+
+    def summed(salt: int) -> np.ndarray:
+        out = np.zeros(len(word), np.uint64)
+        with np.errstate(over="ignore"):
+            for j, p in enumerate(K.constants(PARAGRAPH_WORDS, salt)):
+                out += hashed[word + j] * p
+        return K.mix64(out)
+
+    one = summed(0x501)
+    if wanted is None:
+        return one, doc
+    hit = wanted(one)
+    one, word, doc = one[hit], word[hit], doc[hit]
+    return one, doc, summed(0x502), code_points(data, offsets, starts[word], doc), code_points(data, offsets, ends[word + PARAGRAPH_WORDS - 1], doc)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in K.slices(batches, "text"):
-        one, _, doc, _, _ = _passages(batch)
+    for batch in K.slices(batches, "text", _MOST_BYTES):
+        one, doc = _passages(batch)
         yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), batch.column("doc_id").take(pa.array(doc))], ["h", "doc_id"])
 
 
@@ -114,13 +192,14 @@ def _map_of(hashes: DataFrame) -> bytes:
 def _found(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
-        for batch in K.slices(batches, "text"):
-            one, two, doc, start, end = _passages(batch)
+
+        def wanted(one: np.ndarray) -> np.ndarray:
             x = (one >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-            hit = np.flatnonzero((bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(one[hit].view(np.int64)), pa.array(two[hit].view(np.int64)), batch.column("doc_id").take(pa.array(doc[hit])), pa.array(start[hit]), pa.array(end[hit])], ["h", "h2", "doc_id", "start", "end"]
-            )
+            return np.flatnonzero((bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1)
+
+        for batch in K.slices(batches, "text", _MOST_BYTES):
+            one, doc, two, start, end = _passages(batch, wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(end)], ["h", "h2", "doc_id", "start", "end"])
 
     return run
 
@@ -133,6 +212,8 @@ def repeated_passages(source: DataFrame) -> DataFrame:
     found = source.mapInArrow(_found(shared), "h long, h2 long, doc_id long, start int, end int")
     found = written(found.join(wanted, "h", "left_semi"), "found")
     first = found.groupBy("h", "h2").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("hi")).where("component_id < hi").drop("hi")
+    # written, so that the join that follows deals both sides anew and a hot passage's rows can be split
+    first = written(first, "first")
     rows = found.join(first, ["h", "h2"]).select("doc_id", "start", "end", "component_id", (F.col("doc_id") != F.col("component_id")).alias("removed"))
     order = Window.partitionBy("doc_id", "removed").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -141,32 +222,32 @@ def repeated_passages(source: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "removed", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("component_id").alias("component_id")).select("doc_id", "start", "end", "component_id", "removed")
 
 
-def repeated_lines(source: DataFrame, *, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, start, end, component_id, removed: lines whose component reaches two or more documents."""
-    names = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    units = written(signed(source, "text", _lines, names, BANDS, ROWS).where("doc_id is not null"), "lines")
+def repeated_paragraphs(source: DataFrame, *, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, kind, start, end, component_id, removed: paragraphs whose component reaches two or more documents."""
+    names = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("line", T.BooleanType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    units = written(signed(source, "text", _paragraphs, names, BANDS, ROWS), "paragraphs")
     classes = written(units.groupBy("cid").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "classes")
-    found = written(clustered(classes.select("cid", "n", "bands", "sig"), lambda wanted: sets_of(source, "text", _lines, wanted), num, den), "clustered")
+    found = written(clustered(classes.select("cid", "n", "bands", "sig"), lambda wanted: sets_of(source, "text", _paragraphs, wanted), num, den), "clustered")
     homes = classes.select("cid", "lo", "hi").join(found, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     ranges = homes.groupBy("comp").agg(F.min("lo").alias("component_id"), F.max("hi").alias("hi")).where("component_id < hi").drop("hi")
     homes = written(homes.select("cid", "comp").join(ranges, "comp").select("cid", "component_id"), "homes")
     discarded(classes, found)
-    rows = units.select("doc_id", "start", "end", "cid").join(homes, "cid")
-    return rows.select("doc_id", "start", "end", "component_id", (F.col("doc_id") != F.col("component_id")).alias("removed"))
+    rows = units.select("doc_id", "line", "start", "end", "cid").join(homes, "cid")
+    return rows.select("doc_id", F.when(F.col("line"), "line").otherwise("stretch").alias("kind"), "start", "end", "component_id", (F.col("doc_id") != F.col("component_id")).alias("removed"))
 
 
 def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, kind (line or passage), start, end, component_id, removed for each repeated stretch of text.
+    """doc_id, kind (line, stretch or passage), start, end, component_id, removed for each repeated part of a text.
 
     start and end are code points, end exclusive; component_id is the least
-    doc_id of the stretch's component, whose copy stays; removed marks the others.
-    Only stretches that occur in two or more documents are returned.  Null and
-    empty texts and texts without long paragraphs have no rows; neither have rows
-    with a null id.  Repeated rows of one id are one document.  Other columns are
-    ignored; an empty table gives an empty result.
+    doc_id of the part's component, whose copy stays; removed marks the others.
+    Only parts that occur in two or more documents are returned.  Null and empty
+    texts and texts of fewer than PARAGRAPH_WORDS words have no rows; neither have
+    rows with a null id.  Repeated rows of one id are one document.  Other
+    columns are ignored; an empty table gives an empty result.
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = repeated_lines(source).withColumn("kind", F.lit("line")).unionByName(repeated_passages(source).withColumn("kind", F.lit("passage")))
+    out = repeated_paragraphs(source).unionByName(repeated_passages(source).withColumn("kind", F.lit("passage")))
     return out.select("doc_id", "kind", "start", "end", "component_id", "removed")
 
 
