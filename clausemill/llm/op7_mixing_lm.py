@@ -11,7 +11,9 @@ The corpus is gathered as distinct n-grams with counts, which grow with it.  Dea
 the two bytes before the last one, they give the exact counts of every context of
 two bytes and more; those of shorter ones are sums over pairs of bytes.  The mixer is
 trained on the n-grams, every occurrence predicted with its own count taken out; each
-n-gram's score is computed once and joined to the blocks of text that hold it.
+n-gram's two scores, by all orders and by the low ones alone, are computed once and joined
+to the blocks of text that hold it.  Along each text the two are mixed again, online:
+their weights follow how well they have foretold the text so far.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from . import textkit as K
 from .scratch import discarded, written
 
-ORDERS, SLOT_BITS = 5, 18
+ORDERS = 5
 FOLDS, HELD = 7, 2
 _SPAN = ORDERS  # bytes of an n-gram: the longest context and the byte itself
 _GATES = 8 * 4 * 4
@@ -35,6 +37,9 @@ _BUCKETS = 33
 #: Bytes of text that are worked on at a time, and of a block.
 _PIECE, _BLOCK = 1 << 20, 16 << 20
 _END = 0
+#: Bytes of a segment of a text; the full model's weight at first; the share of weight that changes sides after each segment.
+SEGMENT, FULL_FIRST, SWITCH = 64, 0.9, 0.02
+COUNT_PART = 1 << 24
 
 
 def held_out(doc_id: Column) -> Column:
@@ -68,21 +73,6 @@ def _bits(keys: np.ndarray) -> np.ndarray:
     return np.stack([(byte >> (7 - b)) & 1 for b in range(8)]).astype(np.int8)
 
 
-def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots (orders x 8 x keys) and the bits (8 x keys) of each key's last byte."""
-    byte = (keys & np.uint64(255)).astype(np.int64)
-    bits = _bits(keys)
-    slots = np.empty((ORDERS, 8, len(keys)), np.int32)
-    shift = np.uint64(64 - SLOT_BITS)
-    for o in range(ORDERS):
-        context = (keys >> np.uint64(8)) & np.uint64((1 << (8 * o)) - 1)
-        base = K.mix64(context * np.uint64(ORDERS) + np.uint64(o + 1))
-        for b in range(8):
-            partial = np.uint64(1 << b) | (byte.astype(np.uint64) >> np.uint64(8 - b))
-            slots[o, b] = ((base ^ partial * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)) >> shift
-    return slots, bits
-
-
 def _stretch(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.log((one + np.float32(0.02)) / (zero + np.float32(0.02)))
 
@@ -122,16 +112,38 @@ def _logs(got: np.ndarray, bits: np.ndarray, mixer: Mixer) -> np.ndarray:
     return -np.logaddexp(0, np.where(bits == 1, -logit, logit).astype(np.float64)).sum(axis=0) / np.log(10)
 
 
-def log_probabilities(keys: np.ndarray, counts: np.ndarray, mixer: Mixer) -> np.ndarray:
-    """log10 probability of each key's last byte after the bytes before it, from hashed tables ((orders << SLOT_BITS) x 2)."""
-    out = np.empty(len(keys))
-    for at in range(0, len(keys), 1 << 15):
-        slots, bits = _slots(keys[at : at + (1 << 15)])
-        flat = counts.reshape(ORDERS, -1, 2)
-        out[at : at + (1 << 15)] = _logs(np.stack([flat[o][slots[o]] for o in range(ORDERS)]).astype(np.float32), bits, mixer)
+def low_order(got: np.ndarray) -> np.ndarray:
+    """Counts (orders x 8 x n x 2) as if no context of three bytes or more had been seen."""
+    out = got.copy()
+    out[3:] = 0
     return out
 
 
+def adaptive_scores(full: np.ndarray, low: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """log10 probability of each text from that of its bytes by two models; a text's bytes are cut[i] to cut[i + 1].
+
+    Along a text, segment by segment (SEGMENT bytes), the two are mixed by weights
+    that follow how well each has foretold the text so far; SWITCH of the weight
+    changes sides after each segment, so the mix keeps up with a text that changes.
+    """
+    n = len(cut) - 1
+    pieces = -(-np.diff(cut) // SEGMENT)
+    order = np.argsort(-pieces, kind="stable")
+    first = np.concatenate(([0], np.cumsum(pieces)))[:-1]
+    starts = np.repeat(cut[:-1], pieces) + SEGMENT * (np.arange(int(pieces.sum())) - np.repeat(first, pieces))
+    a, b = (np.add.reduceat(x, starts) * np.log(10) if len(starts) else np.zeros(0) for x in (full, low))
+    out, weight = np.zeros(n), np.full(n, FULL_FIRST)
+    live = np.searchsorted(-pieces[order], -np.arange(1, int(pieces.max(initial=0)) + 1), "right")  # texts with more than k segments
+    for k, m in enumerate(live.tolist()):
+        text = order[:m]
+        x, y = a[first[text] + k], b[first[text] + k]
+        top = np.maximum(x, y)
+        p, q = weight[text] * np.exp(x - top), (1 - weight[text]) * np.exp(y - top)
+        out[text] += top + np.log(p + q)
+        weight[text] = SWITCH + (1 - 2 * SWITCH) * p / (p + q)
+    return out / np.log(10)
+
+
 def _shared(values: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Counts (9 x n) of what shares each value's context and the first 0 to 8 bits of its last byte."""
     order = np.argsort(values)
@@ -312,17 +324,19 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_scor
 def _gram_scores(pairs: np.ndarray, mixer: Mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, _, got, bits in _whole(batches, pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(_logs(got, bits, mixer))], ["key", "value"])
+            values = [pa.array(_logs(x, bits, mixer).astype(np.float32)) for x in (got, low_order(got))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *values], ["key", "value", "low"])
 
     return run
 
 
 def _scored(tokens: int, distinct: int, ends: int):
     def run(docs: pa.Table, vocabulary: pa.Table) -> Iterator[pa.RecordBatch]:
-        kind, key, value = (vocabulary.column(x).to_numpy() for x in ("kind", "key", "value"))
+        kind, key, value, low = (vocabulary.column(x).to_numpy() for x in ("kind", "key", "value", "low"))
         order = np.argsort(key)
         word, gram = order[kind[order] == 0], order[kind[order] == 1]
-        known, c, grams, logs = key[word], value[word], key[gram], value[gram]
+        known, grams, logs, lows = key[word], key[gram], value[gram], low[gram]
+        c = value[word].astype(np.float64) + low[word].astype(np.float64) * COUNT_PART
         base = tokens + distinct + 1.0
         for batch in K.slices(iter(docs.to_batches()), "text", _PIECE):
             data, offsets = K.flat(batch.column("text"))
@@ -334,7 +348,8 @@ def _scored(tokens: int, distinct: int, ends: int):
             base_score = part(np.log10((count + 1) / base), bounds) + np.log10((ends + 1) / base)
             n_known = np.diff(np.concatenate(([0], np.cumsum(count > 0)))[bounds]) + (ends > 0)
             keys, cut = ngrams(data, offsets)
-            score = np.add.reduceat(logs[np.searchsorted(grams, keys.view(np.int64))], cut[:-1])
+            at = np.searchsorted(grams, keys.view(np.int64))
+            score = adaptive_scores(logs[at].astype(np.float64), lows[at].astype(np.float64), cut)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(n + 1), pa.array(n_known.astype(np.int64)), pa.array(base_score), pa.array(score), pa.array(np.diff(cut))],
                 names.names,
@@ -361,8 +376,8 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     Learns from all rows that are not held out.  Tokens are words with A-Z
     lower-cased, then one end; they are compared by 64-bit hashes.  base_score is
     the add-one unigram sum; score the mixing model's log10 probability of the
-    lower-cased bytes and the end mark, bits_per_byte that in bits for each of
-    them.  A null text counts as empty: one token, the end.  A null id is never
+    lower-cased bytes and the end mark (two models' mix, see adaptive_scores()),
+    bits_per_byte that in bits for each of them.  A null text counts as empty: one token, the end.  A null id is never
     held out.  Repeated rows count and are scored each.  Zero bytes are read as
     ones.  Other columns are ignored; an empty table gives an empty result.
     """
@@ -381,8 +396,10 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     tokens, distinct = int(n_words) + ends, n_distinct + (ends > 0)
     pairs = pair_counts(grams)
     mixer = train_mixer(grams, pairs)
-    logs = _dealt(grams).mapInArrow(_gram_scores(pairs, mixer), "key long, value double")
-    words = located.where("kind = 0").select("block", "kind", "key", F.col("c").cast("double").alias("value"))
+    logs = _dealt(grams).mapInArrow(_gram_scores(pairs, mixer), "key long, value float, low float")
+    # a word's count as two numbers that single precision holds exactly
+    part = lambda x: x.cast("float")
+    words = located.where("kind = 0").select("block", "kind", "key", part(F.col("c") % COUNT_PART).alias("value"), part(F.floor(F.col("c") / COUNT_PART)).alias("low"))
     vocabulary = words.unionByName(located.where("kind = 1").select("block", "kind", "key").join(logs, "key"))
     run = _scored(tokens, distinct, ends)
     out = source.groupBy("block").cogroup(vocabulary.groupBy("block")).applyInArrow(run, _SCORES)

@@ -245,11 +245,11 @@ def test_components(spark):
 
 
 def test_repeated_passages_are_found_wherever_they_stand(spark, edges, empty):
-    from clausemill.llm.op5_substring import PASSAGE_WORDS, WINDOW, repeated
+    from clausemill.llm.op5_substring import PARAGRAPH_WORDS, WINDOW, repeated
 
     rng = np.random.default_rng(1)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
-    passages = [" ".join(word() for _ in range(PASSAGE_WORDS + WINDOW - 1)) for _ in range(20)]
+    passages = [" ".join(word() for _ in range(PARAGRAPH_WORDS + WINDOW - 1)) for _ in range(20)]
     rows = []
     for i in range(60):
         before, after = [" ".join(word() for _ in range(rng.integers(0, 90))) for _ in range(2)]
@@ -259,18 +259,20 @@ def test_repeated_passages_are_found_wherever_they_stand(spark, edges, empty):
     texts = dict(rows)
     for r in got.itertuples():
         piece = texts[r.doc_id][r.start : r.end]
-        assert len(piece.split()) >= PASSAGE_WORDS and piece in texts[r.component_id] and r.removed == (r.doc_id != r.component_id)
+        assert len(piece.split()) >= PARAGRAPH_WORDS and r.removed == (r.doc_id != r.component_id) and (r.kind != "passage" or piece in texts[r.component_id])
     e = repeated(edges).toPandas()
     assert set(e["doc_id"]) == {7, 8, 10, 11} and set(e[e["removed"]]["doc_id"]) == {8, 11}
     assert repeated(empty).count() == 0
 
 
-def test_near_lines_equal_brute_force(spark):
-    from clausemill.llm.op5_substring import repeated_lines
+def test_near_paragraphs_equal_brute_force(spark):
+    """Lines, runs of short lines and parts of long lines: the same units, all pairs compared."""
+    from clausemill.llm.op5_substring import repeated_paragraphs
 
     rng = np.random.default_rng(2)
     base = [[f"t{rng.integers(500)}" for _ in range(60)] for _ in range(15)]
-    rows, sets = [], {}
+    long_ = [[f"u{rng.integers(3000)}" for _ in range(400)] for _ in range(4)]
+    rows = []
     for i in range(60):
         lines = []
         for k in rng.choice(15, 2, replace=False):
@@ -278,18 +280,73 @@ def test_near_lines_equal_brute_force(spark):
             for p in rng.choice(60, rng.integers(0, 3), replace=False):
                 w[p] = f"new{rng.integers(9)}"
             lines.append(" ".join(w))
+        if i % 6 == 1:  # hard-wrapped, and within a long line
+            lines[1] = "\n".join(" ".join(w[j : j + 7]) for j in range(0, 60, 7))
+        if i % 6 == 2:
+            w = list(long_[i % 4][50 * (i % 3) : 250 + 50 * (i % 3)])
+            w[100] = "changed"
+            lines[1] = " ".join(["own", f"x{i}", *w, f"y{i}"])
         rows.append((i, "\n".join([lines[0], "too short", lines[1]])))
-        at = 0
-        for line in lines:
-            start = rows[-1][1].index(line, at)
-            at = start + len(line)
-            sets[i, start] = shingles(line)
+    texts = dict(rows)
+    got = repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert {(r.doc_id, r.start, r.end, r.kind) for r in got.itertuples()} <= {u[:4] for u in units_of(rows)}
+    sets = {u[:4]: shingles(texts[u[0]][u[1] : u[2]]) for u in units_of(rows)}
     groups = defaultdict(set)
     for k, c in components(sets, 80, 100).items():
         groups[c].add(k)
-    want = {k: min(d for d, _ in g) for g in groups.values() if len({d for d, _ in g}) > 1 for k in g}
-    got = repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
-    assert {(r.doc_id, r.start): r.component_id for r in got.itertuples()} == want
+    want = {k: min(g)[0] for g in groups.values() if len({k[0] for k in g}) > 1 for k in g}
+    assert {(r.doc_id, r.start, r.end, r.kind): r.component_id for r in got.itertuples()} == want
+    assert {"line", "stretch"} == set(got["kind"]) and {i for i in range(60) if i % 6 == 2} <= set(got[got["kind"] == "stretch"]["doc_id"])
+    assert (got["removed"] == (got["doc_id"] != got["component_id"])).all()
+
+
+def units_of(rows):
+    """(doc_id, start, end, kind) of all paragraphs, from the plain rules: words, lines and least shingle hashes."""
+    from clausemill.llm import textkit as K
+    from clausemill.llm.op5_substring import CUT, LONG_WORDS, PARAGRAPH_WORDS
+
+    out = []
+    for i, text in rows:
+        regions, run, at = [], [], 0
+        for line in text.split("\n"):
+            words = [(at + m.start(), at + m.end()) for m in WORD.finditer(line)]
+            at += len(line) + 1
+            if len(words) >= PARAGRAPH_WORDS:
+                out.append((i, words[0][0], words[-1][1], "line"))
+                regions += [(run, False)] + ([(words, True)] if len(words) > LONG_WORDS else [])
+                run = []
+            else:
+                run = run + words
+        for words, is_line in [*regions, (run, False)]:
+            if len(words) < PARAGRAPH_WORDS:
+                continue
+            data, offsets = K.flat(pa.array([" ".join(text[s:e] for s, e in words)]))
+            starts, ends, bounds = K.word_spans(data, offsets)
+            h = K.shingles(K.hash_words(data, starts, ends), bounds)[0].tolist()
+            cuts = [k for k in range(CUT, len(h) - CUT) if h[k] == min(h[k - CUT : k + CUT + 1])]
+            cuts = [k for n, k in enumerate(cuts) if n == 0 or k - cuts[n - 1] > CUT]
+            places = [0, *cuts, len(words)]
+            pairs = [(places[k], places[k + 2]) for k in range(len(places) - 2)] or [(0, len(words))]
+            if not (is_line and len(pairs) == 1):
+                out += [(i, words[a][0], words[b - 1][1], "stretch") for a, b in pairs]
+    return out
+
+
+def test_anchors_are_the_least_of_windows():
+    from clausemill.llm.op5_substring import anchors
+
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n = rng.integers(0, 60, rng.integers(1, 5))
+        cut = np.concatenate(([0], np.cumsum(n)))
+        x = rng.integers(1, 50, cut[-1]).astype(np.uint64)
+        window, want = int(rng.integers(2, 12)), set()
+        for lo, hi in zip(cut, cut[1:], strict=False):
+            rank = [math.inf if i > lo and x[i] == x[i - 1] else int(x[i]) for i in range(lo, hi)]
+            for s in range(len(rank) - window + 1):
+                least = min(rank[s : s + window])
+                want |= {lo + s + j for j in range(window) if rank[s + j] == least < math.inf}
+        assert set(anchors(x, cut, window).tolist()) == want
 
 
 # --- 3 -------------------------------------------------------------------------------
@@ -486,19 +543,66 @@ def test_scores(spark, documents, edges, empty):
 
 
 def test_predictions_of_a_byte_sum_to_one():
-    from clausemill.llm.op7_mixing_lm import ORDERS, SLOT_BITS, Mixer, log_probabilities, ngrams
+    from clausemill.llm.op7_mixing_lm import ORDERS, Mixer, _bits, _logs, low_order, ngrams
 
     rng = np.random.default_rng(0)
-    counts = rng.integers(0, 9, (ORDERS << SLOT_BITS, 2)).astype(np.float32)
     mixer = Mixer(rng.normal(0.3, 0.2, Mixer().weights.shape).astype(np.float32))
-    keys = (np.uint64(0x6162636400) | np.arange(256, dtype=np.uint64)).astype(np.uint64)
-    assert math.isclose((10 ** log_probabilities(keys, counts, mixer)).sum(), 1, rel_tol=1e-5)
+    byte = np.arange(256)
+    nodes = rng.integers(0, 9, (ORDERS, 256, 2)).astype(np.float32)  # by order and the bits so far
+    got = np.stack([np.stack([nodes[o][(1 << b) | (byte >> (8 - b))] for b in range(8)]) for o in range(ORDERS)])
+    for counts in (got, low_order(got)):
+        assert math.isclose((10 ** _logs(counts, _bits(byte.astype(np.uint64)), mixer)).sum(), 1, rel_tol=1e-5)
     data = np.frombuffer(b"AB\x00c", np.uint8)
     got, cut = ngrams(data, np.array([0, 2, 2, 4]))
     assert cut.tolist() == [0, 3, 4, 7]
     assert [hex(k) for k in got] == ["0x61", "0x6162", "0x616200", "0x0", "0x1", "0x163", "0x16300"]
 
 
+def test_scores_in_plain_python(spark, monkeypatch):
+    """score of whole texts by loops over bytes, bits and orders, with a given mixer."""
+    from clausemill.llm import op7_mixing_lm as M
+
+    rng = np.random.default_rng(5)
+    mixer = M.Mixer(rng.normal(0.3, 0.1, M.Mixer().weights.shape).astype(np.float32), np.cumsum(rng.random((M._GATES, M._BUCKETS)), axis=1).astype(np.float32) / 2 - 4)
+    monkeypatch.setattr(M, "train_mixer", lambda grams, pairs: mixer)
+    say = lambda n: " ".join("".join(rng.choice(list("abC\u00e9"), 3)) for _ in range(n))
+    texts = [say(int(rng.integers(0, 40))) for _ in range(14)] + ["", "Zz", say(300)]
+    got = {r.doc_id: r.score for r in M.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    raw = [bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode()) for t in texts]
+    seen: Counter = Counter()  # (order, context, bits so far, bit)
+    for i, t in enumerate(raw):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            padded = b"\0\0\0\0" + t + b"\0"
+            for at in range(4, len(padded)):
+                for o in range(5):
+                    for b in range(8):
+                        seen[o, padded[at - o : at], (1 << b) | (padded[at] >> (8 - b)), (padded[at] >> (7 - b)) & 1] += 1
+    for i, t in enumerate(raw):
+        padded, logs = b"\0\0\0\0" + t + b"\0", ([], [])
+        for at in range(4, len(padded)):
+            for which, orders in enumerate((5, 3)):
+                total = 0.0
+                for b in range(8):
+                    node = (1 << b) | (padded[at] >> (8 - b))
+                    bit = (padded[at] >> (7 - b)) & 1
+                    c = [[seen[o, padded[at - o : at], node, x] if o < orders else 0 for x in (0, 1)] for o in range(5)]
+                    level = lambda n: min(3, int(math.log2(n + 1)) // 3)
+                    gate = b * 16 + level(sum(c[4])) * 4 + level(sum(c[3]))
+                    mix = sum(float(mixer.weights[gate, o]) * math.log((c[o][1] + 0.02) / (c[o][0] + 0.02)) for o in range(5))
+                    mix = max(-12.0, min(12.0, mix))
+                    place = (max(-7.999, min(7.999, mix)) + 8) * 2
+                    k = int(place)
+                    logit = (mix + float(mixer.refine[gate, k]) * (1 - place + k) + float(mixer.refine[gate, k + 1]) * (place - k)) / 2
+                    total -= math.log1p(math.exp(-logit if bit else logit))
+                logs[which].append(total)
+        weight, score = M.FULL_FIRST, 0.0
+        for at in range(0, len(logs[0]), M.SEGMENT):
+            p, q = (w * math.exp(sum(x[at : at + M.SEGMENT])) for w, x in zip((weight, 1 - weight), logs, strict=True))
+            score += math.log(p + q)
+            weight = M.SWITCH + (1 - 2 * M.SWITCH) * p / (p + q)
+        assert math.isclose(got[i], score / math.log(10), rel_tol=1e-4, abs_tol=1e-4), i
+
+
 def test_long_contexts_stay_apart_in_many(spark):
     from clausemill.llm.op7_mixing_lm import exact_counts, scored
 
