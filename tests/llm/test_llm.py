@@ -893,6 +893,20 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     sequences_are_whole(packed, 2048)
 
 
+def test_pipeline_on_odd_rows(spark, edges, empty, tmp_path):
+    import corpus_pipeline as C
+
+    from clausemill.llm.op9_quality import quality
+
+    for name, df in (("odd", edges), ("none", empty)):
+        df.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+    good = {r.doc_id for r in quality(edges).where("kept").collect()}
+    rows = C.run(spark, f"file://{tmp_path}/odd").collect()
+    sequences_are_whole(rows, 2048)
+    assert {r.doc_id for r in rows} == good - {8}  # 8 is a near copy of 7
+    assert C.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_pipeline_packs_in_the_mixed_order(spark):
     import corpus_pipeline as C
 
