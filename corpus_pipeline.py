@@ -1,7 +1,14 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage's result is written as Parquet and read again as the next one's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents, whatever further columns there are.
+
+A null or empty text fails the quality rules' base and goes.  A null id is a document
+like any other, and of a group of copies one with an id stays.  Ties of a group go to the
+least id, then to the least hash of the row; equal rows are copies, one of them stays;
+rows that repeat an id with other texts are documents of their own.  A null source
+mixes as the source ''.  Texts are read whole at any length.  An empty table gives no
+sequences.
 """
 
 from __future__ import annotations
