@@ -30,8 +30,11 @@ def _value_place(text: str, start: int, end: int, value: str | None) -> int:
     return start + offsets[at] if at >= 0 else start
 
 
-def matched(quote: str, text: str, value: str | None, s: Settings) -> tuple:
-    """(verified, method, reason, matched text, start, end, similarity, place of the value) of a quote on a page, boxes aside."""
+def matched(quote: str, text: str, value: str | None, s: Settings, *, exact: bool = False) -> tuple:
+    """(verified, method, reason, matched text, start, end, similarity, place of the value) of a quote on a page, boxes aside.
+
+    exact: what is only similar to the quote does not count.
+    """
     nothing = (None, None, None)
     q = normalized(quote)
     if len(q) < s.min_quote_chars:
@@ -43,6 +46,8 @@ def matched(quote: str, text: str, value: str | None, s: Settings) -> tuple:
     if at >= 0:
         start, end = _span(offsets, at, at + len(q))
         return (True, "normalized_exact_match", None, text[start:end], start, end, 1.0, _value_place(text, start, end, value))
+    if exact:
+        return (False, "none", "quote_not_found_on_page", *nothing, None, None)
     # one window, where the longest common block says the quote would begin
     block = SequenceMatcher(None, page, q, autojunk=False).find_longest_match()
     if not block.size:
@@ -78,7 +83,7 @@ def _as_it_stands(pairs: DataFrame, s: Settings) -> DataFrame:
     return pairs.withColumn("_at", F.when(sure, F.when(F.instr(normalized_ascii(page), q) == place + 1, at - 1)))
 
 
-def on_page(pairs: DataFrame, settings: Settings | None = None) -> DataFrame:
+def on_page(pairs: DataFrame, settings: Settings | None = None, *, exact: bool = False) -> DataFrame:
     """pairs (quote, page_text, value and further columns) with the outcome of comparing them, box rule included.
 
     Quotes that stand on an ASCII page letter by letter are found by built-in
@@ -89,7 +94,7 @@ def on_page(pairs: DataFrame, settings: Settings | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [matched(q or "", t or "", v, s) for q, t, v in zip(pdf["quote"], pdf["page_text"], pdf["value"], strict=True)]
+            found = [matched(q or "", t or "", v, s, exact=exact) for q, t, v in zip(pdf["quote"], pdf["page_text"], pdf["value"], strict=True)]
             out = pd.DataFrame(found, columns=names, index=pdf.index)
             for c in ("start_offset", "end_offset", "value_at"):
                 out[c] = out[c].astype("Int32")
@@ -99,7 +104,7 @@ def on_page(pairs: DataFrame, settings: Settings | None = None) -> DataFrame:
     looked = _as_it_stands(pairs, s)
     null = lambda kind: F.lit(None).cast(kind)
     # a page without a box: it matters to no one where the value stands in the span
-    exact = looked.where("_at is not null").select(
+    certain = looked.where("_at is not null").select(
         *pairs.columns, F.lit(True).alias("verified"), F.lit("normalized_exact_match").alias("method"), null("string").alias("reason"), F.col("quote").alias("matched_text"), F.col("_at").cast("int").alias("start_offset"),
         (F.col("_at") + F.length("quote")).cast("int").alias("end_offset"), F.lit(1.0).alias("similarity"), null("int").alias("value_at"),
     )
@@ -108,15 +113,16 @@ def on_page(pairs: DataFrame, settings: Settings | None = None) -> DataFrame:
         why = F.when(F.col("verified"), unchecked_reason(F.col("page_text"), F.col("value_at")))
         out = out.withColumn("_why", why)
         out = out.withColumn("verified", F.col("verified") & F.col("_why").isNull()).withColumn("method", F.when(F.col("_why").isNull(), F.col("method")).otherwise("none")).withColumn("reason", F.coalesce("_why", "reason")).drop("_why")
-    return out.unionByName(exact).drop("value_at")
+    return out.unionByName(certain).drop("value_at")
 
 
-def verified(proposals: DataFrame, pages: DataFrame, settings: Settings | None = None) -> DataFrame:
+def verified(proposals: DataFrame, pages: DataFrame, settings: Settings | None = None, *, exact: bool = False) -> DataFrame:
     """proposals (document_id, ordinal, quote, page, value and more) with outcome columns and found_page.
 
     Only the claimed page can verify a quote; if it stands on another page of the
     document, the first such is named in the reason.  Without a claim the first
-    page that verifies it counts.  What compares texts is computed once.
+    page that verifies it counts.  With exact, similar passages verify nothing, on any
+    page.  What compares texts is computed once.
     """
     texts = pages.select(F.col("document_id").alias("_doc"), F.col("page").alias("on"), F.col("text").alias("page_text"))
     kinds = dict(proposals.dtypes)
@@ -124,12 +130,12 @@ def verified(proposals: DataFrame, pages: DataFrame, settings: Settings | None =
     # a claim for a page that there is not keeps no text, and is not compared
     joined = proposals.where("page is not null").join(texts, same & (F.col("page") == F.col("on")), "left").drop("_doc")
     joined = staged(joined.withColumn("_there", F.col("on").isNotNull()), "claims")
-    claimed = staged(on_page(joined.where("_there").drop("on", "_there"), settings).drop("page_text"), "claimed")
+    claimed = staged(on_page(joined.where("_there").drop("on", "_there"), settings, exact=exact).drop("page_text"), "claimed")
     absent = joined.where("not _there").select(*proposals.columns)
     # other pages are looked at only for what its own page does not verify
     asked = ["document_id", "ordinal", "quote", "page", "value"]
     open_ = claimed.where("not verified").select(*asked).unionByName(proposals.where("page is null").select(*asked))
-    others = on_page(open_.join(texts, same).drop("_doc").where("page is null or on <> page"), settings).where("verified").drop("page_text")
+    others = on_page(open_.join(texts, same).drop("_doc").where("page is null or on <> page"), settings, exact=exact).where("verified").drop("page_text")
     first = staged(others.withColumn("r", F.row_number().over(Window.partitionBy("document_id", "ordinal").orderBy("on"))).where("r = 1"), "elsewhere")
     outcome = ["verified", "method", "reason", "matched_text", "start_offset", "end_offset", "similarity"]
     elsewhere = first.select("document_id", "ordinal", F.col("on").alias("elsewhere"))

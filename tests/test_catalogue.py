@@ -45,3 +45,16 @@ def test_entry(spark):
 def test_the_entry_works_without_what_only_the_training_data_operators_need():
     code = "import sys, warnings; sys.modules['regex'] = None; sys.modules['tiktoken'] = None; warnings.simplefilter('ignore'); import __spark_entry__ as e; assert 'obligations_e2e' in e.queries() and not any(k.startswith('op') and k[2:3].isdigit() for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
+def test_claims_are_verified_as_their_sql_says_where_another_page_resembles_the_quote(spark, tmp_path):
+    half = "The tenant keeps the roof, the walls and every window of the house in good repair at all times"
+    page = f"{half}, {'and so on ' * 5}"
+    text = page + page.replace("window", "windov") + page  # three equal thirds; the second has another letter
+    docs = spark.createDataFrame([(i, text, "x") for i in range(1, 300, 3)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = entry.queries()["verify_claimed_page"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(con.sql(SQL["verify_claimed_page"]).df())
+    assert got["reason"].str.startswith("wrong_page").any()

@@ -412,3 +412,14 @@ def test_settings():
     with pytest.raises(ValueError):
         Settings(chunk_size_chars=100, chunk_overlap_chars=100)
     assert files.TEXT_SUFFIXES == ("txt", "md", "text")
+
+
+def test_only_what_equals_the_quote_verifies_it_where_an_exact_match_is_asked_for(spark):
+    claim = "the tenant keeps the roof in repair"
+    texts = spark.createDataFrame([("d", 1, f"So {claim}, always."), ("d", 2, "So the tenant keeps the roof in repaid, always.")], "document_id string, page int, text string")
+    quotes = spark.createDataFrame([(1, "d", claim, 2, None), (2, "d", claim, None, None)], "ordinal int, document_id string, quote string, page int, value string")
+    got = {r.ordinal: r for r in evidence.verified(quotes, texts, exact=True).collect()}
+    assert not got[1].verified and got[1].reason == "wrong_page: quote claimed on page 2 but found on page 1"
+    assert got[2].verified and got[2].found_page == 1
+    likely = {r.ordinal: r for r in evidence.verified(quotes, texts).collect()}
+    assert likely[1].verified and likely[1].method == "fuzzy_match"
