@@ -58,3 +58,13 @@ def test_claims_are_verified_as_their_sql_says_where_another_page_resembles_the_
     got = entry.queries()["verify_claimed_page"](spark, str(tmp_path)).toPandas()
     assert rows(got) == rows(con.sql(SQL["verify_claimed_page"]).df())
     assert got["reason"].str.startswith("wrong_page").any()
+
+
+def test_the_context_of_a_corpus_writes_no_table_larger_than_its_vocabulary(spark, monkeypatch):
+    from clausemill.operators import search
+
+    kept, staged = [], search.staged
+    monkeypatch.setattr(search, "staged", lambda df, name: kept.append(staged(df, name)) or kept[-1])
+    assert entry.queries()["context_union"](spark, SF).count()
+    terms = entry.queries()["term_idf"](spark, SF).count()
+    assert max(t.count() for t in kept) <= terms + 1
