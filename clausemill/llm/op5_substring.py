@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,10 @@ from .scratch import discarded, written
 PARAGRAPH_WORDS, WINDOW = 30, 22
 LONG_WORDS, CUT = 150, 16
 BANDS, ROWS = 16, 4
-#: Bits of the map that keeps unrepeated passages from the second pass's shuffle: 16 MB at any input size.
+#: Bits of the maps that keep unrepeated bands and passages from being shuffled: 16 MB at any input size.
 MAP_BITS = 27
+#: Band hashes are looked at in 2^PART_BITS parts.
+PART_BITS = 8
 _NEWLINE = 10
 _MOST_BYTES = 2 << 20
 
@@ -222,17 +225,71 @@ def repeated_passages(source: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "removed", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("component_id").alias("component_id")).select("doc_id", "start", "end", "component_id", "removed")
 
 
+def _band_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Band hashes without their rows: by their top PART_BITS bits, the next 32 bits of each, packed."""
+    for batch in batches:
+        bands = batch.column("bands").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        bands = np.sort(bands)
+        cut = np.searchsorted((bands >> np.uint64(64 - PART_BITS)).astype(np.int64), np.arange((1 << PART_BITS) + 1))
+        short = ((bands >> np.uint64(32 - PART_BITS)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        parts = np.flatnonzero(np.diff(cut))
+        yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([short[cut[k] : cut[k + 1]].tobytes() for k in parts], pa.binary())], ["part", "held"])
+
+
+def _often(key: tuple, held: pa.Table) -> pa.Table:
+    """A bitmap of those hashes of a part that come twice or more."""
+    short = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in held.column("held").to_pylist()]))
+    x = short[1:][short[1:] == short[:-1]] >> np.uint32(32 - (MAP_BITS - PART_BITS))
+    bits = np.zeros(1 << (MAP_BITS - PART_BITS), bool)
+    bits[x] = True
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def _met_bands(units: DataFrame) -> DataFrame:
+    """cid, n, bands, sig of the units with a band that another unit has; of their bands, those.
+
+    A bitmap of fixed size tells; it passes some bands that nothing else has, and those of
+    copies, and loses none.  What is left out can meet nothing, so its rows are not shuffled.
+    """
+    some = units.where("cid is not null")
+    got = some.select("bands").mapInArrow(_band_parts, "part int, held binary").groupBy("part").applyInArrow(_often, "part int, bits binary")
+    size = (1 << (MAP_BITS - PART_BITS)) // 8
+    out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+    for k, bits in got.toLocalIterator():  # at most 256 rows of 64 kB
+        out[k * size : (k + 1) * size] = np.frombuffer(bits, np.uint8)
+    shared = units.sparkSession.sparkContext.broadcast(out.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            lists = batch.column("bands")
+            values = lists.flatten()
+            x = (values.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+            hit = ((bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1).astype(bool)
+            ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+            kept = np.concatenate(([0], np.cumsum(hit)))[ends]
+            met = pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), values.filter(pa.array(hit)))
+            rows = pa.array(np.diff(kept) > 0)
+            yield pa.RecordBatch.from_arrays([c.filter(rows) for c in (batch.column("cid"), batch.column("n"), met, batch.column("sig"))], ["cid", "n", "bands", "sig"])
+
+    return some.select("cid", "n", "bands", "sig").mapInArrow(run, "cid binary, n long, bands array<long>, sig binary")
+
+
 def repeated_paragraphs(source: DataFrame, *, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, kind, start, end, component_id, removed: paragraphs whose component reaches two or more documents."""
     names = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("line", T.BooleanType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     units = written(signed(source, "text", _paragraphs, names, BANDS, ROWS), "paragraphs")
-    classes = written(units.groupBy("cid").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "classes")
-    found = written(clustered(classes.select("cid", "n", "bands", "sig"), lambda wanted: sets_of(source, "text", _paragraphs, wanted), num, den), "clustered")
+    met = _met_bands(units).groupBy("cid").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    met = written(met, "classes")
+    places = written(units.select("doc_id", "line", "start", "end", "cid"), "places")
+    discarded(units)  # bands and signatures are most of it
+    classes = written(places.groupBy("cid").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "ranges")
+    found = written(clustered(met, lambda wanted: sets_of(source, "text", _paragraphs, wanted), num, den), "clustered")
     homes = classes.select("cid", "lo", "hi").join(found, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     ranges = homes.groupBy("comp").agg(F.min("lo").alias("component_id"), F.max("hi").alias("hi")).where("component_id < hi").drop("hi")
     homes = written(homes.select("cid", "comp").join(ranges, "comp").select("cid", "component_id"), "homes")
-    discarded(classes, found)
-    rows = units.select("doc_id", "line", "start", "end", "cid").join(homes, "cid")
+    discarded(met, classes, found)
+    rows = places.join(homes, "cid")
     return rows.select("doc_id", F.when(F.col("line"), "line").otherwise("stretch").alias("kind"), "start", "end", "component_id", (F.col("doc_id") != F.col("component_id")).alias("removed"))
 
 

@@ -244,6 +244,27 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_paragraphs_that_meet_nothing_do_not_reach_the_buckets(spark, monkeypatch):
+    from clausemill.llm import op5_substring as P
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 60)) for _ in range(200)]
+    near = texts[7].split()
+    near[-1] = "other"
+    rows = [*enumerate(texts), (500, texts[3]), (501, " ".join(near)), (502, None), (503, "")]
+    reached = []
+
+    def clustered(classes, *more):
+        reached.extend(classes.collect())
+        return whole(classes, *more)
+
+    whole = P.clustered
+    monkeypatch.setattr(P, "clustered", clustered)
+    got = P.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.removed) for r in got if r.kind == "line") == [(3, 3, False), (7, 7, False), (500, 3, True), (501, 7, True)]
+    assert 3 <= len(reached) < 20 and sum(len(r.bands) for r in reached) < 60
+
+
 def test_repeated_passages_are_found_wherever_they_stand(spark, edges, empty):
     from clausemill.llm.op5_substring import PARAGRAPH_WORDS, WINDOW, repeated
 
