@@ -417,6 +417,20 @@ def test_contexts_in_one_pass_equal_searches(spark, cut):
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_contexts_make_no_group_call_and_documents_of_one_chunk_equal_searches(spark, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", None)
+    asked = ["written notice", "fees payable"]
+    rows = [("a", "c0", 0, 1, "Written notice is due."), ("b", "c0", 0, 1, "Nothing of the kind."), ("c", "c0", 0, 2, "fees fees payable"), ("d", "c0", 0, 1, "")]
+    held = spark.createDataFrame(rows, "document_id string, chunk_id string, ordinal int, page int, text string")
+    queries = spark.createDataFrame([(f"{d}#{k}", d, q) for d in "abcd" for k, q in enumerate(asked)], "query_id string, document_id string, query string")
+    hits = search.search(search.built(held, corpus=False), queries, top_k=5, pool=25)
+    want = search.context(hits).select("document_id", "chunk_id", "page", "text", "fused_score", "position").collect()
+    got = search.document_contexts(held, asked).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r.document_id for r in got} == {"a", "c"}
+
+
 def test_vectors_in_blocks_equal_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.integers(-2, 3, (90, 4)).astype(float)  # many ties
