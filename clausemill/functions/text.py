@@ -6,6 +6,7 @@ import functools
 import sys
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,13 +72,12 @@ def folded(text: Column) -> Column:
 
 
 def is_ascii(text: Column) -> Column:
-    return text.rlike(r"^[\x00-\x7f]*$")
+    return F.length(text) == F.octet_length(text)
 
 
 def normalized_ascii(text: Column) -> Column:
     """normalized() for text that is_ascii(): built-in functions only."""
-    blanks = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
-    return F.trim(F.regexp_replace(F.lower(F.translate(text, blanks + "`", " " * len(blanks) + "'")), " +", " "))
+    return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("`"), F.lit("'")), r"[\x09-\x0d\x1c-\x20]+", " "))
 
 
 @functools.cache
@@ -106,6 +106,12 @@ def _squeezed(text: str) -> str:
 def normalized_with_offsets(text: str) -> tuple[str, list[int]]:
     """normalized(text), and for each of its characters the place in text that it came from."""
     table = folding_table()
+    if all(len(table.get(ord(c), c)) == 1 for c in set(text)):
+        points = np.frombuffer(text.translate(table).encode("utf-32-le", "surrogatepass"), np.uint32)
+        blank = points == 32
+        kept = np.flatnonzero(~(blank & np.concatenate(([True], blank[:-1])))) if len(points) else points
+        kept = kept[:-1] if len(kept) and blank[kept[-1]] else kept
+        return points[kept].tobytes().decode("utf-32-le", "surrogatepass"), kept.tolist()
     out: list[str] = []
     offsets: list[int] = []
     for i, c in enumerate(text):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.checkbox import unchecked_reason
+from ..functions.checkbox import UNCHECKED, unchecked_reason
+from ..functions.dates import bound
 from ..functions.text import is_ascii, normalized, normalized_ascii, normalized_with_offsets
 from ..sources.staging import staged
 
@@ -30,6 +32,10 @@ def _value_place(text: str, start: int, end: int, value: str | None) -> int:
     return start + offsets[at] if at >= 0 else start
 
 
+#: A page's quotes follow each other; its form is made once for them.
+_page_form = functools.lru_cache(maxsize=1)(normalized_with_offsets)
+
+
 def matched(quote: str, text: str, value: str | None, s: Settings, *, exact: bool = False) -> tuple:
     """(verified, method, reason, matched text, start, end, similarity, place of the value) of a quote on a page, boxes aside.
 
@@ -39,7 +45,7 @@ def matched(quote: str, text: str, value: str | None, s: Settings, *, exact: boo
     q = normalized(quote)
     if len(q) < s.min_quote_chars:
         return (False, "none", f"quote_too_short: {len(q)} < {s.min_quote_chars} characters", *nothing, None, None)
-    page, offsets = normalized_with_offsets(text)
+    page, offsets = _page_form(text)
     if not page:
         return (False, "none", "page_has_no_text", *nothing, None, None)
     at = page.find(q)
@@ -73,14 +79,12 @@ def _as_it_stands(pairs: DataFrame, s: Settings) -> DataFrame:
     """
     quote, page = F.col("quote"), F.col("page_text")
     at = F.instr(page, quote)
-    before = F.substring(page, F.lit(1), at - 1)
-    head = normalized_ascii(before)
-    # white space before the match is one space after normalisation, unless it opens the page
-    place = F.length(head) + F.when(before.rlike(r"[\x09-\x0d\x1c-\x20]$") & (head != ""), 1).otherwise(0)
-    q = normalized_ascii(quote)
     whole = ~quote.rlike(r"^[\x09-\x0d\x1c-\x20]|[\x09-\x0d\x1c-\x20]$")
-    sure = is_ascii(quote) & whole & (F.length(q) >= s.min_quote_chars) & (at > 0) & is_ascii(page)
-    return pairs.withColumn("_at", F.when(sure, F.when(F.instr(normalized_ascii(page), q) == place + 1, at - 1)))
+    sure = (at > 0) & is_ascii(quote) & is_ascii(page) & whole
+    # the page up to the match's end ends with the quote after normalisation too
+    forms = F.struct(normalized_ascii(F.substring(page, F.lit(1), at - 1 + F.length(quote))).alias("t"), normalized_ascii(quote).alias("q"))
+    first = bound(forms, lambda x: (F.length(x["q"]) >= s.min_quote_chars) & (F.instr(x["t"], x["q"]) + F.length(x["q"]) == F.length(x["t"]) + 1))
+    return pairs.withColumn("_at", F.when(sure, F.when(first, at - 1)))
 
 
 def on_page(pairs: DataFrame, settings: Settings | None = None, *, exact: bool = False) -> DataFrame:
@@ -90,18 +94,24 @@ def on_page(pairs: DataFrame, settings: Settings | None = None, *, exact: bool =
     functions; the rest goes through Python.
     """
     s = settings or Settings()
+    return _outcomes(_as_it_stands(pairs, s), s, exact=exact)
+
+
+def _outcomes(looked: DataFrame, s: Settings, *, exact: bool) -> DataFrame:
+    """on_page() of pairs that have _at; they are read twice, so what is costly to make should be written before."""
+    pairs = looked.drop("_at")
     names = [x.split()[0] for x in _OUTCOME.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [matched(q or "", t or "", v, s, exact=exact) for q, t, v in zip(pdf["quote"], pdf["page_text"], pdf["value"], strict=True)]
+            # where the value stands matters on pages with a box that is not ticked
+            found = [matched(q or "", t or "", v if UNCHECKED in (t or "") else None, s, exact=exact) for q, t, v in zip(pdf["quote"], pdf["page_text"], pdf["value"], strict=True)]
             out = pd.DataFrame(found, columns=names, index=pdf.index)
             for c in ("start_offset", "end_offset", "value_at"):
                 out[c] = out[c].astype("Int32")
             yield pd.concat([pdf, out], axis=1)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
-    looked = _as_it_stands(pairs, s)
     null = lambda kind: F.lit(None).cast(kind)
     # a page without a box: it matters to no one where the value stands in the span
     certain = looked.where("_at is not null").select(
@@ -110,7 +120,7 @@ def on_page(pairs: DataFrame, settings: Settings | None = None, *, exact: bool =
     )
     out = looked.where("_at is null").drop("_at").mapInPandas(run, f"{fields}, {_OUTCOME}")
     if s.reject_unchecked_options:
-        why = F.when(F.col("verified"), unchecked_reason(F.col("page_text"), F.col("value_at")))
+        why = F.when(F.col("verified") & F.contains("page_text", F.lit(UNCHECKED)), unchecked_reason(F.col("page_text"), F.col("value_at")))
         out = out.withColumn("_why", why)
         out = out.withColumn("verified", F.col("verified") & F.col("_why").isNull()).withColumn("method", F.when(F.col("_why").isNull(), F.col("method")).otherwise("none")).withColumn("reason", F.coalesce("_why", "reason")).drop("_why")
     return out.unionByName(certain).drop("value_at")
@@ -127,14 +137,16 @@ def verified(proposals: DataFrame, pages: DataFrame, settings: Settings | None =
     texts = pages.select(F.col("document_id").alias("_doc"), F.col("page").alias("on"), F.col("text").alias("page_text"))
     kinds = dict(proposals.dtypes)
     same = F.col("document_id") == F.col("_doc")
-    # a claim for a page that there is not keeps no text, and is not compared
-    joined = proposals.where("page is not null").join(texts, same & (F.col("page") == F.col("on")), "left").drop("_doc")
-    joined = staged(joined.withColumn("_there", F.col("on").isNotNull()), "claims")
-    claimed = staged(on_page(joined.where("_there").drop("on", "_there"), settings, exact=exact).drop("page_text"), "claimed")
-    absent = joined.where("not _there").select(*proposals.columns)
+    # a claim for a page that there is not keeps no text, and is not compared; nor is a quote without a claim
+    joined = proposals.join(texts, same & (F.col("page") == F.col("on")), "left").drop("_doc")
+    s = settings or Settings()
+    joined = staged(_as_it_stands(joined.withColumn("_there", F.col("on").isNotNull()), s), "claims")
+    claimed = staged(_outcomes(joined.where("_there").drop("on", "_there"), s, exact=exact).drop("page_text"), "claimed")
+    absent = joined.where("page is not null and not _there").select(*proposals.columns)
+    loose = joined.where("page is null").select(*proposals.columns)
     # other pages are looked at only for what its own page does not verify
     asked = ["document_id", "ordinal", "quote", "page", "value"]
-    open_ = claimed.where("not verified").select(*asked).unionByName(proposals.where("page is null").select(*asked))
+    open_ = claimed.where("not verified").select(*asked).unionByName(loose.select(*asked))
     others = on_page(open_.join(texts, same).drop("_doc").where("page is null or on <> page"), settings, exact=exact).where("verified").drop("page_text")
     first = staged(others.withColumn("r", F.row_number().over(Window.partitionBy("document_id", "ordinal").orderBy("on"))).where("r = 1"), "elsewhere")
     outcome = ["verified", "method", "reason", "matched_text", "start_offset", "end_offset", "similarity"]
@@ -145,8 +157,8 @@ def verified(proposals: DataFrame, pages: DataFrame, settings: Settings | None =
     none = lambda df, reason: df.select("*", F.lit(False).alias("verified"), F.lit("none").alias("method"), reason.alias("reason"), F.lit(None).cast("string").alias("matched_text"), F.lit(None).cast("int").alias("start_offset"), F.lit(None).cast("int").alias("end_offset"), F.lit(None).cast("double").alias("similarity"))
     b = none(absent, F.concat(F.lit("page_out_of_range: page "), F.col("page").cast("string"), F.lit(" does not exist"))).withColumn("found_page", F.col("page"))
     hits = first.select("document_id", "ordinal", F.col("on").alias("found_page"), *outcome)
-    c = proposals.where("page is null").join(hits, ["document_id", "ordinal"])
-    d = none(proposals.where("page is null").join(hits.select("document_id", "ordinal"), ["document_id", "ordinal"], "left_anti"), F.lit("quote_not_found_in_document")).withColumn("found_page", F.lit(None).cast(kinds["page"]))
+    c = loose.join(hits, ["document_id", "ordinal"])
+    d = none(loose.join(hits.select("document_id", "ordinal"), ["document_id", "ordinal"], "left_anti"), F.lit("quote_not_found_in_document")).withColumn("found_page", F.lit(None).cast(kinds["page"]))
     return a.unionByName(b).unionByName(c).unionByName(d)
 
 
@@ -155,10 +167,14 @@ def located(spans: DataFrame, chunks: DataFrame) -> DataFrame:
 
     A span without offsets takes the page's first chunk; one that no chunk holds, null.
     """
+    return spans.join(homes(spans, chunks), ["document_id", "ordinal"], "left")
+
+
+def homes(spans: DataFrame, chunks: DataFrame) -> DataFrame:
+    """document_id, ordinal, chunk_id of the spans that have a chunk, as located() has it."""
     c = chunks.select("document_id", "page", "chunk_id", "chunk_ordinal", F.col("start_offset").alias("lo"), F.col("end_offset").alias("hi"))
     inside = F.col("start_offset").isNull() | F.col("end_offset").isNull() | ((F.col("lo") <= F.col("start_offset")) & (F.col("end_offset") <= F.col("hi")))
-    first = spans.join(c, ["document_id", "page"]).where(inside).groupBy("document_id", "ordinal").agg(F.min_by("chunk_id", "chunk_ordinal").alias("chunk_id"))
-    return spans.join(first, ["document_id", "ordinal"], "left")
+    return spans.join(c, ["document_id", "page"]).where(inside).groupBy("document_id", "ordinal").agg(F.min_by("chunk_id", "chunk_ordinal").alias("chunk_id"))
 
 
 def _words_hash(words, start):

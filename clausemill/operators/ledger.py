@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.dates import deadline, parsed_date, parsed_duration
+from ..functions.dates import bound, deadline, parsed_date, parsed_duration
 from ..functions.values import canonical_type, is_without_figure, normalized_value
 from ..schemas import APPROVABLE, COMPUTED_ONLY, DERIVED
 from ..sources.staging import staged
-from .evidence import located, verified
+from .evidence import homes, verified
 
 
 def sorted_out(proposals: DataFrame, requested: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -28,7 +30,7 @@ def sorted_out(proposals: DataFrame, requested: list[str]) -> tuple[DataFrame, D
 def candidates(proposals: DataFrame, pages: DataFrame, chunks: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Obligations of proposals: quote verified, value normalised, status and reason set."""
     out = staged(verified(proposals.withColumn("value", F.col("raw_value")), pages, settings).drop("value"), "verified")
-    home = located(out.where("verified").select("document_id", "ordinal", "page", "start_offset", "end_offset"), chunks).select("document_id", "ordinal", "chunk_id")
+    home = homes(out.where("verified").select("document_id", "ordinal", "page", "start_offset", "end_offset"), chunks)
     out = out.join(home, ["document_id", "ordinal"], "left")
     quote = F.coalesce("matched_text", "quote")
     value = F.when(F.col("verified"), normalized_value(F.col("obligation_type"), F.col("raw_value"), quote))
@@ -63,7 +65,9 @@ def derived(obligations: DataFrame, requested: list[str] | None = None, document
     rows, lacks = [], []
     for kind, notice in wanted:
         made = deadline(kind, F.col("end.normalized_value"), F.col(f"{notice}.normalized_value"), F.col("_end"), F.col(f"_{notice}"))
-        rows.append(F.when(F.col("end").isNotNull() & F.col(notice).isNotNull(), F.struct(F.lit(kind).alias("kind"), made["result"].alias("result"), made["formula"].alias("formula"), made["error"].alias("error"), F.to_json(made["inputs"].withField("source_obligation_ids", F.array(F.col("end.id"), F.col(f"{notice}.id")))).alias("inputs"))))
+        sources = F.array(F.col("end.id"), F.col(f"{notice}.id"))
+        row = bound(made, lambda m: F.struct(F.lit(kind).alias("kind"), m["result"].alias("result"), m["formula"].alias("formula"), m["error"].alias("error"), F.to_json(m["inputs"].withField("source_obligation_ids", sources)).alias("inputs")))  # noqa: B023
+        rows.append(F.when(F.col("end").isNotNull() & F.col(notice).isNotNull(), row))
         lacks.append(F.when(F.col("end").isNull() & F.col(notice).isNotNull(), F.struct(F.lit(kind).alias("kind"), F.lit("contract_end_date").alias("missing"))))
     results = F.array_compact(F.array(*rows)) if rows else F.array().cast("array<struct<kind:string,result:date,formula:string,error:string,inputs:string>>")
     lack = F.array_compact(F.array(*lacks)) if lacks else F.array().cast("array<struct<kind:string,missing:string>>")
@@ -71,7 +75,11 @@ def derived(obligations: DataFrame, requested: list[str] | None = None, document
     first_kind, first_notice = DERIVED[0]
     missing = F.concat_ws(", ", F.when(F.col("end").isNull(), "contract_end_date"), F.when(F.col(first_notice).isNull(), first_notice))
     if any(kind == first_kind for kind, _ in wanted):
-        both = both.withColumn("lacks", F.when((F.size("results") == 0) & (F.size("lacks") == 0) & (missing != ""), F.array(F.struct(F.lit(first_kind).alias("kind"), missing.alias("missing")))).otherwise(F.col("lacks")))
+        # neither result nor lack: no notice of a wanted kind
+        neither = reduce(lambda a, b: a & b, (F.col(notice).isNull() for _, notice in wanted))
+        both = both.withColumn("lacks", F.when(neither & (missing != ""), F.array(F.struct(F.lit(first_kind).alias("kind"), missing.alias("missing")))).otherwise(F.col("lacks")))
+    # written, as several results read it and the computation costs more than the table
+    both = staged(both.select("document_id", "results", "lacks"), "deadlines")
     exploded = both.select("document_id", F.explode("results").alias("r"))
     day = F.date_format("r.result", "yyyy-MM-dd")
     null = lambda kind: F.lit(None).cast(kind)

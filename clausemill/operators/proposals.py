@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import find_dates_udf, find_durations_udf, for_anchor
+from ..functions.dates import bound, find_dates_udf, find_durations_udf, for_anchor
 from ..functions.text import WS, stripped
 
 # Where sentences end, and the words that a clause of each kind has.
@@ -51,16 +51,16 @@ def clause_matches(sentences: DataFrame) -> DataFrame:
     place = lambda found: F.when(found > 0, found - 1)
     notice_at = place(F.instr(low, "notice"))
     # 'non-renewal' is about notice, not about the term
-    renew_at = place(F.regexp_instr(low, F.lit("(?<!non-)(?<!non )renew")))
+    renew_at = place(F.when(F.contains(low, F.lit("renew")), F.regexp_instr(low, F.lit("(?<!non-)(?<!non )renew"))))
     out = out.withColumns({
         "_first": F.try_element_at("_spans", F.lit(1))["iso"],
         "_notice": for_anchor(F.col("_spans"), notice_at),
         "_renewal": for_anchor(F.col("_spans"), renew_at),
         "_begin": F.try_element_at("_dates", F.lit(1))["iso"],
         "_end": F.try_element_at("_dates", F.lit(-1))["iso"],
-        "_money": F.nullif(F.regexp_extract(s, MONEY, 0), F.lit("")),
-        "_percent": F.nullif(F.regexp_extract(s, PERCENT, 0), F.lit("")),
-        "_law": F.nullif(F.trim(F.regexp_extract(s, LAW, 1)), F.lit("")),
+        "_money": F.when(_any(low, (*PAYS, "liabilit")), F.nullif(F.regexp_extract(s, MONEY, 0), F.lit(""))),
+        "_percent": F.when(_any(low, RAISES), F.nullif(F.regexp_extract(s, PERCENT, 0), F.lit(""))),
+        "_law": F.when(F.contains(s, F.lit("laws of")), F.nullif(F.trim(F.regexp_extract(s, LAW, 1)), F.lit(""))),
         "_clause": F.length(s) >= LEAST_CLAUSE,
     })
     nonzero = lambda d: d.isNotNull() & (d != "P0D")
@@ -90,7 +90,7 @@ def clause_matches(sentences: DataFrame) -> DataFrame:
 def worth_reading(sentence: Column) -> Column:
     """Whether a sentence has a word that some rule needs."""
     words = BEGINS + ENDS + AUTOMATIC + OPTION + ("notice", "indemnif", "liabilit", "laws of") + PAYS + RAISES
-    return _any(F.lower(sentence), words)
+    return bound(F.lower(sentence), lambda low: _any(low, words))
 
 
 def invented(context: DataFrame) -> DataFrame:
@@ -109,7 +109,8 @@ def proposed(context: DataFrame, types: list[str] | None = None) -> DataFrame:
 
     types = [t for t in (types or OBLIGATION_TYPES) if t not in COMPUTED_ONLY]
     flat = context.select("document_id", "position", "page", F.posexplode(sentences_of(F.col("text"))).alias("at", "sentence")).where(worth_reading(F.col("sentence")))
-    hits = clause_matches(flat).select("document_id", "position", "page", "at", "sentence", F.explode("matches").alias("m"))
+    # not explode: a filter on what it explodes would compute all rules a second time
+    hits = clause_matches(flat).select("document_id", "position", "page", "at", "sentence", F.explode_outer("matches").alias("m")).where("m is not null")
     hits = hits.select("document_id", "position", "page", "at", F.col("sentence").alias("quote"), F.col("m.obligation_type").alias("obligation_type"), F.col("m.raw_value").alias("raw_value"), F.col("m.rule").alias("rule"))
     first = Window.partitionBy("document_id", "obligation_type").orderBy("position", "at", "rule")
     kept = hits.where(F.col("obligation_type").isin(types)).withColumn("r", F.row_number().over(first)).where("r = 1")

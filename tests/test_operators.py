@@ -476,3 +476,35 @@ def test_only_what_equals_the_quote_verifies_it_where_an_exact_match_is_asked_fo
     assert got[2].verified and got[2].found_page == 1
     likely = {r.ordinal: r for r in evidence.verified(quotes, texts).collect()}
     assert likely[1].verified and likely[1].method == "fuzzy_match"
+
+
+def test_proposals_and_obligations_are_computed_once_and_a_page_is_normalised_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(df):
+        def run(batches):
+            for pdf in batches:
+                seen.add(len(pdf))
+                yield pdf
+
+        return df.mapInPandas(run, df.schema)
+
+    page = "The initial term expires on March 31, 2026. A fee of USD 5 is due each year."
+    texts = spark.createDataFrame([("d", 1, page), ("d", 2, "Nothing more is agreed.")], "document_id string, page int, text string")
+    rows = [(1, "d", "The initial term expires on March 31, 2026", 1, None), (2, "d", "Nothing more is agreed", None, None), (3, "d", "A fee of USD 5 is due", 2, None), (4, "d", "A fee of USD 5 is due", 7, None), (5, "d", "This was never agreed by anyone", None, None)]
+    quotes = spark.createDataFrame(rows, "ordinal int, document_id string, quote string, page int, value string")
+    got = {r.ordinal: r for r in evidence.verified(counted(quotes), texts).collect()}
+    assert seen.value == len(got) == len(rows)
+    assert got[1].verified and got[2].found_page == 2 and got[3].reason.startswith("wrong_page") and got[4].reason.startswith("page_out_of_range") and got[5].reason == "quote_not_found_in_document"
+
+    seen.value = 0
+    kinds = [("a", "contract_end_date", "2030-03-31"), ("a", "termination_notice_period", "P1M"), ("b", "termination_notice_period", "P1M"), ("c", "governing_law", "Ohio")]
+    held = spark.createDataFrame([(d, f"{d}:{k}", k, v, "verified") for d, k, v in kinds], "document_id string, id string, obligation_type string, normalized_value string, status string")
+    made, lacks = ledger.derived(counted(held))
+    assert [(r.document_id, r.normalized_value) for r in made.collect()] == [("a", "2030-02-28")]
+    assert sorted((r.document_id, r.obligation_type, r.detail.split(": ")[1]) for r in lacks.collect()) == [("b", "notice_deadline", "contract_end_date"), ("c", "notice_deadline", "contract_end_date, termination_notice_period")]
+    assert seen.value == len(kinds)
+
+    evidence._page_form.cache_clear()
+    assert all(evidence.matched(q, page, None, Settings())[0] for _, _, q, _, _ in (rows[0], rows[2]))
+    assert evidence._page_form.cache_info().misses == 1

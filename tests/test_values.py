@@ -126,3 +126,11 @@ def test_vectors(spark):
     assert r[0].c == pytest.approx(0.96) and r[1].c == 0 and r[0].u == pytest.approx([0.6, 0.8]) and r[1].u == [0, 0]
     e = spark.createDataFrame([("rent rent due",), ("RENT due",), ("",), (None,)], "t string").select(vectors.hashing_encoder(32)(F.col("t")).alias("e")).collect()
     assert sum(x * x for x in e[0].e) == pytest.approx(1) and not any(e[2].e) and len(e[1].e) == 32
+
+
+def test_offsets_of_letters_that_stay_single_equal_those_of_the_general_way():
+    for raw in ["", " ", "  a  B\t c  ", "’x – Y", "a" * 5 + " \n", "Été \ud800 z"]:
+        short, long = text.normalized_with_offsets(raw), text.normalized_with_offsets(raw + "…")  # three points for one
+        assert short[0] == text.normalized(raw) and long[0] == text.normalized(raw + "…")
+        assert long[0][: len(short[0])] == short[0] and long[1][: len(short[1])] == short[1]
+        assert all(isinstance(i, int) for i in short[1])
